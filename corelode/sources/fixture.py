@@ -16,7 +16,7 @@ HOLE_SAMPLES = f"""SELECT concat('S', l_orderkey, '-', l_linenumber) AS SampleID
  CASE l_returnflag WHEN 'A' THEN 'Drilling_BF' WHEN 'N' THEN 'Drilling_INF' ELSE 'Drilling_OP' END AS DataSet,
  CASE l_partkey % 6 WHEN 0 THEN 'Cu' WHEN 1 THEN 'Au' WHEN 2 THEN 'Zn' WHEN 3 THEN 'Pb' WHEN 4 THEN 'Fe' ELSE 'Ag' END AS Element,
  CASE WHEN l_orderkey % 97 = 5 THEN NULL WHEN l_orderkey % 89 = 3 THEN CAST(0 AS DOUBLE)
-      WHEN l_orderkey % 113 = 7 THEN CAST(-1 AS DOUBLE) ELSE l_extendedprice END AS standardized_grade_ppm,
+      WHEN l_orderkey % 113 = 7 THEN CAST(-1 AS DOUBLE) ELSE CAST(floor(l_extendedprice * 4) AS DOUBLE) / 4 END AS standardized_grade_ppm,
  CASE WHEN l_orderkey % 101 = 9 THEN NULL ELSE CAST(l_orderkey % 200 AS DOUBLE) END AS Depth_From,
  CAST(l_orderkey % 200 AS DOUBLE) + CAST(CAST(l_quantity AS INT) % 12 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS Depth_To,
  CAST(CAST(l_quantity AS INT) % 12 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS Interval_Length,
@@ -40,7 +40,7 @@ HOLE_GRADES = """SELECT Hole_ID, Element, DataSet,
 FROM hole_samples WHERE standardized_grade_ppm > 0
 GROUP BY Hole_ID, Element, DataSet"""
 
-REQUESTS = """SELECT event_id, ts,
+REQUESTS = """SELECT event_id, user_id, ts,
  CASE event_id % 6 WHEN 0 THEN 'CU' WHEN 1 THEN 'AU' WHEN 2 THEN 'ZN' WHEN 3 THEN 'PB' WHEN 4 THEN 'FE' ELSE 'AG' END AS element,
  CASE WHEN event_id % 41 = 0 THEN CAST(95 AS DOUBLE)
       ELSE CAST(-15.24 AS DOUBLE) + CAST((user_id * 613) % 1009 AS DOUBLE) / 10090 END AS latitude,
