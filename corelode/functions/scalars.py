@@ -49,6 +49,14 @@ def mid_depth() -> Column:
     return (F.col("Depth_From") + F.col("Depth_To")) / 2
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows that have both values; null when one of
+    them does not vary (the built-in function fails there)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def metal_content(grade: Num, tonnage: Num, recovery: float = RECOVERY) -> Column:
     """Recoverable metal in tonnes from a grade in ppm."""
     return as_column(grade) * as_column(tonnage) * recovery / 1e6

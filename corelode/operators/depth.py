@@ -68,8 +68,7 @@ def interval_overlaps(samples: DataFrame, limit: int | None = None) -> DataFrame
 
 def rolling_grades(samples: DataFrame, rows: int = 10, limit: int | None = None) -> DataFrame:
     """Trailing statistics over the rows in order of latitude and longitude."""
-    valid = samples.filter(P.valid_sample()).select(
-        "SampleID", "Element", "Hole_ID", "latitude", "longitude", "Depth_From", "Depth_To", GRADE)
+    valid = samples.filter(P.valid_sample())
     order = ["latitude", "longitude", "SampleID", "Element", "Depth_From", "Depth_To", GRADE]
 
     def columns(w):

@@ -15,8 +15,11 @@ from corelode.session import VALUES_PER_TASK, limit_of
 Wanted = dict[str, tuple[Column, float]]
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], wanted: Wanted, limit: int | None = None) -> DataFrame:
-    """One row per ``keys`` with each wanted quantile ``name: (column, p)``.
+def quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: Wanted, limit: int | None = None, weight: Column | None = None,
+) -> DataFrame:
+    """One row per ``keys`` with each wanted quantile ``name: (column, p)``;
+    ``weight`` counts a row several times.
 
     The built-in ``percentile`` keeps every distinct value of a group in one
     task. It is used while the largest group is small enough; beyond that the
@@ -26,12 +29,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Wanted, limit: int | N
     limit = limit or limit_of(df.sparkSession, "valuesPerTask", VALUES_PER_TASK)
     if largest_group(df, keys) <= limit:
         return df.groupBy(*keys).agg(
-            *[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
+            *[(F.percentile(c, F.lit(p)) if weight is None else F.percentile(c, F.lit(p), weight)).alias(name)
+              for name, (c, p) in wanted.items()]
         )
-    return _by_rank(df, keys, wanted, limit)
+    return _by_rank(df, keys, wanted, limit, weight)
 
 
-def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int) -> DataFrame:
+def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int, weight: Column | None) -> DataFrame:
     distinct: dict[str, tuple[int, Column]] = {}
     for c, _ in wanted.values():
         distinct.setdefault(str(c), (len(distinct), c))
@@ -39,11 +43,11 @@ def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int) -> Data
         F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in distinct.values()
     ]))
     counts = (
-        df.select(*keys, tagged.alias("_x"))
-        .select(*keys, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"))
-        .filter(F.col("_v").isNotNull())
+        df.select(*keys, tagged.alias("_x"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
+        .select(*keys, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"), "_w")
+        .filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
         .groupBy(*keys, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
     )
     ranked = running_totals(counts, [*keys, "_i"], ["_v"], {"_upto": F.col("_n")}, limit)
     sizes = counts.groupBy(*keys, "_i").agg(F.sum("_n").alias("_size"))

@@ -49,7 +49,8 @@ ROLLING = f"""SELECT SampleID, Element, Hole_ID, latitude, longitude, Depth_From
 ROLLING = f"SELECT *, grade_rolling_q75 - grade_rolling_q25 AS local_iqr, grade_rolling_std / grade_rolling_mean AS local_coefficient_variation FROM ({ROLLING})"
 ROLLING_DIGITS = dict(grade_rolling_mean=4, grade_rolling_std=4, grade_rolling_median=4, grade_rolling_q25=4,
                       grade_rolling_q75=4, local_iqr=4, local_coefficient_variation=6)
-register("rolling10", lambda t: D.rolling_grades(t.hole_samples), ROLLING, **ROLLING_DIGITS)
+_ROLLING_IN = ["SampleID", "Element", "Hole_ID", "latitude", "longitude", "Depth_From", "Depth_To", GRADE]
+register("rolling10", lambda t: D.rolling_grades(t.hole_samples.select(*_ROLLING_IN)), ROLLING, **ROLLING_DIGITS)
 register(
     "tonnage_curve", lambda t: D.tonnage_curve(t.hole_samples, 2.7),
     f"""SELECT *, cumulative_metal / cumulative_tonnage * 1e6 AS cumulative_grade FROM (
