@@ -16,11 +16,12 @@ from corelode.functions.predicates import GRADE
 from corelode.functions.scalars import degrees_apart
 from corelode.operators.depth import rolling_grades
 from corelode.operators.neighbours import nearest
-from corelode.operators.prep import category_codes, fit_impute, impute, label_encode, with_row
+from corelode.operators.prep import category_codes, fit_impute, impute, label_codes, label_encode, with_row
 from corelode.operators.profile import group_stats_join
 from corelode.operators.quantiles import quantiles
 from corelode.operators.spatial import as_references, as_targets, point_id
 from corelode.schema import EPSILON
+from corelode.session import keep
 
 IDENTITY = ["SampleID", "Element", "Depth_From", "Depth_To", GRADE]
 
@@ -127,15 +128,23 @@ CODED = ["Element", "DataSet", "LabCode"]
 
 def features_prediction(df: DataFrame, fitted: DataFrame | None = None, codes: dict[str, DataFrame] | None = None) -> DataFrame:
     """Features that need no grade; ``fitted`` and ``codes`` come from training data."""
-    located = features_location(df, fitted if fitted is not None else fit_location(df))
-    return label_encode(located, CODED, codes)
+    fitted = fitted if fitted is not None else fit_location(df)
+    return features_location(label_encode(df, CODED, codes), fitted)
 
 
-def features_training(df: DataFrame, fitted: DataFrame | None = None, codes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Prediction features, grade features and group statistics of training rows."""
-    rows = features_prediction(df, fitted, codes).withColumns({
+def features_training(
+    df: DataFrame, fitted: DataFrame | None = None, codes: dict[str, DataFrame] | None = None, known: DataFrame | None = None,
+) -> DataFrame:
+    """Prediction features, grade features and group statistics of training rows.
+
+    Everything fitted is taken from the plain rows (``known`` for the group
+    statistics), before features widen them.
+    """
+    fitted = fitted if fitted is not None else fit_location(df)
+    codes = codes if codes is not None else {c: label_codes(df, c) for c in CODED}
+    rows = features_prediction(group_stats_join(df, known), fitted, codes)
+    return rows.withColumns({
         "log_grade": F.log1p(GRADE), "grade_per_meter": F.col(GRADE) / (F.col("Interval_Length") + EPSILON)})
-    return group_stats_join(rows)
 
 
 def features_extract(df: DataFrame) -> DataFrame:
@@ -162,18 +171,27 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in skip]
 
 
-def feature_matrix(df: DataFrame, names: Sequence[str] = REFERENCE_FEATURES, fitted: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Those of the named features that exist, missing values filled with the
-    (fitted) medians, with the value to predict as ``label``."""
+def feature_columns(df: DataFrame, names: Sequence[str] = REFERENCE_FEATURES, carry: Sequence[str] = ()) -> DataFrame:
+    """Those of the named features that exist and the value to predict as ``label``."""
     present = [c for c in names if c in df.columns]
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in present], F.col(GRADE).alias("label"), *[c for c in carry if c not in present])
-    fills = fitted if fitted is not None else fit_impute(rows, "median", present, [])
-    return impute(rows, fills.select("_fitted_rows", *present))
+    label = [F.col(GRADE).alias("label")] if GRADE in df.columns else []
+    return df.select(
+        *[F.col(c).cast("double").alias(c) for c in present], *label, *[c for c in carry if c not in present])
+
+
+def feature_matrix(df: DataFrame, names: Sequence[str] = REFERENCE_FEATURES, fitted: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Feature columns with missing values filled by the (fitted) medians."""
+    rows = feature_columns(df, names, carry)
+    present = [c for c in names if c in rows.columns]
+    if fitted is None:
+        rows = keep(rows)  # read twice: for the medians and for the result
+        fitted = fit_impute(rows, "median", present, [])
+    return impute(rows, fitted.select(*present))
 
 
-def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def align_features(df: DataFrame, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """The trained features in their order; absent ones are zero."""
-    return df.select(*keep, *[
+    return df.select(*carry, *[
         (F.col(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in names])
 
 

@@ -313,10 +313,12 @@ def group_stats_long(df: DataFrame) -> DataFrame:
     ).select("level", F.coalesce(*keys).alias("key"), "mean", "std", "min", "max", "count")
 
 
-def group_stats_join(df: DataFrame) -> DataFrame:
-    """Rows with the statistics of their sample, hole, element and dataset."""
+def group_stats_join(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows with the statistics of their sample, hole, element and dataset, taken
+    from ``known`` rows (the rows themselves by default)."""
+    source = df if known is None else known
     for key, full in (("SampleID", True), ("Hole_ID", True), ("Element", False), ("DataSet", False)):
-        df = join_on(df, group_stats(df, key, full), [key], "left")
+        df = join_on(df, group_stats(source, key, full), [key], "left")
     return df
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +20,14 @@ class Inputs:
 
     spark: SparkSession
     folder: str
+    opened: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return relation(self.spark, self.folder, name)
+        if name not in self.opened:
+            self.opened[name] = relation(self.spark, self.folder, name)
+        return self.opened[name]
 
 
 @dataclass(frozen=True)
