@@ -92,14 +92,15 @@ def rolling_grades(samples: DataFrame, rows: int = 10, limit: int | None = None)
 
 def tonnage_curve(samples: DataFrame, density: float, limit: int | None = None) -> DataFrame:
     """Cumulative tonnage, metal and grade per element from the highest grade down."""
-    tonnes = F.col("Interval_Length") * density
     rows = samples.filter(P.positive_grade() & (F.col("Interval_Length") > 0)).select(
         "SampleID", "Element", "Depth_To", GRADE, "Interval_Length")
     curve = running_totals(
         rows, ["Element"], [F.desc(GRADE), "SampleID", "Depth_To", "Interval_Length"],
-        {"cumulative_tonnage": tonnes, "cumulative_metal": F.col(GRADE) * tonnes / 1e6}, limit,
+        {"_length": F.col("Interval_Length"), "_content": F.col(GRADE) * F.col("Interval_Length")}, limit,
     )
-    return curve.withColumn("cumulative_grade", F.col("cumulative_metal") / F.col("cumulative_tonnage") * 1e6)
+    return curve.withColumns({
+        "cumulative_tonnage": F.col("_length") * density, "cumulative_metal": F.col("_content") * density / 1e6,
+        "cumulative_grade": F.col("_content") / F.col("_length")}).drop("_length", "_content")
 
 
 def latest_model(models: DataFrame) -> DataFrame:

@@ -186,7 +186,13 @@ def feature_matrix(df: DataFrame, names: Sequence[str] = REFERENCE_FEATURES, fit
     if fitted is None:
         rows = keep(rows)  # read twice: for the medians and for the result
         fitted = fit_impute(rows, "median", present, [])
-    return impute(rows, fitted.select(*present))
+    return fill_features(rows, fitted, present)
+
+
+def fill_features(rows: DataFrame, fitted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Missing features replaced by the fitted values; a feature that had no
+    value at all when fitted becomes zero, since trees take no gaps."""
+    return impute(rows, fitted.select(*names)).fillna(0.0, subset=list(names))
 
 
 def align_features(df: DataFrame, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

@@ -19,10 +19,11 @@ from corelode.functions.predicates import GRADE
 from corelode.functions.scalars import r2_level
 from corelode.operators import stats
 from corelode.operators.features import (
-    CODED, LEAK_FREE_FEATURES, feature_columns, feature_matrix, features_prediction, features_training, fit_location,
+    CODED, LEAK_FREE_FEATURES, feature_columns, feature_matrix, features_prediction, features_training, fill_features,
+    fit_location,
 )
 from corelode.operators.ordered import row_numbers
-from corelode.operators.prep import fit_impute, impute, label_codes, split, with_row
+from corelode.operators.prep import fit_impute, label_codes, split, with_row
 from corelode.operators.quantiles import quantiles
 from corelode.operators.rows import training_rows
 from corelode.schema import Z_95
@@ -322,7 +323,7 @@ def train_workflow(
     used = [f for f in features if f in wide.columns]
     raw = keep(feature_columns(wide, used, ["part"]))
     fills = keep(fit_impute(raw.filter("part = 'train'"), "median", used, []))
-    matrix = impute(raw, fills.select(*used))
+    matrix = fill_features(raw, fills, used)
     model = train_gbt(matrix.filter("part = 'train'"), used, **parameters)
     scored = keep(predict_nonneg(model, matrix))
     residuals = keep(residual_row(scored.filter("part = 'validation'")))

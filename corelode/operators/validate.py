@@ -253,11 +253,17 @@ def validate_samples(df: DataFrame, required: list[str] | None = None) -> DataFr
 
 
 def schema_info(spark: SparkSession, relations: dict[str, DataFrame]) -> DataFrame:
-    """Columns of relations in order, with type and nullability."""
-    rows = [
-        (name, i + 1, f.name, f.dataType.simpleString(), f.nullable)
-        for name, df in relations.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "relation string, position int, column string, type string, nullable boolean")
+    """Columns of relations in order, with type, nullability and number of values."""
+    tables = None
+    for name, df in relations.items():
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        lines = counts.select(F.inline(F.array(*[
+            F.struct(
+                F.lit(name).alias("relation"), F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"), F.col(f.name).alias("values"))
+            for i, f in enumerate(df.schema.fields)])))
+        tables = lines if tables is None else tables.unionByName(lines)
+    return tables
 
 
 def schema_validation(spark: SparkSession, relations: dict[str, DataFrame]) -> DataFrame:

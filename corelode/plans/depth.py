@@ -53,11 +53,11 @@ _ROLLING_IN = ["SampleID", "Element", "Hole_ID", "latitude", "longitude", "Depth
 register("rolling10", lambda t: D.rolling_grades(t.hole_samples.select(*_ROLLING_IN)), ROLLING, **ROLLING_DIGITS)
 register(
     "tonnage_curve", lambda t: D.tonnage_curve(t.hole_samples, 2.7),
-    f"""SELECT *, cumulative_metal / cumulative_tonnage * 1e6 AS cumulative_grade FROM (
-    SELECT SampleID, Element, Depth_To, {G}, Interval_Length, sum(Interval_Length * 2.7) OVER w AS cumulative_tonnage,
-    sum({G} * (Interval_Length * 2.7) / 1e6) OVER w AS cumulative_metal FROM hole_samples WHERE {G} > 0 AND Interval_Length > 0
+    f"""SELECT * EXCLUDE (l, c), l * 2.7::DOUBLE AS cumulative_tonnage, c * 2.7::DOUBLE / 1e6 AS cumulative_metal, c / l AS cumulative_grade FROM (
+    SELECT SampleID, Element, Depth_To, {G}, Interval_Length, sum(Interval_Length) OVER w AS l, sum({G} * Interval_Length) OVER w AS c
+    FROM hole_samples WHERE {G} > 0 AND Interval_Length > 0
     WINDOW w AS (PARTITION BY Element ORDER BY {G} DESC, SampleID, Depth_To, Interval_Length ROWS UNBOUNDED PRECEDING))""",
-    cumulative_tonnage=3, cumulative_metal=5, cumulative_grade=4,
+    cumulative_tonnage=3, cumulative_metal=10, cumulative_grade=6,
 )
 _LATEST = "SELECT * FROM models QUALIFY row_number() OVER (PARTITION BY element ORDER BY trained DESC) = 1"
 register("latest_model", lambda t: D.latest_model(t.models), _LATEST)

@@ -327,3 +327,14 @@ register(
 _ROW_ID = ["SampleID", "Element", "Depth_To", GRADE]
 register("split", lambda t: X.split_sizes(X.split(R.training_rows(t.hole_samples), _ROW_ID)))
 register("split_stability", lambda t: X.split_stability(R.training_rows(t.hole_samples), _ROW_ID))
+
+
+def _isolated(t):
+    from corelode.operators.isolation import isolation_forest
+
+    rows = R.training_rows(t.hole_samples).select(*_ROW_ID, "Depth_From")
+    return isolation_forest(rows, [GRADE, "Depth_From"], _ROW_ID, trees=50)
+
+
+register("outliers_isolation_forest", _isolated)
+register("schema_info", lambda t: V.schema_info(t.spark, {"hole_samples": t.hole_samples, "collars": t.collars, "hole_grades": t.hole_grades}))
