@@ -73,20 +73,26 @@ def features_neighbors(samples: DataFrame, k: int = 5) -> DataFrame:
     around = (
         near.join(leaders, "r_id").withColumn("_n", F.row_number().over(by_distance)).filter(F.col("_n") <= k + 1)
         .groupBy("t_id").agg(F.sort_array(F.collect_list(F.struct("distance", "who"))).alias("_around")))  # k + 1 entries
-    me = F.array_position(F.transform("_around", lambda x: x["who"]), F.struct(*IDENTITY))
-    others = F.slice(F.filter("_around", lambda x, i: (i + 1) != me), 1, k)
-    distances = F.transform("_n", lambda x: x["distance"])
-    grades = F.transform("_n", lambda x: x["who"][GRADE])
 
     def mean(values: Column) -> Column:
         return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
 
+    def summary(position: Column) -> Column:
+        """Statistics of the first k neighbours without the one at a position."""
+        others = F.slice(F.filter("_around", lambda x, i: (i + 1) != position), 1, k)
+        distances, grades = F.transform(others, lambda x: x["distance"]), F.transform(others, lambda x: x["who"][GRADE])
+        return F.struct(
+            mean(distances).alias("avg_neighbor_distance"), F.array_min(distances).alias("min_neighbor_distance"),
+            F.array_max(distances).alias("max_neighbor_distance"), mean(grades).alias("avg_neighbor_grade"))
+
+    # per location: the result for rows that are not in the list, then for each that is
+    results = around.select(
+        F.col("t_id").alias("site"), F.transform("_around", lambda x: x["who"]).alias("_who"),
+        F.transform(F.sequence(F.lit(0), F.size("_around")), summary).alias("_results"))
+    picked = F.element_at("_results", F.array_position("_who", F.struct(*IDENTITY)).cast("int") + 1)
     return (
-        valid.withColumn("site", point_id()).join(around.withColumnRenamed("t_id", "site"), "site")
-        .withColumn("_n", others).withColumns({
-            "avg_neighbor_distance": mean(distances), "min_neighbor_distance": F.array_min(distances),
-            "max_neighbor_distance": F.array_max(distances), "avg_neighbor_grade": mean(grades)})
-        .withColumn("grade_vs_neighbors", F.col(GRADE) - F.col("avg_neighbor_grade")).drop("_n", "_around", "site"))
+        valid.withColumn("site", point_id()).join(results, "site").withColumn("_picked", picked)
+        .select(*valid.columns, "_picked.*").withColumn("grade_vs_neighbors", F.col(GRADE) - F.col("avg_neighbor_grade")))
 
 
 def features_grade(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corelode.functions import predicates as P
 from corelode.functions.predicates import GRADE
 from corelode.operators.neighbours import cell_join, locations, nearest, pairs_within_km
-from corelode.operators.ordered import running_totals
+from corelode.operators.ordered import row_numbers, running_totals
 from corelode.schema import Z_95
 from corelode.session import keep
 
@@ -236,16 +236,19 @@ def grade_continuity(samples: DataFrame, metres: float, limit: int | None = None
     running counts and sums then give every sample its total difference to all
     the others.
     """
-    valid = samples.filter(P.valid_sample()).withColumn("site", point_id())
-    levels = keep(valid.groupBy("Element", "site", "latitude", "longitude", F.col(GRADE).alias("g")).agg(F.count("*").alias("n")))
-    sites = keep(levels.select("site", "latitude", "longitude").distinct())
+    valid = samples.filter(P.valid_sample())
+    sites = keep(row_numbers(valid.select("latitude", "longitude").distinct(), [], ["latitude", "longitude"], "site"))
+    levels = keep(
+        valid.groupBy("Element", "latitude", "longitude", F.col(GRADE).alias("g")).agg(F.count("*").alias("n"))
+        .join(sites, ["latitude", "longitude"]).select("Element", "site", "g", "n"))
 
     def side(tag: str) -> DataFrame:
         return sites.select(F.col("site").alias(f"{tag}_id"), F.col("latitude").alias(f"{tag}_lat"), F.col("longitude").alias(f"{tag}_lon"))
 
     near = pairs_within_km(side("a"), side("b"), metres / 1000).select(F.col("a_id").alias("around"), F.col("b_id").alias("site"))
-    reach = near.join(levels.select("Element", "site", "g", "n"), "site").groupBy("Element", "around", "g").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("site") == F.col("around"), F.col("n")).otherwise(0)).alias("own"))
+    # written once: it is measured, put in order and summed
+    reach = keep(near.join(levels, "site").groupBy("Element", "around", "g").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("site") == F.col("around"), F.col("n")).otherwise(0)).alias("own")))
     ordered = running_totals(reach, ["Element", "around"], ["g"], {
         "upto": F.col("n"), "total": F.col("n") * F.col("g")}, limit)
     sums = reach.groupBy("Element", "around").agg(

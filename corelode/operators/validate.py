@@ -65,47 +65,97 @@ def _outside(field: str, limits: tuple[float, float]) -> Column:
     return F.count_if((F.col(field) < limits[0]) | (F.col(field) > limits[1]))
 
 
-def validate_coordinates(df: DataFrame) -> DataFrame:
+# A check is a list of aggregates and the report lines made of them, so that
+# several checks can share one pass.
+Check = tuple[list[Column], list[Line]]
+
+
+def _coordinate_check() -> Check:
     limits = {"latitude": LATITUDE_RANGE, "longitude": LONGITUDE_RANGE}
-    absent = _missing(df, "coordinates", list(limits))
-    if absent is not None:
-        return absent
-    one = df.agg(*[s for f in limits for s in _range_stats(f)], *[_outside(f, r).alias(f"{f}_outside") for f, r in limits.items()])
+    aggregates = [s for f in limits for s in _range_stats(f)] + [_outside(f, r).alias(f"{f}_outside") for f, r in limits.items()]
     lines = [line for f in limits for line in [
         *_range_lines(f), (f, "out_of_range", F.col(f"{f}_outside"), F.col(f"{f}_outside") == 0)]]
-    return _long(one, "coordinates", lines)
+    return aggregates, lines
 
 
-def validate_depths(df: DataFrame) -> DataFrame:
+def _depth_check() -> Check:
     fields = ["Depth_From", "Depth_To"]
-    absent = _missing(df, "depths", fields)
-    if absent is not None:
-        return absent
     length = F.col("Depth_To") - F.col("Depth_From")
-    one = df.agg(
+    aggregates = [
         *[s for f in fields for s in _range_stats(f)], *[_outside(f, DEPTH_RANGE).alias(f"{f}_outside") for f in fields],
         F.count_if(F.col("Depth_From") >= F.col("Depth_To")).alias("order"),
-        F.count_if(F.abs(F.col("Interval_Length") - length) > INTERVAL_TOLERANCE).alias("mismatch"))
+        F.count_if(F.abs(F.col("Interval_Length") - length) > INTERVAL_TOLERANCE).alias("mismatch")]
     lines = [line for f in fields for line in [
         *_range_lines(f), (f, "out_of_range", F.col(f"{f}_outside"), F.col(f"{f}_outside") == 0)]]
     lines += [("interval", "from_not_before_to", F.col("order"), F.col("order") == 0), ("interval", "length_mismatch", F.col("mismatch"), None)]
-    return _long(one, "depths", lines)
+    return aggregates, lines
 
 
-def validate_grades(df: DataFrame) -> DataFrame:
-    absent = _missing(df, "grades", [GRADE])
-    if absent is not None:
-        return absent
+def _grade_check() -> Check:
+    """Its lines read the quartiles from the struct ``_q``."""
     g = F.col(GRADE)
-    marks = quantiles(df, [], {"median": (g, 0.5), "q25": (g, 0.25), "q75": (g, 0.75)})
-    one = df.agg(
+    aggregates = [
         *_range_stats(GRADE), F.count_if(g == 0).alias("zero"), F.count_if(g < 0).alias("negative"),
-        F.count_if(g > GRADE_MAXIMUM).alias("extreme")).withColumn("_q", marks.select(F.struct("*")).scalar())
+        F.count_if(g > GRADE_MAXIMUM).alias("extreme")]
     lines = _range_lines(GRADE) + [
         (GRADE, "zero_count", F.col("zero"), None), (GRADE, "negative_count", F.col("negative"), None),
         (GRADE, "extreme_count", F.col("extreme"), None)]
     lines += [(GRADE, m, F.col(f"_q.{m}"), None) for m in ("median", "q25", "q75")]
-    return _long(one, "grades", lines)
+    return aggregates, lines
+
+
+def _statistics_check() -> Check:
+    """Its aggregates read the quartiles from the struct ``_q``."""
+    g = F.col(GRADE)
+    spread = F.col("_q.q75") - F.col("_q.q25")
+    outlier = (g < F.col("_q.q25") - 1.5 * spread) | (g > F.col("_q.q75") + 1.5 * spread)
+    aggregates = [
+        F.count_if(outlier).alias("outliers"), F.count(g).alias("known"), corrected_skewness(g).alias("skew"),
+        corrected_kurtosis(g).alias("kurt"), F.try_divide(F.stddev_samp(g), F.avg(g)).alias("cv")]
+    share = F.try_divide(F.col("outliers") * 100.0, F.col("known"))
+    lines = [
+        (GRADE, "outlier_count", F.col("outliers"), None), (GRADE, "outlier_percent", share, share <= 10),
+        (GRADE, "skewness", F.col("skew"), F.abs("skew") <= 3), (GRADE, "kurtosis", F.col("kurt"), None),
+        (GRADE, "coefficient_of_variation", F.col("cv"), F.col("cv") >= 0.1)]
+    return aggregates, lines
+
+
+def _identifier_check() -> Check:
+    aggregates = [c for f in IDENTIFIERS for c in (
+        F.count(f).alias(f"{f}_count"), F.count_if(F.col(f).isNull()).alias(f"{f}_nulls"), F.count_if(F.col(f) == "").alias(f"{f}_empty"))]
+    lines = [line for f in IDENTIFIERS for line in (
+        (f, "count", F.col(f"{f}_count"), None), (f, "null_count", F.col(f"{f}_nulls"), F.col(f"{f}_nulls") == 0),
+        (f, "empty_count", F.col(f"{f}_empty"), F.col(f"{f}_empty") == 0))]
+    return aggregates, lines
+
+
+def _quartiles(df: DataFrame) -> Column:
+    g = F.col(GRADE)
+    return quantiles(df, [], {"median": (g, 0.5), "q25": (g, 0.25), "q75": (g, 0.75)}).select(F.struct("*")).scalar()
+
+
+def validate_coordinates(df: DataFrame) -> DataFrame:
+    absent = _missing(df, "coordinates", ["latitude", "longitude"])
+    if absent is not None:
+        return absent
+    aggregates, lines = _coordinate_check()
+    return _long(df.agg(*aggregates), "coordinates", lines)
+
+
+def validate_depths(df: DataFrame) -> DataFrame:
+    absent = _missing(df, "depths", ["Depth_From", "Depth_To"])
+    if absent is not None:
+        return absent
+    aggregates, lines = _depth_check()
+    return _long(df.agg(*aggregates), "depths", lines)
+
+
+def validate_grades(df: DataFrame) -> DataFrame:
+    absent = _missing(df, "grades", [GRADE])
+    if absent is not None:
+        return absent
+    aggregates, lines = _grade_check()
+    return _long(df.agg(*aggregates).withColumn("_q", _quartiles(df)), "grades", lines)
 
 
 def validate_identifiers(df: DataFrame) -> DataFrame:
@@ -113,11 +163,8 @@ def validate_identifiers(df: DataFrame) -> DataFrame:
     absent = _missing(df, "identifiers", IDENTIFIERS)
     if absent is not None:
         return absent.withColumn("most_common", F.lit(None).cast("string"))
-    one = df.agg(*[c for f in IDENTIFIERS for c in (
-        F.count(f).alias(f"{f}_count"), F.count_if(F.col(f).isNull()).alias(f"{f}_nulls"), F.count_if(F.col(f) == "").alias(f"{f}_empty"))])
-    lines = [line for f in IDENTIFIERS for line in (
-        (f, "count", F.col(f"{f}_count"), None), (f, "null_count", F.col(f"{f}_nulls"), F.col(f"{f}_nulls") == 0),
-        (f, "empty_count", F.col(f"{f}_empty"), F.col(f"{f}_empty") == 0))]
+    aggregates, lines = _identifier_check()
+    one = df.agg(*aggregates)
     counts = _long(one, "identifiers", lines).withColumn("most_common", F.lit(None).cast("string"))
     common = modes(df, IDENTIFIERS).select(
         F.lit("identifiers").alias("check"), "field", F.lit("unique_count").alias("metric"),
@@ -145,19 +192,8 @@ def overlap_check(df: DataFrame, limit: int | None = None) -> DataFrame:
 def statistical_properties(df: DataFrame) -> DataFrame:
     """Outliers by quartiles, skewness, kurtosis and coefficient of variation of
     the grades. These rows never fail a report; ``passed`` marks the remark."""
-    g = F.col(GRADE)
-    known = df.filter(g.isNotNull())
-    marks = quantiles(known, [], {"q1": (g, 0.25), "q3": (g, 0.75)}).select(F.struct("*")).scalar()
-    spread = F.col("_q.q3") - F.col("_q.q1")
-    outlier = (g < F.col("_q.q1") - 1.5 * spread) | (g > F.col("_q.q3") + 1.5 * spread)
-    one = known.withColumn("_q", marks).agg(
-        F.count_if(outlier).alias("out"), F.count("*").alias("rows"), corrected_skewness(g).alias("skew"),
-        corrected_kurtosis(g).alias("kurt"), F.try_divide(F.stddev_samp(g), F.avg(g)).alias("cv"))
-    share = F.try_divide(F.col("out") * 100.0, F.col("rows"))
-    return _long(one, "statistics", [
-        (GRADE, "outlier_count", F.col("out"), None), (GRADE, "outlier_percent", share, share <= 10),
-        (GRADE, "skewness", F.col("skew"), F.abs("skew") <= 3), (GRADE, "kurtosis", F.col("kurt"), None),
-        (GRADE, "coefficient_of_variation", F.col("cv"), F.col("cv") >= 0.1)])
+    aggregates, lines = _statistics_check()
+    return _long(df.withColumn("_q", _quartiles(df)).agg(*aggregates), "statistics", lines)
 
 
 def issues(report: DataFrame) -> DataFrame:
@@ -169,13 +205,30 @@ def issues(report: DataFrame) -> DataFrame:
 
 
 def validation_lines(df: DataFrame) -> DataFrame:
-    """All checks in one relation."""
-    checks = [
-        validate_coordinates(df), validate_depths(df), validate_grades(df), validate_identifiers(df).drop("most_common"),
-        duplicate_intervals(df), overlap_check(df), statistical_properties(df)]
-    report = checks[0]
-    for c in checks[1:]:
-        report = report.unionByName(c)
+    """All checks in one relation.
+
+    The checks that only aggregate share one pass; duplicates, overlaps and
+    distinct identifiers group the rows in their own ways.
+    """
+    needed = ["latitude", "longitude", "Depth_From", "Depth_To", GRADE, *IDENTIFIERS]
+    absent = _missing(df, "required", needed)
+    if absent is not None:
+        return absent
+    checks = {
+        "coordinates": _coordinate_check(), "depths": _depth_check(), "grades": _grade_check(),
+        "identifiers": _identifier_check(), "statistics": _statistics_check()}
+    quartiles = _quartiles(df)
+    one = df.withColumn("_q", quartiles).agg(*[a for aggregates, _ in checks.values() for a in aggregates]).withColumn("_q", quartiles)
+    every = [(name, *line) for name, (_, lines) in checks.items() for line in lines]
+    report = one.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(check).alias("check"), F.lit(field).alias("field"), F.lit(metric).alias("metric"), value.cast("double").alias("value"),
+            (F.lit(None).cast("boolean") if passed is None else passed).alias("passed"))
+        for check, field, metric, value, passed in every])))
+    distinct = df.agg(*[F.count_distinct(f).alias(f) for f in IDENTIFIERS])
+    unique = _long(distinct, "identifiers", [(f, "unique_count", F.col(f), None) for f in IDENTIFIERS])
+    for more in (unique, duplicate_intervals(df), overlap_check(df)):
+        report = report.unionByName(more)
     return report
 
 
