@@ -18,7 +18,8 @@ from corelode.session import keep, limit_of
 
 # locations one task may hold for one cell before the cell is split
 ROWS_PER_CELL = 2_000
-AROUND = (-1, 0, 1)
+# cells that may be sent to every task (level n has at most 16 ** n)
+BROADCAST_CELLS = 100_000
 
 
 def locations(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -33,39 +34,35 @@ def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
-def _busiest(df: DataFrame, cells: dict[str, Column]) -> int:
-    row = df.groupBy(*[c.alias(n) for n, c in cells.items()]).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def cell_join(
     left: DataFrame, right: DataFrame, sizes: dict[tuple[str, str], float], equal: Sequence[str] = (),
-    per_cell: int | None = None,
+    per_cell: int | None = None, reach: int = 1,
 ) -> DataFrame:
-    """Rows of both sides in the same or in adjacent cells.
+    """Rows of both sides in the same or in near cells.
 
-    ``sizes`` maps (left column, right column) to the cell size along it, which
-    must be at least the distance sought. A left row visits the adjacent cells,
-    a right row has one cell, so each pair meets once. The busiest right cell is
-    measured; above ``per_cell`` rows all cells are split by a hash and the left
-    rows visit every piece.
+    ``sizes`` maps (left column, right column) to the cell size along it; the
+    distance sought must not exceed ``reach`` cells. A left row visits the cells
+    around its own, a right row has one cell, so each pair meets once. Right
+    cells with more than ``per_cell`` rows are split by a hash, and the left rows
+    that visit such a cell visit all its pieces; other cells are left alone.
     """
     spark = left.sparkSession
     per_cell = per_cell or limit_of(spark, "rowsPerCell", ROWS_PER_CELL)
     names = [f"_c{i}" for i in range(len(sizes))]
-    own = {n: _cell(r, size) for n, ((_, r), size) in zip(names, sizes.items())}
-    busiest = _busiest(right, {**{k: F.col(k) for k in equal}, **own})
-    pieces = max(1, math.ceil(busiest / per_cell))
-    one = right.withColumns(own)
+    around = range(-reach, reach + 1)
+    one = right.withColumns({n: _cell(r, size) for n, ((_, r), size) in zip(names, sizes.items())})
     many = left
     for n, ((l, _), size) in zip(names, sizes.items()):
-        many = many.withColumn(n, F.explode(F.array(*[_cell(l, size) + d for d in AROUND])))
+        many = many.withColumn(n, F.explode(F.array(*[_cell(l, size) + d for d in around])))
     on = [*equal, *names]
-    if pieces > 1:
-        spread = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(pieces))
-        one = one.withColumn("_piece", spread)
-        many = many.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
-        on.append("_piece")
+    crowded = keep(one.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_cell).select(
+        *on, F.ceil(F.col("_n") / per_cell).alias("_pieces")))
+    if not crowded.isEmpty():
+        one = one.join(crowded, on, "left").withColumn(
+            "_piece", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.coalesce("_pieces", F.lit(1).cast("long")))).drop("_pieces")
+        many = many.join(crowded, on, "left").withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1).cast("long")) - 1))).drop("_pieces")
+        on = [*on, "_piece"]
     return many.join(one, on).drop(*[c for c in on if c not in equal])
 
 
@@ -133,6 +130,9 @@ def nearest(
         shift, width = 2 * (depth - level), size * 4 ** (depth - level)
         cells = leaves.groupBy(F.shiftright("x", shift).alias("x"), F.shiftright("y", shift).alias("y")).agg(F.sum("n").alias("n"))
         cells = cells.withColumn("px", F.shiftright("x", 2)).withColumn("py", F.shiftright("y", 2))
+        if 16**level <= BROADCAST_CELLS:
+            # all targets share few parents here; the cells are few by construction
+            cells = F.broadcast(cells)
         met = front.join(cells, ["px", "py"]).withColumns(_reach(south, west, width))
         if max_distance is not None:
             met = met.filter(F.col("_near") <= max_distance)

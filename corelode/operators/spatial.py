@@ -186,46 +186,124 @@ def cluster_summary(labelled: DataFrame, value: str = "value", label: str = "clu
 def cluster_dbscan(points: DataFrame, columns: list[str], eps: float, min_samples: int = 5, rounds: int = 60) -> DataFrame:
     """DBSCAN labels as column ``cluster`` (noise -1); a point counts itself.
 
-    Equal points are merged and carry their number. Core points are connected by
-    spreading the smallest label and following it (pointer jumping), so the
-    number of rounds grows with the logarithm of a chain's length.
+    Equal points are merged and carry their number. Space is cut into cells so
+    small that any two points of a cell are neighbours. A cell with
+    ``min_samples`` points is a cluster part as a whole: its points are core and
+    connected, and no pairs are formed inside it or between two such cells. Only
+    the points of thin cells (fewer than ``min_samples``) are compared one by one.
     """
     known = points.dropna(subset=columns)
-    sites = keep(known.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn(
-        "_id", F.concat_ws(",", *[F.col(c).cast("string") for c in columns])))
+    side = eps / math.sqrt(len(columns)) * (1 - 1e-9)
+    cell = F.concat_ws(",", *[F.floor(F.col(c) / side).cast("string") for c in columns])
+    sites = keep(known.groupBy(*columns).agg(F.count("*").alias("n")).withColumns({
+        "id": F.concat_ws(",", *[F.col(c).cast("string") for c in columns]), "cell": cell}))
+    dense = keep(sites.groupBy("cell").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_samples).select("cell", F.lit(True).alias("dense")))
+    marked = keep(sites.join(dense, "cell", "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
+
+    def tagged(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in (*columns, "id", "cell", "n", "dense")])
+
+    near = cell_join(
+        tagged(marked.filter("NOT dense"), "a"), tagged(marked, "b"), {(f"a_{c}", f"b_{c}"): side for c in columns},
+        reach=math.ceil(math.sqrt(len(columns))))
+    gap = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0))
+    # a dense cell is one node: what counts is how many of its points are near
+    node = F.when(F.col("b_dense"), F.concat(F.lit("cell:"), F.col("b_cell"))).otherwise(F.col("b_id"))
+    edges = keep(near.filter(F.sqrt(gap) <= eps).groupBy("a_id", node.alias("b"), F.col("b_dense").alias("whole")).agg(F.sum("b_n").alias("n")))
+    thin_core = keep(edges.groupBy("a_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("a_id"))
+    from_core = edges.join(thin_core, "a_id", "left_semi")
+    among = from_core.filter("NOT whole").join(thin_core.withColumnRenamed("a_id", "b"), "b", "left_semi").select("a_id", "b")
+    to_cells = from_core.filter("whole").select("a_id", "b")
+    cell_links = _dense_links(marked.filter("dense"), columns, side, eps).select(
+        F.concat(F.lit("cell:"), F.col("a")).alias("a_id"), F.concat(F.lit("cell:"), F.col("b")).alias("b"))
+    one_way = among.unionByName(to_cells).unionByName(cell_links)
+    links = keep(one_way.unionByName(one_way.select(F.col("b").alias("a_id"), F.col("a_id").alias("b"))).distinct())
+    nodes = thin_core.select(F.col("a_id").alias("id")).unionByName(dense.select(F.concat(F.lit("cell:"), F.col("cell")).alias("id")))
+    labels = _components(nodes, links, rounds)
+
+    numbers = row_numbers(labels.select("label").distinct(), [], ["label"], "_k").select("label", (F.col("_k") - 1).alias("cluster"))
+    named = keep(labels.join(numbers, "label").select("id", "cluster"))
+    # a border point takes the smallest label among its core neighbours
+    border = edges.join(named.withColumnRenamed("id", "b"), "b").groupBy(F.col("a_id").alias("id")).agg(F.min("cluster").alias("_border"))
+    own = F.when(F.col("dense"), F.concat(F.lit("cell:"), F.col("cell"))).otherwise(F.col("id"))
+    placed = (
+        marked.withColumn("_own", own).join(named.select(F.col("id").alias("_own"), "cluster"), "_own", "left").join(border, "id", "left")
+        .select(*columns, F.coalesce("cluster", "_border", F.lit(-1).cast("long")).alias("cluster")))
+    return known.join(placed, columns)
 
-    def side(tag: str) -> DataFrame:
-        return sites.select(F.col("_id").alias(f"{tag}_id"), F.col("_n").alias(f"{tag}_n"), *[
-            F.col(c).alias(f"{tag}_{c}") for c in columns])
 
-    near = cell_join(side("a"), side("b"), {(f"a_{c}", f"b_{c}"): eps for c in columns})
-    gap = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0))
-    edges = keep(near.filter(F.sqrt(gap) <= eps).select("a_id", "b_id", "b_n"))
-    core = keep(edges.groupBy("a_id").agg(F.sum("b_n").alias("d")).filter(F.col("d") >= min_samples).select(F.col("a_id").alias("id")))
-    links = keep(
-        edges.join(core.withColumnRenamed("id", "a_id"), "a_id", "left_semi")
-        .join(core.withColumnRenamed("id", "b_id"), "b_id", "left_semi").select("a_id", "b_id"))
-    labels = core.select("id", F.col("id").alias("label"))
+def _components(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """Smallest reachable node per node, as ``label``.
+
+    Labels spread along links and jump to the label's own label, so the number
+    of rounds grows with the logarithm of a chain's length. Each round is
+    written, which also ends its lineage.
+    """
+    labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
-        lowest = links.join(labels.withColumnsRenamed({"id": "b_id", "label": "l"}), "b_id").groupBy("a_id").agg(F.min("l").alias("l"))
-        spread = labels.join(lowest.withColumnRenamed("a_id", "id"), "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
+        lowest = links.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a_id").alias("id")).agg(F.min("l").alias("l"))
+        spread = labels.join(lowest, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = keep(spread.join(jump, "label", "left").select(
-            "id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        moved = keep(spread.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         labels = moved.select("id", "label")
         if moved.filter(F.col("old") != F.col("label")).isEmpty():
-            break
-    else:
-        raise RuntimeError(f"clusters not settled after {rounds} rounds")
-    # a border point takes the smallest label among its core neighbours
-    reached = edges.join(labels.withColumnsRenamed({"id": "b_id"}), "b_id").groupBy("a_id").agg(F.min("label").alias("label"))
-    own = reached.join(labels.select(F.col("id").alias("a_id"), F.col("label").alias("own")), "a_id", "left").select(
-        F.col("a_id").alias("_id"), F.coalesce("own", "label").alias("_label"))
-    numbers = running_totals(own.select("_label").distinct(), [], ["_label"], {"_k": F.lit(1).cast("long")})
-    ids = own.join(numbers, "_label").select("_id", (F.col("_k") - 1).alias("cluster"))
-    sited = sites.join(ids, "_id", "left").select(*columns, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
-    return known.join(sited, columns)
+            return labels
+    raise RuntimeError(f"clusters not settled after {rounds} rounds")
+
+
+def _dense_links(dense: DataFrame, columns: list[str], side: float, eps: float, levels: int = 16) -> DataFrame:
+    """Pairs (a, b) of dense cells that have two points within ``eps``.
+
+    A pair of cells is decided by the bounding boxes of its points: linked if
+    even the farthest corners are within ``eps``, apart if the boxes are. Only
+    undecided pairs go on to the boxes of their halves, and a pair is dropped as
+    soon as one of its boxes links it. A box of one point is always decided.
+    """
+    finest = side / 2**levels
+    at = {f"p{i}": F.floor(F.col(c) / side) for i, c in enumerate(columns)}
+    deep = {f"q{i}": F.least(F.lit(2**levels - 1), F.floor((F.col(c) - F.col(f"p{i}") * side) / finest)) for i, c in enumerate(columns)}
+    leaf = keep(dense.withColumns(at).withColumns(deep).select("cell", *columns, *at, *deep))
+
+    def boxes(level: int, tag: str) -> DataFrame:
+        key = F.concat_ws(",", *[F.shiftright(q, levels - level).cast("string") for q in deep])
+        parent = F.concat_ws(",", *[F.shiftright(q, levels - level + 1).cast("string") for q in deep])
+        grouped = leaf.groupBy(F.col("cell").alias(tag), *( [key.alias(f"{tag}_box"), parent.alias(f"{tag}_parent")] if level else [])).agg(
+            *[F.min(c).alias(f"{tag}_lo{i}") for i, c in enumerate(columns)], *[F.max(c).alias(f"{tag}_hi{i}") for i, c in enumerate(columns)],
+            *[F.first(p).alias(f"{tag}_{p}") for p in (at if not level else [])])
+        return grouped if level else grouped.withColumn(f"{tag}_box", F.lit("0"))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        near, far = F.lit(0.0), F.lit(0.0)
+        for i in range(len(columns)):
+            lo1, hi1, lo2, hi2 = (F.col(f"{t}_{e}{i}") for t in ("a", "b") for e in ("lo", "hi"))
+            n = F.greatest(lo1 - hi2, lo2 - hi1, F.lit(0.0))
+            f = F.greatest(hi1 - lo2, hi2 - lo1)
+            near, far = near + n * n, far + f * f
+        return pairs.select("a", "b", "a_box", "b_box", (F.sqrt(far) <= eps).alias("linked"), (F.sqrt(near) <= eps).alias("open")).filter("open")
+
+    a, b = boxes(0, "a"), boxes(0, "b")
+    met = cell_join(a, b, {(f"a_p{i}", f"b_p{i}"): 1.0 for i in range(len(columns))}, reach=math.ceil(math.sqrt(len(columns))))
+    state = keep(measured(met.filter(F.col("a") < F.col("b"))))
+    linked = state.filter("linked").select("a", "b").distinct()
+    for level in range(1, levels + 1):
+        done = state.filter("linked").select("a", "b").distinct()
+        open_pairs = keep(state.filter("NOT linked").join(done, ["a", "b"], "left_anti").select(
+            "a", "b", F.col("a_box").alias("a_parent"), F.col("b_box").alias("b_parent")))
+        if open_pairs.isEmpty():
+            return linked
+        parents = ["a", "a_parent"], ["b", "b_parent"]
+        state = keep(measured(open_pairs.join(boxes(level, "a"), parents[0]).join(boxes(level, "b"), parents[1])))
+        linked = linked.unionByName(state.filter("linked").select("a", "b").distinct())
+    # points this close together are compared one by one
+    undecided = state.filter("NOT linked").select("a", "b", "a_box", "b_box")
+
+    def members(tag: str) -> DataFrame:
+        box = F.concat_ws(",", *[F.col(q).cast("string") for q in deep])
+        return leaf.select(F.col("cell").alias(tag), box.alias(f"{tag}_box"), *[F.col(c).alias(f"{tag}_x{i}") for i, c in enumerate(columns)])
+
+    both = undecided.join(members("a"), ["a", "a_box"]).join(members("b"), ["b", "b_box"])
+    gap = sum(((F.col(f"a_x{i}") - F.col(f"b_x{i}")) * (F.col(f"a_x{i}") - F.col(f"b_x{i}")) for i in range(len(columns))), F.lit(0.0))
+    return linked.unionByName(both.filter(F.sqrt(gap) <= eps).select("a", "b")).distinct()
 
 
 def grade_continuity(samples: DataFrame, metres: float, limit: int | None = None) -> DataFrame:

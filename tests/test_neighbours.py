@@ -196,3 +196,35 @@ def test_kmeans_separates_blobs(spark):
     df = spark.createDataFrame([(0.0 + i / 1000, 0.0, 1.0) for i in range(20)] + [(5.0 + i / 1000, 5.0, 9.0) for i in range(20)], "latitude double, longitude double, value double")
     summary = rows(G.cluster_summary(G.cluster_kmeans(df, ["latitude", "longitude", "value"], 2)), "size", "mean_value")
     assert summary == [(20, 1.0), (20, 9.0)]
+
+
+@pytest.mark.parametrize("eps,least,levels", [(0.05, 4, 16), (0.12, 6, 16), (0.12, 6, 1)])
+def test_dbscan_equals_the_definition(spark, monkeypatch, eps, least, levels):
+    """Same core components, noise and admissible border labels as brute force,
+    with a third of the points in one dense spot."""
+    links = G._dense_links
+    monkeypatch.setattr(G, "_dense_links", lambda *a: links(*a, levels=levels))
+    r = random.Random(11)
+    pts = [(round(r.gauss(0.5, 0.02), 4), round(r.gauss(0.5, 0.02), 4)) for _ in range(100)]
+    pts += [(round(r.uniform(0, 2), 4), round(r.uniform(0, 2), 4)) for _ in range(200)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, x double, y double")
+    got = {q["id"]: q["cluster"] for q in G.cluster_dbscan(df, ["x", "y"], eps, least).collect()}
+    near = {i: [j for j, q in enumerate(pts) if math.dist(p, q) <= eps] for i, p in enumerate(pts)}
+    core = {i for i in near if len(near[i]) >= least}
+    seen, parts = set(), []
+    for i in core:
+        if i not in seen:
+            part, todo = set(), [i]
+            while todo:
+                k = todo.pop()
+                if k not in part:
+                    part.add(k)
+                    todo += [j for j in near[k] if j in core]
+            seen |= part
+            parts.append(part)
+    assert len({got[min(p)] for p in parts}) == len(parts)
+    for part in parts:
+        assert len({got[i] for i in part}) == 1 and got[min(part)] >= 0
+    for i in set(near) - core:
+        allowed = {got[j] for j in near[i] if j in core} or {-1}
+        assert got[i] in allowed
