@@ -13,7 +13,7 @@ import time
 
 from corelode.operators.models import train_workflow
 from corelode.plans import catalog
-from corelode.session import build_session
+from corelode.session import build_session, forget
 from corelode.sources.fixture import relation
 
 HEADLINE = [
@@ -43,6 +43,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1]}))
+    forget(spark)
     spark.stop()
 
 

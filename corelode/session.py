@@ -55,6 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _kept_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/corelode/{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -63,6 +67,12 @@ def keep(df: DataFrame) -> DataFrame:
     instead of re-running the passes before it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corelode/{uuid.uuid4().hex}"
+    path = f"{_kept_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables this application has kept, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_kept_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

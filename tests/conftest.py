@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from corelode.session import build_session  # noqa: E402
+from corelode.session import build_session, forget  # noqa: E402
 from corelode.sources.fixture import relation  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -16,6 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests")
     yield session
+    forget(session)
     session.stop()
 
 

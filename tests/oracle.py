@@ -15,7 +15,7 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from corelode.plans import catalog  # noqa: E402
-from corelode.session import build_session  # noqa: E402
+from corelode.session import build_session, forget  # noqa: E402
 
 TABLES = ["lineitem", "supplier", "events", "conversations", "orders", "part", "customer", "nation", "region"]
 
@@ -75,6 +75,7 @@ def main() -> int:
         if not ok:
             bad.append(key)
     print("failed:", bad)
+    forget(spark)
     return bool(bad)
 
 

@@ -220,5 +220,18 @@ def test_sample_files(spark, trend_samples, tmp_path):
     SR.save_samples(trend_samples, str(tmp_path / "s"))
     plan = spark.read.parquet(str(tmp_path / "s")).filter("Element = 'Cu'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Element" in plan
+    from corelode.operators import rows as R
+
+    near = R.rows_in_bounds(SR.samples_from_parquet(spark, str(tmp_path / "s")), -15.2, -15.1, -71.9, -71.8, ["Cu"])
+    plan = near.select("SampleID")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(latitude" in plan and "elevation" not in plan.split("ReadSchema")[1]
     trend_samples.select(*[f.name for f in __import__("corelode.schema", fromlist=["SAMPLES"]).SAMPLES.fields]).write.csv(str(tmp_path / "c"), header=True)
     assert SR.test_rows_from_csv(spark, str(tmp_path / "c")).count() == 1440
+
+
+def test_kept_tables_lie_in_the_applications_folder(spark):
+    from corelode import session
+
+    table = session.keep(spark.range(3))
+    files = table.inputFiles()
+    assert table.count() == 3 and spark.sparkContext.applicationId in files[0]
