@@ -6,8 +6,6 @@ not the best fit (the fixture's grades are noise).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ from corelode.operators import stats as T
 from corelode.plans.features import _request_points
 from corelode.plans.registry import register
 from corelode.plans.rows import G, TRAINING
-from corelode.session import keep, shared_folder
+from corelode.session import keep, new_path
 from corelode.sources import writers as W
 from corelode.streaming import jobs as J
 
@@ -110,7 +108,7 @@ register("verify_samples", _verified)
 
 
 def _dedup(t):
-    base = f"{shared_folder(t.spark)}/corelode/{uuid.uuid4().hex}"
+    base = new_path(t.spark)
     schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
     from corelode.sources.fixture import REQUESTS
 

@@ -59,6 +59,11 @@ def _kept_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/corelode/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path among this application's tables."""
+    return f"{_kept_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -67,7 +72,7 @@ def keep(df: DataFrame) -> DataFrame:
     instead of re-running the passes before it.
     """
     spark = df.sparkSession
-    path = f"{_kept_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

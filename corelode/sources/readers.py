@@ -102,11 +102,16 @@ def registry_rows(documents: DataFrame, default: str = "CU") -> DataFrame:
         F.coalesce(F.size("feature_names"), F.lit(0)).alias("feature_count"), "feature_names", "evaluation_results")
 
 
-def geojson_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points of feature collections as rows."""
-    collection = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-    feature = collection.select(F.explode("features").alias("f")).filter(F.col("f.geometry.type") == "Point")
-    return feature.select(
+def geojson_points(spark: SparkSession, path: str, sequence: bool = False) -> DataFrame:
+    """Points of feature collections as rows. A collection is one document, read
+    by one task; large maps come as a ``sequence`` with one feature per line."""
+    if sequence:
+        one = GEOJSON["features"].dataType.elementType
+        features = spark.read.schema(one).json(path).select(F.struct("type", "geometry", "properties").alias("f"))
+    else:
+        collection = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+        features = collection.select(F.explode("features").alias("f"))
+    return features.filter(F.col("f.geometry.type") == "Point").select(
         F.col("f.geometry.coordinates")[1].alias("latitude"), F.col("f.geometry.coordinates")[0].alias("longitude"),
         F.col("f.properties.concentration").alias("concentration"))
 
