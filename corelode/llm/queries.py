@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corelode.llm.exact_dedup import exact_groups
+from corelode.llm.url_filter import judge_sql, judge_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# The rules of the deployment, as given: (verdict, host and path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"), keep="largest")
 
@@ -22,8 +31,10 @@ OP5_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op4_url_filter": judge_sql(URL_RULES),
     "op5_exact_dedup": OP5_SQL,
 }
