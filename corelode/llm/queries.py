@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corelode.llm.exact_dedup import exact_groups
+from corelode.llm.near_dedup import near_duplicates
 from corelode.llm.url_filter import judge_sql, judge_urls
 
 
@@ -30,11 +31,28 @@ OP5_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+OP9_SQL = r"""WITH RECURSIVE tokens AS (SELECT doc_id,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM tokens),
+items AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b USING (x) WHERE a.doc_id <> b.doc_id
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filter": judge_sql(URL_RULES),
     "op5_exact_dedup": OP5_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
