@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
 from corelode.llm.near_dedup import near_duplicates
 from corelode.llm.url_filter import judge_sql, judge_urls
@@ -15,6 +16,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# Shingle sets of a table in DuckDB's SQL: tokens, then five-word shingles.
+SETS_SQL = r"""{name}_tokens AS (SELECT {id},
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+{name}_sets AS MATERIALIZED (SELECT {id}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM {name}_tokens),
+{name}_items AS MATERIALIZED (SELECT {id}, len(s) AS n, unnest(s) AS x FROM {name}_sets)"""
+
+OP3_SQL = f"""WITH {SETS_SQL.format(name="doc", id="doc_id", table="documents")},
+{SETS_SQL.format(name="bench", id="item_id", table="(SELECT DISTINCT item_id, text FROM benchmark)")}
+SELECT doc_id, item_id, bench_items.n AS item_shingles, count(*) AS shared_shingles FROM doc_items JOIN bench_items USING (x)
+GROUP BY doc_id, item_id, bench_items.n HAVING 100 * count(*) >= 75 * bench_items.n"""
+
 # The rules of the deployment, as given: (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -36,22 +53,20 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
-OP9_SQL = r"""WITH RECURSIVE tokens AS (SELECT doc_id,
- regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
- ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM tokens),
-items AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
-links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b USING (x) WHERE a.doc_id <> b.doc_id
+OP9_SQL = f"""WITH RECURSIVE {SETS_SQL.format(name="doc", id="doc_id", table="documents")},
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM doc_items a JOIN doc_items b USING (x) WHERE a.doc_id <> b.doc_id
  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc_sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM doc_sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
     "op4_url_filter": judge_sql(URL_RULES),
     "op5_exact_dedup": OP5_SQL,
     "op9_near_dedup": OP9_SQL,
