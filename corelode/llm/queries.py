@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
 from corelode.llm.near_dedup import near_duplicates
+from corelode.llm.toxicity import grade_documents, train
 from corelode.llm.url_filter import judge_sql, judge_urls
 
 
@@ -49,6 +50,11 @@ OP5_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return grade_documents(docs, train(docs, table(spark, folder, "labels")))
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLES: dict[str, str] = {
