@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corelode.llm import quality, toxicity
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
 from corelode.llm.near_dedup import near_duplicates
-from corelode.llm.toxicity import grade_documents, train
 from corelode.llm.url_filter import judge_sql, judge_urls
 
 
@@ -50,9 +50,14 @@ OP5_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return grade_documents(docs, train(docs, table(spark, folder, "labels")))
+    return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
