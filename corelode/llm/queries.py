@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corelode.llm import quality, toxicity
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
 from corelode.llm.near_dedup import near_duplicates
+from corelode.llm.packing import pack
 from corelode.llm.url_filter import judge_sql, judge_urls
 
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -71,6 +77,7 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM doc_sets UNION SELECT reach.a, li
 SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM doc_sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
