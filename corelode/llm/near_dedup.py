@@ -16,12 +16,12 @@ from corelode.session import keep
 
 # Least similarity of two linked documents, in percent of the union.
 SIMILARITY = 75
-# Values a sketch retains: the least fingerprints of the set.
-RETAINED = 64
-# Values that two sketches of linked documents share at least. With similarity 0.75
-# each of the 64 least values of the union is shared with probability 0.75, so 48 on
-# average; fewer than 26 has a probability below 1e-9.
-SHARED = 26
+# Values a sketch retains (the least fingerprints of a set), and how many of them two
+# sketches of linked documents share at least. With similarity 0.75 each of the least
+# values of the union is shared with probability 0.75: 48 of 64 and 384 of 512 on
+# average. Six standard deviations less has a probability of about 1e-9.
+RETAINED, SHARED = 64, 26
+FINE_RETAINED, FINE_SHARED = 512, 325
 
 
 def _sets_in(batches: Iterator[pa.RecordBatch], retained: int | None) -> Iterator[pa.RecordBatch]:
@@ -45,28 +45,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lambda b: _sets_in(b, RETAINED), "doc_id long, set_key binary, n_shingles long, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, doc, n_shingles, place): documents by retained value, where two share it.
+def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame:
+    """(value, doc, n_shingles, alone): documents by retained value, where two have it.
 
-    Two linked documents share at least ``need`` of their retained values.
-    Ordered from rare to frequent, each therefore has one of the shared values
-    among its first ``size - need + 1``; only these enter a list. Values of a
-    passage that many documents quote are frequent and come last, so they make
-    no lists unless they fill more than a third of a sketch.
+    ``sketched`` is (doc, n_shingles, sketch). Two linked documents share at
+    least ``need`` of their retained values. Ordered from rare to frequent, each
+    therefore has one of the shared values among its first ``size - need + 1``;
+    only these enter a list. ``alone`` counts the values of a document that no
+    other has: they are its rarest. So a document of its own makes no list, and
+    neither does a passage that many quote, unless it fills much of a sketch.
     """
-    values = classes.select("doc", "n_shingles", F.explode("sketch").alias("value"))
+    values = sketched.select("doc", "n_shingles", F.explode("sketch").alias("value"))
     frequent = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    size = F.least(F.col("n_shingles"), F.lit(RETAINED))
-    # A whole set of up to 48 values only meets whole sets: the bound is exact there.
-    need = F.when(F.col("n_shingles") * 100 <= RETAINED * SIMILARITY, F.expr(f"(n_shingles * {SIMILARITY} + 99) div 100")).otherwise(F.lit(SHARED))
-    own = values.join(frequent, "value").groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))  # at most 64
-    alone = size - F.size("shared")  # values of this document only are the rarest
+    size = F.least(F.col("n_shingles"), F.lit(retained))
+    # A whole set of up to 75 percent of a sketch only meets whole sets: the bound is exact there.
+    need = F.when(F.col("n_shingles") * 100 <= retained * SIMILARITY, F.expr(f"(n_shingles * {SIMILARITY} + 99) div 100")).otherwise(F.lit(shared))
+    own = values.join(frequent, "value").groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))  # a sketch at most
+    alone = size - F.size("shared")
     first = F.greatest(F.lit(0), size - need + 1 - alone).cast("int")
-    listed = own.select("doc", "n_shingles", F.explode(F.slice("shared", F.lit(1), first)).alias("s")).select(F.col("s.value").alias("value"), "doc", "n_shingles")
-    by_value = Window.partitionBy("value").orderBy("doc")
-    placed = listed.withColumn("place", F.row_number().over(by_value))
-    full = placed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-    return placed.join(full, "value")
+    listed = own.select("doc", "n_shingles", alone.alias("alone"), F.explode(F.slice("shared", F.lit(1), first)).alias("s")).select(
+        F.col("s.value").alias("value"), "doc", "n_shingles", "alone")
+    return listed.join(listed.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value"), "value", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -81,16 +80,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return hopeful.filter(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * SIMILARITY).select("a", "b")
 
 
-def _candidates(lists: DataFrame, labels: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs of the documents at places ``first`` to ``last`` of a list with those after them in another component."""
-    members = lists.join(labels, lists["doc"] == labels["node"], "left").select("value", "doc", "n_shingles", "place", "length", F.coalesce("root", "doc").alias("root"))
-    hubs = members.filter(F.col("place").between(first, last)).select(
-        "value", F.col("doc").alias("a"), F.col("n_shingles").alias("a_n"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
-    near_size = (F.col("n_shingles") * 100 >= F.col("a_n") * SIMILARITY) & (F.col("a_n") * 100 >= F.col("n_shingles") * SIMILARITY)
-    later = members.filter(F.col("place") > first)
-    return (
-        later.join(hubs, "value").filter((F.col("place") > F.col("a_place")) & (F.col("root") != F.col("a_root")) & near_size)
-        .select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct())
+def _paired(joined: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of hubs and members whose sizes allow the similarity."""
+    near_size = (F.col("n_shingles") * 100 >= F.col("hub_n") * SIMILARITY) & (F.col("hub_n") * 100 >= F.col("n_shingles") * SIMILARITY)
+    return joined.filter(near_size & (F.col("doc") != F.col("hub"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+
+
+def _with_roots(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    roots = labels.withColumnRenamed("node", "doc").withColumnRenamed("root", "known")
+    return lists.join(roots, "doc", "left").withColumn("root", F.coalesce("known", "doc")).drop("known")
+
+
+def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components of the linked documents: (node, root).
+
+    First every list is tied to the document with the fewest values of its own,
+    the likeliest centre: a star, in which a copy makes one pair. Lists that this leaves in several components go
+    through rounds: documents at places 1-4, 5-20, 21-84, ... are paired with
+    later ones of other components, until no list is left.
+    """
+    hubs = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n_shingles")).alias("h")).select(
+        "value", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"))
+    labels = components(verified(_paired(lists.join(hubs, "value")), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    rooted = _with_roots(lists, labels)
+    split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
+    by_value = Window.partitionBy("value").orderBy("alone", "doc")
+    live = keep(rooted.drop("root").join(split, "value", "left_semi").withColumn("place", F.row_number().over(by_value)))
+    longest = live.agg(F.max("place")).first()[0] or 0
+    first, size = 1, 4
+    while first < longest:
+        members = _with_roots(live.filter(F.col("place") > first - 1), labels)
+        hubs = members.filter(F.col("place") < first + size).select(
+            "value", F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("place").alias("hub_place"), F.col("root").alias("hub_root"))
+        apart = members.join(hubs, "value").filter("place > hub_place AND root <> hub_root")
+        found = keep(verified(_paired(apart), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        if not found.isEmpty():
+            labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        first, size = first + size, size * 4
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,15 +130,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass makes each set's 64 least fingerprints of one hash function.
        Documents of the same set are one class from here on.
-    2. Inverted lists of the rarest retained values (:func:`inverted_lists`).
-    3. Rounds over the lists: the first documents of a list are paired with the
-       later ones of other components, 1, 2, 4, ... places at a time. Candidates
-       pass an estimate from the union of the sketches, then the whole sets
-       decide. Lists whose documents are in one component already make no more
-       pairs, so a group of near copies costs a few pairs per document. It ends
-       when every list is used up or united.
-
-    Documents without words are their own component. Null ids never name a
+    2. Inverted lists of the rarest retained values (:func:`inverted_lists`)
+       leave the documents that may have a partner. Their whole sets are made,
+       and lists of 512 values each, which let far fewer false pairs through.
+    3. Pairs from the lists (:func:`_links`) pass an estimate from the union of
+       the sketches, then the whole sets decide. Lists whose documents are in
+       one component make no more pairs, so a group of near copies costs a few
+       pairs per document; no other pair of a list is left out.
+
+    Documents without words are their own component. Rows of one id and several
+    texts are one node of the graph, linked if any of its texts is. Null ids never name a
     component: such rows get their class's component, or null, and then stay.
     Repeated rows all get the same answer. Empty tables give no rows; other
     columns are not carried.
@@ -123,22 +151,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = keep(
         rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
         .agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    lists = keep(inverted_lists(classes))
-    longest = lists.agg(F.max("length")).first()[0] or 0
-    labels = lists.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
-    if longest:
-        wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
-        # The same id may stand for several texts: take the one whose set the class has.
-        sets = keep(
-            texts.join(wanted, "doc_id", "left_semi")
-            .mapInArrow(lambda b: _sets_in(b, None), "doc_id long, shingles array<long>").distinct())
-        first, size = 1, 1
-        while first < longest:
-            pairs = _candidates(lists.filter(F.col("length") > first), labels, first, first + size - 1)
-            found = keep(verified(pairs, sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
-            if not found.isEmpty():
-                labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-            first, size = first + size, size * 2
+    wanted = inverted_lists(classes, RETAINED, SHARED).select(F.col("doc").alias("doc_id")).distinct()
+    sets = keep(texts.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(lambda b: _sets_in(b, None), "doc_id long, shingles array<long>"))
+    fine = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("n_shingles"), F.slice("shingles", 1, FINE_RETAINED).alias("sketch"))
+    lists = keep(inverted_lists(fine, FINE_RETAINED, FINE_SHARED))
+    labels = _links(lists, sets)
     named = classes.join(labels, classes["doc"] == labels["node"], "left").select("set_key", F.coalesce("root", "doc").alias("root"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return rows.drop("sketch").join(named, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
