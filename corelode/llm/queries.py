@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corelode.llm import quality, toxicity
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
+from corelode.llm.line_dedup import dedup_lines
 from corelode.llm.near_dedup import near_duplicates
 from corelode.llm.packing import pack
 from corelode.llm.url_filter import judge_sql, judge_urls
@@ -56,6 +57,27 @@ OP5_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP6_SQL = r"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS MATERIALIZED (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM parts),
+firsts AS MATERIALIZED (SELECT line, string_split(line, ' ') AS w, row_number() OVER (ORDER BY doc_id, no) AS pos, doc_id, no FROM
+ (SELECT line, min(doc_id) AS doc_id, arg_min(no, doc_id * 1000000 + no) AS no FROM lines WHERE len(string_split(line, ' ')) >= 4 GROUP BY line)),
+long AS (SELECT pos, w FROM firsts WHERE len(w) >= 8),
+gaps AS (SELECT pos, w, unnest(range(1, len(w) + 1)) AS i FROM long),
+variants AS MATERIALIZED (SELECT pos, i, md5(array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ')) AS v FROM gaps
+ UNION ALL SELECT pos, 0, md5(array_to_string(w, ' ')) FROM long),
+changed AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY v, i) AS least FROM variants WHERE i > 0) WHERE least < pos),
+shorter AS (SELECT a.pos AS a, b.pos AS b FROM variants a JOIN variants b ON a.v = b.v WHERE a.i > 0 AND b.i = 0),
+near AS (SELECT pos FROM changed UNION SELECT greatest(a, b) FROM shorter),
+judged AS (SELECT lines.doc_id, lines.no, lines.line, coalesce(near.pos IS NOT NULL OR (lines.doc_id, lines.no) > (firsts.doc_id, firsts.no), false) AS gone
+ FROM lines LEFT JOIN firsts USING (line) LEFT JOIN near USING (pos))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines,
+ CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_dropped FROM judged GROUP BY doc_id"""
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.quality_scores(docs, quality.train(docs, table(spark, folder, "labels")))
@@ -81,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
@@ -89,5 +112,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_url_filter": judge_sql(URL_RULES),
     "op5_exact_dedup": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op9_near_dedup": OP9_SQL,
 }
