@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corelode.llm import quality, toxicity
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
 from corelode.llm.line_dedup import dedup_lines
 from corelode.llm.near_dedup import near_duplicates
 from corelode.llm.packing import pack
+from corelode.llm.preferences import format_preferences, stale_answers
+from corelode.llm.sharding import SLOTS, lookup_table, with_shard
 from corelode.llm.url_filter import judge_sql, judge_urls
 
 
@@ -24,6 +28,14 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return with_shard(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+OP2_SQL = f"""SELECT doc_id, slot, CAST({lookup_table()}[slot + 1] AS INTEGER) AS shard FROM
+ (SELECT doc_id, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 15) AS BIGINT) % {SLOTS} AS slot FROM documents)"""
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -98,8 +110,36 @@ links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM doc_items a JOIN
 reach AS (SELECT doc_id AS a, doc_id AS b FROM doc_sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM doc_sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id"""
 
+
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    pairs = format_preferences(turns, stale_answers(turns), pair="conv_id")
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"], s["end"])), ",") for c in ("chosen_spans", "rejected_spans")}
+    return pairs.withColumnRenamed("pair_id", "conv_id").withColumns(spans)
+
+
+OP10_SQL = r"""WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+marked AS (SELECT *, row_number() OVER o AS place,
+ last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answer,
+ last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said
+ FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+bounds AS (SELECT *, max(CASE WHEN role = 'assistant' THEN place END) OVER (PARTITION BY conv_id) AS final FROM marked),
+sides AS (SELECT conv_id, place, role, text AS c, CASE WHEN place = final THEN coalesce(answer, said) ELSE text END AS r FROM bounds WHERE final IS NOT NULL),
+cut AS (SELECT *, coalesce(min(CASE WHEN coalesce(c, '') <> coalesce(r, '') THEN place END) OVER (PARTITION BY conv_id), 1 + max(place) OVER (PARTITION BY conv_id)) AS p FROM sides),
+shown AS (SELECT conv_id, place, p, role, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
+ coalesce(c, '') || '<|end|>' || chr(10) AS c, coalesce(r, '') || '<|end|>' || chr(10) AS r FROM cut),
+measured AS (SELECT *, sum(CASE WHEN place >= p THEN length(head) + length(c) END) OVER o AS c_end, sum(CASE WHEN place >= p THEN length(head) + length(r) END) OVER o AS r_end
+ FROM shown WINDOW o AS (PARTITION BY conv_id ORDER BY place))
+SELECT conv_id, CAST(any_value(p) - 1 AS INTEGER) AS prompt_turns, coalesce(string_agg(head || c, '' ORDER BY place) FILTER (WHERE place < p), '') AS prompt,
+ coalesce(string_agg(head || c, '' ORDER BY place) FILTER (WHERE place >= p), '') AS chosen,
+ coalesce(string_agg(head || r, '' ORDER BY place) FILTER (WHERE place >= p), '') AS rejected,
+ coalesce(string_agg((c_end - length(c)) || '-' || c_end, ',' ORDER BY place) FILTER (WHERE place >= p AND role = 'assistant'), '') AS chosen_spans,
+ coalesce(string_agg((r_end - length(r)) || '-' || r_end, ',' ORDER BY place) FILTER (WHERE place >= p AND role = 'assistant'), '') AS rejected_spans
+FROM measured GROUP BY conv_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
@@ -107,11 +147,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
+    "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op4_url_filter": judge_sql(URL_RULES),
     "op5_exact_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op10_chat_format": OP10_SQL,
 }
