@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +18,9 @@ from corelode.session import keep
 SIMILARITY = 75
 # Values a sketch retains (the least fingerprints of a set), and how many of them two
 # sketches of linked documents share at least. With similarity 0.75 each of the least
-# values of the union is shared with probability 0.75: 48 of 64 and 384 of 512 on
+# values of the union is shared with probability 0.75: 36 of 48 and 384 of 512 on
 # average. Six standard deviations less has a probability of about 1e-9.
-RETAINED, SHARED = 64, 26
+RETAINED, SHARED = 48, 18
 FINE_RETAINED, FINE_SHARED = 512, 325
 
 
@@ -46,7 +46,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame:
-    """(value, doc, n_shingles, alone): documents by retained value, where two have it.
+    """(value, doc, n_shingles, alone, position): documents by retained value, where two have it.
 
     ``sketched`` is (doc, n_shingles, sketch). Two linked documents share at
     least ``need`` of their retained values. Ordered from rare to frequent, each
@@ -54,6 +54,10 @@ def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame
     only these enter a list. ``alone`` counts the values of a document that no
     other has: they are its rarest. So a document of its own makes no list, and
     neither does a passage that many quote, unless it fills much of a sketch.
+
+    ``position`` is the number of values before this one. A first shared value
+    at a position leaves no more values to share than follow it, so a row whose
+    position is too late for the sizes in its list is left out.
     """
     values = sketched.select("doc", "n_shingles", F.explode("sketch").alias("value"))
     frequent = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
@@ -63,9 +67,25 @@ def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame
     own = values.join(frequent, "value").groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))  # a sketch at most
     alone = size - F.size("shared")
     first = F.greatest(F.lit(0), size - need + 1 - alone).cast("int")
-    listed = own.select("doc", "n_shingles", alone.alias("alone"), F.explode(F.slice("shared", F.lit(1), first)).alias("s")).select(
-        F.col("s.value").alias("value"), "doc", "n_shingles", "alone")
-    return listed.join(listed.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value"), "value", "left_semi")
+    listed = keep(own.select("doc", "n_shingles", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("k", "s")).select(
+        F.col("s.value").alias("value"), "doc", "n_shingles", "alone", (F.col("k") + F.col("alone")).alias("position")))
+    for _ in range(2):  # rows left out may leave others alone in their list
+        sizes = listed.groupBy("value").agg(F.count("*").alias("rows"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")).filter("rows > 1")
+        possible = F.least(_least_shared("n_shingles", "low", retained), _least_shared("n_shingles", "high", retained))
+        listed = keep(listed.join(sizes, "value").filter(F.col("position") + possible <= F.least("n_shingles", F.lit(retained))).drop("rows", "low", "high"))
+    return listed
+
+
+def _least_shared(n: str, m: str, retained: int) -> Column:
+    """Values that the sketches of linked sets of ``n`` and ``m`` values share at least.
+
+    The sets share 3/7 of n + m at least, and whole sets are their own
+    sketches. Of a set beyond its sketch the retained values are a sample in
+    proportion to the larger set: six standard deviations less are granted.
+    """
+    shared = (F.col(n) + F.col(m)) * (SIMILARITY / (100.0 + SIMILARITY))
+    larger = F.greatest(n, m)
+    return F.when(larger <= retained, shared - 1e-6).otherwise(shared * retained / larger - 3.0 * retained**0.5)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -81,9 +101,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _paired(joined: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of hubs and members whose sizes allow the similarity."""
-    near_size = (F.col("n_shingles") * 100 >= F.col("hub_n") * SIMILARITY) & (F.col("hub_n") * 100 >= F.col("n_shingles") * SIMILARITY)
-    return joined.filter(near_size & (F.col("doc") != F.col("hub"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    """Distinct pairs (a, b), a < b, of hubs and members whose sizes and positions allow the similarity."""
+    least = _least_shared("n_shingles", "hub_n", FINE_RETAINED)
+    fits = [F.col(place) + least <= F.least(n, F.lit(FINE_RETAINED)) for n, place in (("n_shingles", "position"), ("hub_n", "hub_position"))]
+    return joined.filter(fits[0] & fits[1] & (F.col("doc") != F.col("hub"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
 
 
 def _with_roots(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,12 +116,13 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Components of the linked documents: (node, root).
 
     First every list is tied to the document with the fewest values of its own,
-    the likeliest centre: a star, in which a copy makes one pair. Lists that this leaves in several components go
-    through rounds: documents at places 1-4, 5-20, 21-84, ... are paired with
-    later ones of other components, until no list is left.
+    the likeliest centre: a star, in which a copy makes one pair. Lists that
+    this leaves in several components go through rounds: documents at places
+    1-4, 5-20, 21-84, ... are paired with later ones of other components, until
+    no list is left.
     """
-    hubs = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n_shingles")).alias("h")).select(
-        "value", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"))
+    hubs = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n_shingles", "position")).alias("h")).select(
+        "value", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.position").alias("hub_position"))
     labels = components(verified(_paired(lists.join(hubs, "value")), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
     rooted = _with_roots(lists, labels)
     split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
@@ -111,7 +133,7 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     while first < longest:
         members = _with_roots(live.filter(F.col("place") > first - 1), labels)
         hubs = members.filter(F.col("place") < first + size).select(
-            "value", F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("place").alias("hub_place"), F.col("root").alias("hub_root"))
+            "value", F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("position").alias("hub_position"), F.col("place").alias("hub_place"), F.col("root").alias("hub_root"))
         apart = members.join(hubs, "value").filter("place > hub_place AND root <> hub_root")
         found = keep(verified(_paired(apart), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not found.isEmpty():
@@ -128,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked at 75 percent of the union of their sets or more, and
     components are the transitive closure.
 
-    1. One pass makes each set's 64 least fingerprints of one hash function.
+    1. One pass makes each set's 48 least fingerprints of one hash function.
        Documents of the same set are one class from here on.
     2. Inverted lists of the rarest retained values (:func:`inverted_lists`)
        leave the documents that may have a partner. Their whole sets are made,
