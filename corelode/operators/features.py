@@ -164,11 +164,9 @@ def features_extract(df: DataFrame) -> DataFrame:
 
 
 def features_all(samples: DataFrame, neighbors: bool = True, k: int = 5) -> DataFrame:
-    """Spatial, moving, grade and (given more than ten rows) neighbour features."""
+    """Spatial, moving, grade and neighbour features; a sample without neighbours has null ones."""
     rows = features_grade(rolling_grades(features_spatial(samples.filter(P.valid_sample()))))
-    if neighbors and rows.limit(11).count() > 10:
-        rows = features_neighbors(rows, k)
-    return rows
+    return features_neighbors(rows, k) if neighbors else rows
 
 
 def feature_names(df: DataFrame) -> list[str]:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -341,8 +342,8 @@ def train_elements(samples: DataFrame, elements: Sequence[str], **options) -> tu
             done[element.upper()] = found = train_workflow(samples, element, **options)
             row = found.metrics.filter("part = 'test'").first()
             lines.append((element.upper(), True, time.monotonic() - started, row["r2_score"], row["rmse"], None))
-        except Exception as error:  # an element that cannot be trained must not stop the others
-            lines.append((element.upper(), False, time.monotonic() - started, None, None, str(error)[:200]))
+        except (ValueError, PySparkException) as error:  # an element without fit rows must not stop the others
+            lines.append((element.upper(), False, time.monotonic() - started, None, None, str(error)))
     table = samples.sparkSession.createDataFrame(lines, "element string, success boolean, seconds double, r2 double, rmse double, error string")
     return done, table.withColumn("level", F.when(F.col("success"), r2_level(F.col("r2"))))
 

@@ -18,6 +18,8 @@ from corelode.session import keep, limit_of
 
 # locations one task may hold for one cell before the cell is split
 ROWS_PER_CELL = 2_000
+# Fixed value: the mean radius of the earth.
+EARTH_KM = 6371.0
 # cells that may be sent to every task (level n has at most 16 ** n)
 BROADCAST_CELLS = 100_000
 
@@ -81,18 +83,20 @@ def distance_pairs(
 
 
 def pairs_within_km(left: DataFrame, right: DataFrame, max_km: float, per_cell: int | None = None) -> DataFrame:
-    """The same for great-circle kilometres.
+    """The same for great-circle kilometres, anywhere on the globe.
 
-    A degree of longitude shrinks with latitude, so the longitude cell is as
-    wide as the distance at the latitude farthest from the equator.
+    Points meet in cells of the space around the globe, whose side is the chord
+    of the distance: longitudes that meet at 180 degrees and the poles need no
+    case of their own.
     """
-    farthest = left.agg(F.max(F.abs("a_lat"))).first()[0] or 0.0
-    degree = math.radians(1) * 6371.0
-    lat_cell = max_km / degree * 1.0001
-    lon_cell = lat_cell / max(math.cos(math.radians(min(farthest + lat_cell, 89.9))), 1e-6)
-    near = cell_join(left, right, {("a_lat", "b_lat"): lat_cell, ("a_lon", "b_lon"): lon_cell}, per_cell=per_cell)
+    def placed(df: DataFrame, tag: str) -> DataFrame:
+        lat, lon = F.radians(f"{tag}_lat"), F.radians(f"{tag}_lon")
+        return df.withColumns({f"_{tag}x": F.cos(lat) * F.cos(lon), f"_{tag}y": F.cos(lat) * F.sin(lon), f"_{tag}z": F.sin(lat)})
+
+    side = max(2 * math.sin(min(max_km / EARTH_KM / 2, math.pi / 2)) * (1 + 1e-6), 1e-9)
+    near = cell_join(placed(left, "a"), placed(right, "b"), {(f"_a{c}", f"_b{c}"): side for c in "xyz"}, per_cell=per_cell)
     d = S.haversine_km(*[F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")])
-    return near.withColumn("distance", d).filter(F.col("distance") <= max_km)
+    return near.drop(*[f"_{tag}{c}" for tag in "ab" for c in "xyz"]).withColumn("distance", d).filter(F.col("distance") <= max_km)
 
 
 def nearest(
@@ -176,15 +180,20 @@ def _reach(south: float, west: float, width: float) -> dict[str, Column]:
     return {name: F.sqrt(a * a + b * b) for name, (a, b) in (("_near", near), ("_far", far))}
 
 
-def element_pairs(samples: DataFrame, tolerance: float = 0.1) -> DataFrame:
+def element_pairs(samples: DataFrame, tolerance: float = 0.1, centres: DataFrame | None = None) -> DataFrame:
     """Pairs of elements measured over (nearly) the same interval of a hole.
 
     Rows of one hole, interval and element are summed before the join, so
     repeated measurements do not multiply. A row carries what the pair
-    statistics need: the number of sample pairs and their sums.
+    statistics need: the number of sample pairs and their sums. Grades count
+    from ``centres`` (element, mean grade) where given: sums of squares of large
+    numbers would lose the small differences between them.
     """
     g = F.col("standardized_grade_ppm")
     valid = samples.filter((g > 0) & F.col("Depth_From").isNotNull() & F.col("Depth_To").isNotNull())
+    if centres is not None:
+        as_map = centres.agg(F.map_from_entries(F.collect_list(F.struct("Element", "mean")))).scalar()  # a row per element
+        valid = valid.withColumn("standardized_grade_ppm", g - F.element_at(as_map, F.col("Element")))
     sums = valid.groupBy("Hole_ID", "Depth_From", "Depth_To", "Element").agg(
         F.count("*").alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("q"),
         F.bool_or(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("located"),
@@ -211,12 +220,16 @@ def element_pairs(samples: DataFrame, tolerance: float = 0.1) -> DataFrame:
 
 def element_correlations(samples: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Number of pairs, mean grades and Pearson correlation per element pair."""
-    pairs = element_pairs(samples, tolerance)
+    g = F.col("standardized_grade_ppm")
+    centres = samples.filter((g > 0) & F.col("Element").isNotNull()).groupBy("Element").agg(F.avg(g).alias("mean"))
+    pairs = element_pairs(samples, tolerance, centres)
     total = pairs.groupBy("element1", "element2").agg(*[
         F.sum(c).alias(c) for c in ("pairs", "sum1", "sum2", "square1", "square2", "product")])
+    back = total.withColumns({
+        f"mean{i}": F.element_at(centres.agg(F.map_from_entries(F.collect_list(F.struct("Element", "mean")))).scalar(), F.col(f"element{i}")) for i in (1, 2)})
     n, x, y = F.col("pairs"), F.col("sum1"), F.col("sum2")
     below = F.sqrt(n * F.col("square1") - x * x) * F.sqrt(n * F.col("square2") - y * y)
-    return total.select(
-        "element1", "element2", n.alias("sample_count"), (x / n).alias("avg_grade1"), (y / n).alias("avg_grade2"),
+    return back.select(
+        "element1", "element2", n.alias("sample_count"), (x / n + F.col("mean1")).alias("avg_grade1"), (y / n + F.col("mean2")).alias("avg_grade2"),
         F.try_divide(n * F.col("product") - x * y, below).alias("correlation"),
     )

@@ -62,6 +62,8 @@ def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int, weight:
             )
         picks.append(F.max(F.when(F.col("_i") == i, at - F.floor(at))).alias(f"_f_{name}"))
     found = ranked.groupBy(*keys).agg(*picks)
+    if keys:  # groups without any value have null quantiles
+        found = join_on(df.groupBy(*keys).agg(F.count("*").alias("_rows")), found, keys, "left")
     return found.select(
         *keys,
         *[

@@ -183,7 +183,7 @@ def cluster_summary(labelled: DataFrame, value: str = "value", label: str = "clu
         F.min(value).alias("min_value"), F.max(value).alias("max_value"))
 
 
-def cluster_dbscan(points: DataFrame, columns: list[str], eps: float, min_samples: int = 5, rounds: int = 60) -> DataFrame:
+def cluster_dbscan(points: DataFrame, columns: list[str], eps: float, min_samples: int = 5) -> DataFrame:
     """DBSCAN labels as column ``cluster`` (noise -1); a point counts itself.
 
     Equal points are merged and carry their number. Space is cut into cells so
@@ -219,7 +219,7 @@ def cluster_dbscan(points: DataFrame, columns: list[str], eps: float, min_sample
     one_way = among.unionByName(to_cells).unionByName(cell_links)
     links = keep(one_way.unionByName(one_way.select(F.col("b").alias("a_id"), F.col("a_id").alias("b"))).distinct())
     nodes = thin_core.select(F.col("a_id").alias("id")).unionByName(dense.select(F.concat(F.lit("cell:"), F.col("cell")).alias("id")))
-    labels = _components(nodes, links, rounds)
+    labels = _components(nodes, links)
 
     numbers = row_numbers(labels.select("label").distinct(), [], ["label"], "_k").select("label", (F.col("_k") - 1).alias("cluster"))
     named = keep(labels.join(numbers, "label").select("id", "cluster"))
@@ -232,15 +232,14 @@ def cluster_dbscan(points: DataFrame, columns: list[str], eps: float, min_sample
     return known.join(placed, columns)
 
 
-def _components(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest reachable node per node, as ``label``.
 
-    Labels spread along links and jump to the label's own label, so the number
-    of rounds grows with the logarithm of a chain's length. Each round is
-    written, which also ends its lineage.
+    Labels spread along links and jump to the label's own label, until none
+    changes. Each round is written, which also ends its lineage.
     """
     labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    while True:
         lowest = links.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a_id").alias("id")).agg(F.min("l").alias("l"))
         spread = labels.join(lowest, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("next"))
@@ -248,7 +247,6 @@ def _components(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
         labels = moved.select("id", "label")
         if moved.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
-    raise RuntimeError(f"clusters not settled after {rounds} rounds")
 
 
 def _dense_links(dense: DataFrame, columns: list[str], side: float, eps: float, levels: int = 16) -> DataFrame:

@@ -102,8 +102,9 @@ def grade_class_metrics(df: DataFrame, keys: Sequence[str] = (), high: float = 1
         correlation(y, p).alias("grade_continuity_correlation"))
 
 
-# The distribution function of the Poisson law with mean one.
-POISSON_ONE = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+# The distribution function of the Poisson law with mean one, up to the largest weight
+# that a chance in steps of 1e-12 can draw.
+POISSON_ONE = [c for c in (sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(30)) if c < 1 - 1e-12]
 
 Statistic = Callable[[Column, Column], Column]
 
@@ -152,8 +153,12 @@ def bootstrap_ci(
     ).select(original.scalar().alias("statistic"), "*", F.lit(level).alias("confidence_level"))
 
 
+# Fixed value: the level of the verdicts.
+ALPHA = 0.05
+
+
 def ttest_statistics(df: DataFrame, group: str, first: str, second: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Student's and Welch's t with their degrees of freedom."""
+    """Student's and Welch's t with degrees of freedom, two-sided p-values and verdicts."""
     a = F.when(F.col(group) == first, F.col(value))
     b = F.when(F.col(group) == second, F.col(value))
     one = df.groupBy(*keys).agg(
@@ -163,19 +168,19 @@ def ttest_statistics(df: DataFrame, group: str, first: str, second: str, value:
     pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
     gap = F.col("m1") - F.col("m2")
     e1, e2 = v1 / n1, v2 / n2
-    return one.select(
+    found = one.select(
         *keys, "n1", "n2", F.try_divide(gap, F.sqrt(pooled * (1 / n1 + 1 / n2))).alias("ttest_stat"),
         (n1 + n2 - 2).cast("double").alias("ttest_df"), F.try_divide(gap, F.sqrt(e1 + e2)).alias("welch_stat"),
         F.try_divide((e1 + e2) * (e1 + e2), e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)).alias("welch_df"))
+    p = {name: B.student_p_value(F.col(f"{name}_stat"), F.col(f"{name}_df")) for name in ("ttest", "welch")}
+    return found.withColumns({
+        "ttest_p_value": p["ttest"], "welch_p_value": p["welch"],
+        "means_different": p["ttest"] < ALPHA, "means_different_welch": p["welch"] < ALPHA})
 
 
 def ttest(df: DataFrame, group: str, first: str, second: str, value: str) -> dict[str, float | bool]:
-    """Both tests with p-values (from the one-row statistics)."""
-    row = ttest_statistics(df, group, first, second, value).first()
-    out = row.asDict()
-    for name in ("ttest", "welch"):
-        out[f"{name}_p_value"] = B.student_two_sided(row[f"{name}_stat"], row[f"{name}_df"])
-    return out | {"means_different": out["ttest_p_value"] < 0.05, "means_different_welch": out["welch_p_value"] < 0.05}
+    """Both tests of one group as a dictionary."""
+    return ttest_statistics(df, group, first, second, value).first().asDict()
 
 
 def _two_counts(df: DataFrame, group: str, first: str, second: str, value: str, keys: Sequence[str]) -> DataFrame:
@@ -196,29 +201,25 @@ def _with_sizes(ordered: DataFrame, counts: DataFrame, keys: Sequence[str]) -> D
 
 
 def ks_statistics(df: DataFrame, group: str, first: str, second: str, value: str, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """Greatest distance between two empirical distribution functions."""
+    """Greatest distance between two empirical distribution functions, its p-value and the verdict."""
     counts = _two_counts(df, group, first, second, value, keys)
     ordered = running_totals(counts, list(keys), [value], {"_a": F.col("a"), "_b": F.col("b")}, limit)
     both = _with_sizes(ordered, counts, keys)
     gap = F.abs(F.try_divide(F.col("_a"), F.col("n1")) - F.try_divide(F.col("_b"), F.col("n2")))
-    return both.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("ks_statistic"))
-
-
-def ks_p_value(statistic: float, n1: int, n2: int) -> float:
-    return B.kolmogorov_upper(statistic * math.sqrt(n1 * n2 / (n1 + n2)))
+    found = both.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("ks_statistic"))
+    size = F.sqrt(F.try_divide(F.col("n1").cast("double") * F.col("n2"), F.col("n1") + F.col("n2")))
+    return found.withColumn("p_value", B.kolmogorov_p_value(F.col("ks_statistic") * size)).withColumn("distributions_different", F.col("p_value") < ALPHA)
 
 
 def drift_ks(reference: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """KS statistic and p-value per column between two relations, in one job."""
     cells = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns]))
     tall = reference.select(F.lit("old").alias("side"), cells).unionByName(new.select(F.lit("new").alias("side"), cells))
-    found = ks_statistics(tall, "side", "old", "new", "value", ["field"]).collect()  # one row per column
-    rows = [(r["field"], r["n1"], r["n2"], r["ks_statistic"], ks_p_value(r["ks_statistic"], r["n1"], r["n2"])) for r in found]
-    return reference.sparkSession.createDataFrame(rows, "field string, n1 long, n2 long, ks_statistic double, p_value double")
+    return ks_statistics(tall, "side", "old", "new", "value", ["field"])
 
 
 def mann_whitney_statistics(df: DataFrame, group: str, first: str, second: str, value: str, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """U of the first sample and the z of its tie-corrected normal approximation."""
+    """U of the first sample, the z of its tie-corrected normal approximation, its p-value and the verdict."""
     counts = _two_counts(df, group, first, second, value, keys).withColumn("_t", F.col("a") + F.col("b"))
     ordered = running_totals(counts, list(keys), [value], {"_upto": F.col("_t")}, limit)
     both = _with_sizes(ordered, counts, keys)
@@ -231,13 +232,13 @@ def mann_whitney_statistics(df: DataFrame, group: str, first: str, second: str,
     u = F.col("r") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     top = F.greatest(u, n1 * n2 - u)
-    return sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("mannwhitney_stat"),
-                       F.try_divide(top - n1 * n2 / 2 - 0.5, spread).alias("z"))
+    found = sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("mannwhitney_stat"),
+                        F.try_divide(top - n1 * n2 / 2 - 0.5, spread).alias("z"))
+    return found.withColumn("mannwhitney_p_value", B.normal_p_value(F.col("z"))).withColumn("distributions_different", F.col("mannwhitney_p_value") < ALPHA)
 
 
 def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str) -> dict[str, float]:
-    out = mann_whitney_statistics(df, group, first, second, value).first().asDict()
-    return out | {"mannwhitney_p_value": min(1.0, B.normal_two_sided(out["z"]))}
+    return mann_whitney_statistics(df, group, first, second, value).first().asDict()
 
 
 def _distinct_positions(df: DataFrame, value: str, keys: Sequence[str], limit: int | None) -> DataFrame:
@@ -271,7 +272,9 @@ def normality(df: DataFrame, value: str, keys: Sequence[str] = (), limit: int |
     return placed.groupBy(*keys).agg(
         F.max("n").alias("n"), _ks_distance(B.normal_cdf(F.try_divide(x - F.col("m"), F.col("s")))).alias("ks_stat"),
         (-size - F.sum(low + high) / size).alias("anderson_stat"), critical.alias("anderson_5pct_critical"),
-    ).withColumn("is_normal_anderson", F.col("anderson_stat") < F.col("anderson_5pct_critical"))
+    ).withColumns({
+        "ks_p_value": B.kolmogorov_p_value(F.col("ks_stat") * F.sqrt("n")), "is_normal_anderson": F.col("anderson_stat") < F.col("anderson_5pct_critical"),
+    }).withColumn("is_normal_ks", F.col("ks_p_value") > ALPHA)
 
 
 def _gamma_cdf(shape: float, scale: float) -> Callable[[Column], Column]:
@@ -290,8 +293,8 @@ def _fit_gamma(mean: float, log_mean: float) -> tuple[float, float]:
         step = (math.log(k) - B.digamma(k) - s) / (1 / k - B.trigamma(k))
         k -= step
         if abs(step) < 1e-12 * k:
-            break
-    return k, mean / k
+            return k, mean / k
+    raise ArithmeticError("the gamma fit does not settle")
 
 
 def _fit_weibull(rows: DataFrame, x: Column, log_mean: float, log_std: float) -> tuple[float, float]:
@@ -308,6 +311,8 @@ def _fit_weibull(rows: DataFrame, x: Column, log_mean: float, log_std: float) ->
         k -= step
         if abs(step) < 1e-10 * k:
             break
+    else:
+        raise ArithmeticError("the Weibull fit does not settle")
     mean_power = rows.agg(F.avg(F.exp(F.ln(x / unit) * k))).first()[0]
     return k, unit * mean_power ** (1 / k)
 
@@ -350,18 +355,15 @@ def fit_distributions(df: DataFrame, value: str, limit: int | None = None) -> Da
 
 
 def trend(df: DataFrame, at: Column, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Least-squares line of the values over ``at``."""
+    """Least-squares line of the values over ``at`` with the p-value of its slope and the verdict."""
     y = F.col(value)
-    return df.groupBy(*keys).agg(
+    line = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.regr_slope(y, at).alias("trend_slope"), F.regr_intercept(y, at).alias("trend_intercept"),
         F.regr_r2(y, at).alias("trend_r_squared"))
-
-
-def trend_p_value(r_squared: float, n: int) -> float:
-    """Two-sided p-value of a slope."""
-    if r_squared >= 1:
-        return 0.0
-    return B.student_two_sided(math.sqrt(r_squared * (n - 2) / (1 - r_squared)), n - 2)
+    r2, free = F.col("trend_r_squared"), F.col("n") - 2
+    t = F.sqrt(F.try_divide(r2 * free, 1 - r2))
+    p = F.when(r2 >= 1, F.lit(0.0)).when(free > 0, B.student_p_value(t, free))
+    return line.withColumn("trend_p_value", p).withColumn("trend_significant", F.col("trend_p_value") < ALPHA)
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], order: list[str], value: str, lags: int = 50, limit: int | None = None) -> DataFrame:

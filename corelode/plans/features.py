@@ -152,6 +152,15 @@ register(
     grade_classification_accuracy=7, high_grade_precision=7, high_grade_recall=7, resource_estimation_error=7, grade_continuity_correlation=7,
 )
 register("bootstrap_ci", lambda t: T.bootstrap_ci(t.scored, "y_true", ["SampleID", "Element", "y_pred"], "mean", 200))
+def _t_p_sql(t: str, v: str) -> str:
+    """Two-sided p-value of Student's t by Simpson's rule over the density."""
+    def density(u: str) -> str:
+        return f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - 0.5 * ln({v} * pi()) - ({v} + 1) / 2 * ln(1 + pow({u}, 2) / {v}))"
+
+    inner = density(f"(k * abs({t}) / 400)")
+    return f"""greatest(0.0, 1 - 2 * abs({t}) / 1200 * list_sum([CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {inner} FOR k IN range(0, 401)]))"""
+
+
 _PAIR = ("DataSet", "Drilling_BF", "Drilling_INF", GRADE, ["Element"])
 _TESTED = f"DataSet IN ('Drilling_BF', 'Drilling_INF') AND {G} > 0"
 
@@ -165,14 +174,16 @@ register(
     f"""WITH m AS (SELECT Element, count({G}) FILTER (DataSet = 'Drilling_BF') AS n1, count({G}) FILTER (DataSet = 'Drilling_INF') AS n2,
     avg({G}) FILTER (DataSet = 'Drilling_BF') AS m1, avg({G}) FILTER (DataSet = 'Drilling_INF') AS m2,
     var_samp({G}) FILTER (DataSet = 'Drilling_BF') AS v1, var_samp({G}) FILTER (DataSet = 'Drilling_INF') AS v2 FROM hole_samples WHERE {_TESTED} GROUP BY Element)
-    SELECT Element, n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS ttest_stat,
+    , s AS (SELECT Element, n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS ttest_stat,
     CAST(n1 + n2 - 2 AS DOUBLE) AS ttest_df, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS welch_stat,
-    pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS welch_df FROM m""",
-    ttest_stat=6, welch_stat=6, welch_df=4,
+    pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS welch_df FROM m),
+    p AS (SELECT *, {_t_p_sql('ttest_stat', 'ttest_df')} AS ttest_p_value, {_t_p_sql('welch_stat', 'welch_df')} AS welch_p_value FROM s)
+    SELECT *, ttest_p_value < 0.05 AS means_different, welch_p_value < 0.05 AS means_different_welch FROM p""",
+    ttest_stat=6, welch_stat=6, welch_df=4, ttest_p_value=6, welch_p_value=6,
 )
 register(
     "ks_2samp", lambda t: T.ks_statistics(_tested(t), *_PAIR),
-    _ks_sql("", "hole_samples", G, "DataSet = 'Drilling_BF'", "Element", _TESTED), ks_statistic=9,
+    _ks_sql("", "hole_samples", G, "DataSet = 'Drilling_BF'", "Element", _TESTED), ks_statistic=9, p_value=7,
 )
 register(
     "mann_whitney", lambda t: T.mann_whitney_statistics(_tested(t), *_PAIR),
@@ -180,18 +191,23 @@ register(
       FROM hole_samples WHERE {_TESTED}),
     t AS (SELECT Element, sum(k * k * k - k) AS ties FROM (SELECT Element, count(*)::DOUBLE AS k FROM hole_samples WHERE {_TESTED} GROUP BY Element, {G}) GROUP BY Element),
     u AS (SELECT Element, count(*) FILTER (DataSet = 'Drilling_BF') AS n1, count(*) FILTER (DataSet <> 'Drilling_BF') AS n2, sum(rk) FILTER (DataSet = 'Drilling_BF') AS r FROM r GROUP BY Element),
-    w AS (SELECT u.Element, n1, n2, r - n1 * (n1 + 1) / 2.0::DOUBLE AS mannwhitney_stat, ties, n1::DOUBLE AS a, n2::DOUBLE AS b FROM u JOIN t ON u.Element = t.Element)
-    SELECT Element, n1, n2, mannwhitney_stat, (greatest(mannwhitney_stat, a * b - mannwhitney_stat) - a * b / 2 - 0.5)
-    / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM w""",
-    z=6,
+    w AS (SELECT u.Element, n1, n2, r - n1 * (n1 + 1) / 2.0::DOUBLE AS mannwhitney_stat, ties, n1::DOUBLE AS a, n2::DOUBLE AS b FROM u JOIN t ON u.Element = t.Element),
+    z AS (SELECT Element, n1, n2, mannwhitney_stat, (greatest(mannwhitney_stat, a * b - mannwhitney_stat) - a * b / 2 - 0.5)
+    / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM w),
+    p AS (SELECT *, least(1.0, 1 - 2 * z / 1200 * list_sum([CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k * z / 400, 2) / 2) / sqrt(2 * pi())
+     FOR k IN range(0, 401)])) AS mannwhitney_p_value FROM z)
+    SELECT *, mannwhitney_p_value < 0.05 AS distributions_different FROM p""",
+    z=6, mannwhitney_p_value=5,
 )
 register("normality", lambda t: T.normality(_tested(t), GRADE, ["Element"]))
 register("fit_distributions", lambda t: T.fit_distributions(_tested(t), GRADE))
 register(
     "trend", lambda t: T.trend(_tested(t), F.date_diff(F.to_date("sampled_at"), F.lit("1970-01-01").cast("date")).cast("double"), GRADE, ["Element"]),
-    f"""SELECT Element, count(*) AS n, regr_slope({G}, d) AS trend_slope, regr_intercept({G}, d) AS trend_intercept, regr_r2({G}, d) AS trend_r_squared
-    FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(sampled_at AS DATE))::DOUBLE AS d FROM hole_samples WHERE {G} > 0) GROUP BY Element""",
-    trend_slope=6, trend_intercept=2, trend_r_squared=9,
+    f"""WITH l AS (SELECT Element, count(*) AS n, regr_slope({G}, d) AS trend_slope, regr_intercept({G}, d) AS trend_intercept, regr_r2({G}, d) AS trend_r_squared
+    FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(sampled_at AS DATE))::DOUBLE AS d FROM hole_samples WHERE {G} > 0) GROUP BY Element),
+    t AS (SELECT *, sqrt(trend_r_squared * (n - 2) / (1 - trend_r_squared)) AS t, CAST(n - 2 AS DOUBLE) AS v FROM l),
+    p AS (SELECT *, {_t_p_sql('t', 'v')} AS trend_p_value FROM t) SELECT * EXCLUDE (t, v), trend_p_value < 0.05 AS trend_significant FROM p""",
+    trend_slope=6, trend_intercept=2, trend_r_squared=9, trend_p_value=6,
 )
 _SPREAD = f"(SELECT Element, var_pop({G}) AS variance, stddev_pop({G}) / avg({G}) AS coefficient_of_variation FROM hole_samples WHERE {TRAINING} GROUP BY Element)"
 

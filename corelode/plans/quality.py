@@ -301,14 +301,17 @@ def _ks_sql(field: str, source: str, value: str, first: str, keys: str = "", whe
     part = f"PARTITION BY {keys}" if keys else ""
     select = f"{keys}, " if keys else ""
     return f"""WITH v AS (SELECT {select}{value} AS v, count(*) FILTER ({first}) AS a, count(*) FILTER (NOT ({first})) AS b FROM {source} WHERE {value} IS NOT NULL AND {where} GROUP BY ALL),
-    c AS (SELECT *, sum(a) OVER ({part} ORDER BY v) AS ca, sum(b) OVER ({part} ORDER BY v) AS cb, sum(a) OVER ({part}) AS n1, sum(b) OVER ({part}) AS n2 FROM v)
-    SELECT {select}CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2, max(abs(ca / n1 - cb / n2)) AS ks_statistic FROM c {'GROUP BY ' + keys if keys else ''}"""
+    c AS (SELECT *, sum(a) OVER ({part} ORDER BY v) AS ca, sum(b) OVER ({part} ORDER BY v) AS cb, sum(a) OVER ({part}) AS n1, sum(b) OVER ({part}) AS n2 FROM v),
+    k AS (SELECT {select}CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2, max(abs(ca / n1 - cb / n2)) AS ks_statistic FROM c {'GROUP BY ' + keys if keys else ''}),
+    x AS (SELECT *, ks_statistic * sqrt(n1::DOUBLE * n2 / (n1 + n2)) AS x FROM k),
+    p AS (SELECT * EXCLUDE x, CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0, list_sum([CASE j % 2 WHEN 1 THEN 2.0 ELSE -2.0 END * exp(-2.0::DOUBLE * j * j * x * x) FOR j IN range(1, 101)]))) END AS p_value FROM x)
+    SELECT *, p_value < 0.05 AS distributions_different FROM p"""
 
 
 register(
     "drift_ks", _drift,
     " UNION ALL ".join(f"SELECT '{c}' AS field, * FROM ({_ks_sql('', 'hole_samples', c, f'sampled_at < {_SPLIT_AT}')})" for c in (G, "Depth_From", "Interval_Length")),
-    ks_statistic=9,
+    ks_statistic=9, p_value=7,
 )
 register(
     "label_encode", lambda t: X.label_encode(t.hole_samples.select("SampleID", *X_CODED), X_CODED),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,8 +40,9 @@ def limit_of(spark: SparkSession, name: str, default: int) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine.
+    Only a session within one machine's process (master ``local`` or
+    ``local[...]``) without that setting gets a temporary folder; on a cluster a
+    machine-local folder would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="corelode-")
     spark.conf.set("spark.checkpoint.dir", folder)
