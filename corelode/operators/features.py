@@ -205,20 +205,22 @@ def align_features(df: DataFrame, names: Sequence[str], carry: Sequence[str] = (
         (F.col(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in names])
 
 
-def point_features(points: DataFrame, samples: DataFrame, k: int = 5, key: str = "point_id") -> DataFrame:
-    """Features of unseen points (key, latitude, longitude, depth_from, depth_to)
-    from the nearest holes and from statistics of the known samples."""
+def hole_table(samples: DataFrame) -> DataFrame:
+    """Located holes of the training rows with their elevation: what scoring needs of the samples."""
     from corelode.operators.rows import training_rows
 
-    known = training_rows(samples)
-    holes = known.groupBy("Hole_ID", "latitude", "longitude").agg(F.avg(GRADE).alias("value"), F.avg("elevation").alias("elevation"))
-    near = nearest(as_targets(points, key), as_references(holes, "Hole_ID"), k).join(
-        holes.select(F.col("Hole_ID").alias("r_id"), "value", "elevation"), "r_id")
-    around = near.groupBy(F.col("t_id").alias(key)).agg(
-        F.avg("value").alias("avg_neighbor_grade"), F.avg("distance").alias("avg_neighbor_distance"),
-        F.min("distance").alias("min_neighbor_distance"), F.max("distance").alias("max_neighbor_distance"),
-        F.min_by("elevation", F.struct("distance", "r_id")).alias("elevation"))
+    return training_rows(samples).groupBy("Hole_ID", "latitude", "longitude").agg(F.avg("elevation").alias("elevation"))
+
+
+def point_features(points: DataFrame, holes: DataFrame, location: DataFrame, key: str = "point_id") -> DataFrame:
+    """Features of unseen points (key, latitude, longitude, depth_from, depth_to).
+
+    ``holes`` (:func:`hole_table`) gives the elevation of the nearest hole and
+    its distance, ``location`` the statistics fitted on the training rows.
+    """
+    near = nearest(as_targets(points, key), as_references(holes, "Hole_ID"), 1).join(holes.select(F.col("Hole_ID").alias("r_id"), "elevation"), "r_id")
+    around = near.select(F.col("t_id").alias(key), F.col("distance").alias("min_neighbor_distance"), "elevation")
     placed = points.join(around, key, "left").withColumns({
         "Depth_From": F.col("depth_from"), "Depth_To": F.col("depth_to"),
         "mid_depth": (F.col("depth_from") + F.col("depth_to")) / 2, "Interval_Length": F.col("depth_to") - F.col("depth_from")})
-    return features_location(placed, fit_location(known))
+    return features_location(placed, location)

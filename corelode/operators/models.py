@@ -21,7 +21,7 @@ from corelode.functions.scalars import r2_level
 from corelode.operators import stats
 from corelode.operators.features import (
     CODED, LEAK_FREE_FEATURES, feature_columns, feature_matrix, features_prediction, features_training, fill_features,
-    fit_location,
+    fit_location, hole_table,
 )
 from corelode.operators.ordered import row_numbers
 from corelode.operators.prep import fit_impute, label_codes, split, with_row
@@ -299,6 +299,7 @@ class Trained:
     location: DataFrame
     codes: dict[str, DataFrame]
     fills: DataFrame
+    holes: DataFrame
     seconds: float = 0.0
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -329,7 +330,7 @@ def train_workflow(
     scored = keep(predict_nonneg(model, matrix))
     residuals = keep(residual_row(scored.filter("part = 'validation'")))
     metrics = keep(stats.model_metrics(as_scored(scored), ["part"]))
-    return Trained(element.upper(), used, model, residuals, metrics, location, codes, fills, time.monotonic() - started)
+    return Trained(element.upper(), used, model, residuals, metrics, location, codes, fills, keep(hole_table(samples)), time.monotonic() - started)
 
 
 def train_elements(samples: DataFrame, elements: Sequence[str], **options) -> tuple[dict[str, Trained], DataFrame]:
@@ -358,6 +359,7 @@ def save_model(trained: Trained, path: str, stamp: str) -> None:
     save_parameters({
         "residuals": trained.residuals, "metrics": trained.metrics, "location": trained.location, "fills": trained.fills,
         **{f"codes_{c}": df for c, df in trained.codes.items()}}, f"{model_path}/parameters")
+    trained.holes.write.mode("overwrite").parquet(f"{model_path}/holes")
     by_part = {r["part"]: r.asDict() for r in trained.metrics.collect()}  # three rows
 
     def as_map(part: str) -> Column:
@@ -385,7 +387,7 @@ def load_model(spark: SparkSession, path: str, stamp: str) -> Trained:
         "residuals", "metrics", "location", "fills", "codes_Element", "codes_DataSet", "codes_LabCode"])
     return Trained(
         document["element"], list(document["feature_names"]), PipelineModel.load(f"{base}/model"), p["residuals"], p["metrics"],
-        p["location"], {c: p[f"codes_{c}"] for c in ("Element", "DataSet", "LabCode")}, p["fills"])
+        p["location"], {c: p[f"codes_{c}"] for c in ("Element", "DataSet", "LabCode")}, p["fills"], spark.read.parquet(f"{base}/holes"))
 
 
 def evaluate_saved(trained: Trained, rows: DataFrame) -> DataFrame:

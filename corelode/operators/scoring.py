@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode.functions import scalars as S
 from corelode.functions.predicates import GRADE
 from corelode.operators.depth import latest_model
-from corelode.operators.features import align_features, point_features
+from corelode.operators.features import LEAK_FREE_FEATURES, align_features, fill_features, point_features
 from corelode.operators.models import Trained, predict_interval, train_workflow
-from corelode.operators.spatial import extent_of, grid_points, point_id, steps_for_metres
+from corelode.operators.spatial import extent_of, grid_axes, grid_points, point_id, steps_for_metres
 
 # what a point's features can be; a model for points is trained on these
-POINT_FEATURES = [
-    "latitude", "longitude", "elevation", "mid_depth", "Interval_Length", "lat_lon_ratio", "distance_from_center",
-    "depth_ratio", "interval_ratio", "depth_normalized", "elevation_normalized", "Depth_From", "Depth_To",
-]
+POINT_FEATURES = [f for f in LEAK_FREE_FEATURES if not f.endswith("_encoded")]
 
 
 def model_lookup(requests: DataFrame, models: DataFrame, fallback: str = "CU") -> DataFrame:
@@ -55,46 +52,69 @@ def with_depths(points: DataFrame) -> DataFrame:
     return points
 
 
-def score_points(points: DataFrame, samples: DataFrame, trained: Trained, key: str = "point_id", k: int = 5, strict: bool = True) -> DataFrame:
-    """Prediction records of valid points for one model's element."""
-    ready = with_depths(points)
+AT = ["latitude", "longitude", "depth_from", "depth_to"]
+
+
+def score_points(points: DataFrame, trained: Trained, key: str = "point_id", strict: bool = True) -> DataFrame:
+    """A prediction record for each row of ``points``, in one model's element.
+
+    Every row comes back once, with its own columns (unless a column of the
+    record has the same name): valid ones with a prediction and its interval,
+    others with null ones and their ``errors``. Equal points are scored once.
+    Features use what was fitted in training: location statistics, fill values
+    and the holes.
+    """
+    ready = with_depths(points).withColumn("errors", S.request_errors(strict_order=strict))
     if key not in ready.columns:
-        ready = ready.withColumn(key, F.concat_ws("|", point_id(), "depth_from", "depth_to")).dropDuplicates([key])
-    valid = ready.filter(F.size(S.request_errors(strict_order=strict)) == 0)
-    wide = point_features(valid.select(key, "latitude", "longitude", "depth_from", "depth_to"), samples, k, key)
-    matrix = align_features(wide, trained.features, [key, F.col("depth_from").alias("_from"), F.col("depth_to").alias("_to")])
-    scored = predict_interval(trained.score(matrix), trained.residuals, "rmse")
-    return scored.select(
-        key, F.lit(trained.element).alias("element"), F.col("predicted").alias("predicted_grade_ppm"),
-        F.struct("latitude", "longitude").alias("coordinates"), F.struct(F.col("_from").alias("from"), F.col("_to").alias("to")).alias("depth"),
-        F.struct("lower", "upper").alias("confidence_interval"),
-        F.struct(F.lit("GBTRegressor").alias("model_type"), F.lit(len(trained.features)).alias("features_used"),
-                 F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp")).alias("metadata"))
-
-
-def score_elements(points: DataFrame, samples: DataFrame, models: dict[str, Trained], key: str = "point_id") -> DataFrame:
+        ready = ready.withColumn(key, F.concat_ws("|", point_id(), "depth_from", "depth_to"))
+    valid = ready.filter(F.size("errors") == 0).select(*AT).distinct().withColumn("_at", F.concat_ws("|", *[F.col(c).cast("string") for c in AT]))
+    wide = point_features(valid, trained.holes, trained.location, "_at")
+    matrix = fill_features(align_features(wide, trained.features, [F.col(c).alias(f"_{c}") for c in AT]), trained.fills, trained.features)
+    scored = predict_interval(trained.score(matrix), trained.residuals, "rmse").select(
+        *[F.col(f"_{c}").alias(c) for c in AT], "predicted", F.struct("lower", "upper").alias("_interval"))
+    record = {
+        "element": F.lit(trained.element), "predicted_grade_ppm": F.col("predicted"), "coordinates": F.struct("latitude", "longitude"),
+        "depth": F.struct(F.col("depth_from").alias("from"), F.col("depth_to").alias("to")), "confidence_interval": F.col("_interval"),
+        "metadata": F.struct(
+            F.lit("GBTRegressor").alias("model_type"), F.lit(len(trained.features)).alias("features_used"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp"))}
+    own = [c for c in ready.columns if c not in (*record, *AT, "errors")]
+    return ready.join(scored, AT, "left").select(*own, *[c.alias(n) for n, c in record.items()], "errors")
+
+
+def score_elements(points: DataFrame, models: dict[str, Trained], key: str = "point_id") -> DataFrame:
     """Points scored for each of several elements."""
-    return reduce(DataFrame.unionByName, [score_points(points, samples, m, key) for m in models.values()])
+    return reduce(DataFrame.unionByName, [score_points(points, m, key) for m in models.values()])
 
 
-def score_grid(samples: DataFrame, trained: Trained, metres: float, depth: tuple[float, float] = (0.0, 10.0), edge: str = "inclusive") -> DataFrame:
-    """Predictions over a grid on the samples' extent for one depth range."""
+def score_grid(samples: DataFrame, trained: Trained, metres: float, depth: tuple[float, float] = (0.0, 10.0), edge: str = "inclusive") -> tuple[DataFrame, DataFrame]:
+    """Predictions over a grid on the samples' extent for one depth range, and one
+    row on the grid: its size and the spread of the predictions."""
     bounds = extent_of(samples)
-    grid = grid_points(samples.sparkSession, bounds, *steps_for_metres(metres, bounds[0], bounds[1]), edge)
-    points = grid.withColumns({"depth_from": F.lit(float(depth[0])), "depth_to": F.lit(float(depth[1]))})
-    return score_points(points, samples, trained, "grid_id")
-
-
-def score_csv(path: str, out: str, samples: DataFrame, trained: Trained, mapping: dict[str, str] | None = None) -> DataFrame:
-    """File of points to file of predictions; returns the spread of the predictions."""
+    steps = steps_for_metres(metres, bounds[0], bounds[1])
+    n_lat, _, n_lon, _ = grid_axes(bounds, *steps, edge)
+    grid = grid_points(samples.sparkSession, bounds, *steps, edge)
+    records = score_points(grid.withColumns({"depth_from": F.lit(float(depth[0])), "depth_to": F.lit(float(depth[1]))}), trained, "grid_id")
+    p = F.col("predicted_grade_ppm")
+    summary = records.agg(F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std")).select(
+        F.lit(n_lat).alias("n_lat"), F.lit(n_lon).alias("n_long"), F.lit(n_lat * n_lon).alias("total_points"), F.lit(float(metres)).alias("resolution_m"),
+        F.lit(trained.element).alias("element"), F.struct("min", "max", "mean", "std").alias("statistics"))
+    return records, summary
+
+
+def score_csv(path: str, out: str, spark: SparkSession, trained: Trained, mapping: dict[str, str] | None = None) -> DataFrame:
+    """File of points to file of predictions, a line for each line; returns counts and the spread of the predictions."""
     from corelode.operators.profile import prediction_stats
     from corelode.sources.readers import points_from_csv
     from corelode.sources.writers import flat_predictions, write_csv
 
-    records = score_points(points_from_csv(samples.sparkSession, path, mapping), samples, trained)
-    write_csv(flat_predictions(records), out)
-    written = samples.sparkSession.read.csv(out, header=True, schema=flat_predictions(records).schema)
-    return prediction_stats(written, "predicted_grade_ppm", ["element"])
+    records = score_points(points_from_csv(spark, path, mapping), trained)
+    carried = [c for c in records.columns if c not in ("coordinates", "depth", "confidence_interval", "metadata", "errors", "element", "predicted_grade_ppm")]
+    flat = flat_predictions(records, carried)
+    write_csv(flat, out)
+    written = spark.read.csv(out, header=True, schema=flat.schema)
+    counts = written.groupBy("element").agg(F.count("*").alias("lines"), F.count("predicted_grade_ppm").alias("successful"))
+    return prediction_stats(written, "predicted_grade_ppm", ["element"]).join(counts, "element")
 
 
 def verify_samples(held_out: DataFrame, predictions: DataFrame, ids: list[str]) -> DataFrame:

@@ -109,11 +109,8 @@ def morans_i(samples: DataFrame, bands_m: list[float], value: str = GRADE) -> Da
         (F.col("_all.n") / F.col("weights") * F.try_divide("_num", F.col("_all.q"))).alias("morans_i"))
 
 
-def grid_points(
-    spark: SparkSession, bounds: tuple[float, float, float, float], lat_step: float, lon_step: float,
-    edge: str = "inclusive",
-) -> DataFrame:
-    """Regular grid over (min_lat, max_lat, min_lon, max_lon).
+def grid_axes(bounds: tuple[float, float, float, float], lat_step: float, lon_step: float, edge: str = "inclusive") -> tuple[int, float, int, float]:
+    """Points and step along latitude and longitude over (min_lat, max_lat, min_lon, max_lon).
 
     ``edge``: ``half_open`` leaves the upper bound out, ``inclusive`` has
     ``int(range / step) + 1`` points from bound to bound, ``overshoot`` goes up
@@ -132,12 +129,19 @@ def grid_points(
             return math.ceil((span + step) / step), step
         raise ValueError(f"unknown edge {edge}")
 
-    n_lat, dlat = axis(min_lat, max_lat, lat_step)
-    n_lon, dlon = axis(min_lon, max_lon, lon_step)
+    return (*axis(min_lat, max_lat, lat_step), *axis(min_lon, max_lon, lon_step))
+
+
+def grid_points(
+    spark: SparkSession, bounds: tuple[float, float, float, float], lat_step: float, lon_step: float,
+    edge: str = "inclusive",
+) -> DataFrame:
+    """Regular grid over (min_lat, max_lat, min_lon, max_lon); see :func:`grid_axes`."""
+    n_lat, dlat, n_lon, dlon = grid_axes(bounds, lat_step, lon_step, edge)
     i, j = F.floor(F.col("id") / n_lon), F.col("id") % n_lon
     return spark.range(n_lat * n_lon).select(
-        F.col("id").alias("grid_id"), (F.lit(min_lat) + i * dlat).alias("latitude"),
-        (F.lit(min_lon) + j * dlon).alias("longitude"))
+        F.col("id").alias("grid_id"), (F.lit(bounds[0]) + i * dlat).alias("latitude"),
+        (F.lit(bounds[2]) + j * dlon).alias("longitude"))
 
 
 def steps_for_metres(metres: float, min_lat: float, max_lat: float) -> tuple[float, float]:

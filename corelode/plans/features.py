@@ -104,7 +104,13 @@ def _request_points(t):
     return valid.select(F.col("user_id").alias("point_id"), "latitude", "longitude", "depth_from", "depth_to").distinct()
 
 
-register("prediction_features", lambda t: E.point_features(_request_points(t), t.hole_samples))
+
+
+def _prediction_features(t):
+    return E.point_features(_request_points(t), E.hole_table(t.hole_samples), E.fit_location(R.training_rows(t.hole_samples)))
+
+
+register("prediction_features", _prediction_features)
 
 # statistics
 _E = "(y_pred - y_true)"

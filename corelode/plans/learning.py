@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corelode.functions.predicates import GRADE
 from corelode.operators import features as E
 from corelode.operators import models as M
+from corelode.operators import prep as X
 from corelode.operators import rows as R
 from corelode.operators import scoring as I
 from corelode.operators import spatial as G_
@@ -72,10 +73,11 @@ register("train_elements", lambda t: M.train_elements(t.hole_samples, ["Au", "Zn
 
 
 def _intervals(t):
-    matrix = _matrix(t)
-    model = M.train_gbt(matrix, SIMPLE, **SMALL)
-    scored = keep(M.predict_nonneg(model, matrix))
-    return M.predict_interval(scored, M.residual_row(scored))
+    """Test rows with intervals from the validation residuals of a model fitted on the train part."""
+    parted = keep(X.split(_matrix(t), IDS))
+    model = M.train_gbt(parted.filter("part = 'train'"), SIMPLE, **SMALL)
+    scored = keep(M.predict_nonneg(model, parted.filter("part <> 'train'")))
+    return M.predict_interval(scored.filter("part = 'test'"), M.residual_row(scored.filter("part = 'validation'")))
 
 
 register("predict_interval", lambda t: _intervals(t).select("SampleID", "label", "predicted", "lower", "upper"))
@@ -93,9 +95,23 @@ def _expanding(t):
 
 register("expanding_cv", _expanding)
 register("grid_search", lambda t: M.grid_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3]}, 2, SMALL))
+
+
+def _checked(records, *own):
+    """What is exact about predictions: whose they are, whether there is one, its errors and its order."""
+    p, c = F.col("predicted_grade_ppm"), F.col("confidence_interval")
+    return records.select(
+        *own, "element", p.isNotNull().alias("predicted"), F.array_join("errors", "; ").alias("errors"),
+        F.coalesce((p >= 0) & (c["lower"] <= p) & (p <= c["upper"]) & (c["lower"] >= 0), F.lit(True)).alias("in_order"))
+
+
+_ERRORS = """CASE WHEN latitude > 90 AND depth_from >= depth_to THEN 'latitude outside -90..90; depth_from after depth_to'
+ WHEN latitude > 90 THEN 'latitude outside -90..90' WHEN depth_from >= depth_to THEN 'depth_from after depth_to' ELSE '' END"""
 register(
-    "score_points", lambda t: W.flat_predictions(I.score_points(_request_points(t), t.hole_samples, _trained(t))).drop("prediction_timestamp"))
-register("score_grid", lambda t: W.flat_predictions(I.score_grid(t.hole_samples, _trained(t), 800.0)).drop("prediction_timestamp"))
+    "score_points", lambda t: _checked(I.score_points(t.requests, _trained(t), "event_id"), "event_id", "user_id"),
+    f"""SELECT event_id, user_id, 'CU' AS element, {_ERRORS} = '' AS predicted, {_ERRORS} AS errors, TRUE AS in_order FROM requests""",
+)
+register("score_grid", lambda t: W.flat_predictions(I.score_grid(t.hole_samples, _trained(t), 800.0)[0]).drop("prediction_timestamp"))
 
 
 def _verified(t):

@@ -14,6 +14,7 @@ from corelode.operators import rows as R
 from corelode.operators import scoring as I
 from corelode.operators import stats as T
 from corelode.operators import validate as V
+from corelode.operators.spatial import METRES_PER_DEGREE
 from corelode.plans.features import _request_points
 from corelode.plans.learning import IDS, SIMPLE, SMALL, _intervals, _matrix, _trained
 from corelode.plans.registry import register
@@ -174,13 +175,23 @@ register(
 
 
 def _grid_file(t):
+    """The size as written in the document beside the grid, and the rows of the grid file."""
     path = new_path(t.spark)
-    scored = SW.flat_predictions(I.score_grid(t.hole_samples, _trained(t), 1500.0)).drop("prediction_timestamp")
-    SW.write_grid(scored, path, 1, scored.count())
-    return t.spark.read.schema(scored.schema).csv(f"{path}/grid", header=True)
+    scored, summary = I.score_grid(t.hole_samples, _trained(t), 1500.0)
+    SW.write_grid(SW.flat_predictions(scored), path, summary)
+    rows = t.spark.read.csv(f"{path}/grid", header=True).agg(F.count("*").alias("rows"), F.count("predicted_grade_ppm").alias("predicted"))
+    document = t.spark.read.json(f"{path}/metadata").select(F.col("n_lat").cast("int"), F.col("n_long").cast("int"), F.col("total_points").cast("int"), "element")
+    return document.select("*", rows.select("rows").scalar().alias("rows"), rows.select("predicted").scalar().alias("predicted"))
 
 
-register("write_grid", _grid_file)
+_METRES = 1500.0
+register(
+    "write_grid", _grid_file,
+    f"""WITH b AS (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS c, max(longitude) AS d FROM hole_samples WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+    s AS (SELECT *, {_METRES}::DOUBLE / {METRES_PER_DEGREE} AS step FROM b),
+    n AS (SELECT CAST(floor((b - a) / step) AS INTEGER) + 1 AS n_lat, CAST(floor((d - c) / (step / cos(radians((a + b) / 2)))) AS INTEGER) + 1 AS n_long FROM s)
+    SELECT n_lat, n_long, n_lat * n_long AS total_points, 'CU' AS element, CAST(n_lat * n_long AS BIGINT) AS rows, CAST(n_lat * n_long AS BIGINT) AS predicted FROM n""",
+)
 
 
 def _saved(t):
@@ -190,7 +201,11 @@ def _saved(t):
 
 
 register("load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", "predicted"))
-register("evaluate_saved", lambda t: M.evaluate_saved(_saved(t), t.hole_samples))
+def _test_part(t):
+    return X.split(R.training_rows(t.hole_samples, ["Cu"]), ["SampleID", "Element", "Depth_From", "Depth_To", GRADE]).filter("part = 'test'")
+
+
+register("evaluate_saved", lambda t: M.evaluate_saved(_saved(t), _test_part(t)))
 register("model_info", lambda t: M.model_info(_trained(t)))
 
 
@@ -221,21 +236,23 @@ register("train_workflow", lambda t: M.train_workflow(t.hole_samples, "Au", feat
 
 
 def _scored_file(t):
+    """A file with good and bad lines and a column of its own: each line comes back."""
     source, out = new_path(t.spark), new_path(t.spark)
-    _request_points(t).select("latitude", "longitude", "depth_from", "depth_to").write.csv(source, header=True)
-    return I.score_csv(source, out, t.hole_samples, _trained(t))
+    t.requests.select("latitude", "longitude", "depth_from", "depth_to", "event_id").write.csv(source, header=True)
+    return I.score_csv(source, out, t.spark, _trained(t)).select("element", "lines", "successful")
 
 
-register("score_csv", _scored_file)
-register("confidence_metrics", lambda t: I.confidence_metrics(I.score_points(_request_points(t), t.hole_samples, _trained(t))).select(
+register("score_csv", _scored_file, "SELECT 'CU' AS element, count(*) AS lines, count(*) FILTER (latitude <= 90 AND depth_from < depth_to) AS successful FROM requests")
+register("confidence_metrics", lambda t: I.confidence_metrics(I.score_points(_request_points(t), _trained(t))).select(
     "point_id", "predicted_grade_ppm", "interval_width", "confidence_level", "region_level"))
 
 
 def _stream_source(t, df):
-    """Rows as a folder of files, read as a stream of two batches."""
+    """Rows as a folder of files, read as a stream of several batches."""
     path = new_path(t.spark)
-    df.repartition(2).write.parquet(path)
-    return J.file_stream(t.spark, path, df.schema, files_per_batch=1)
+    df.write.parquet(path)
+    files = len(t.spark.read.parquet(path).inputFiles())
+    return J.file_stream(t.spark, path, df.schema, files_per_batch=max(1, files // 2))
 
 
 def _quality_stream(t):
@@ -248,15 +265,20 @@ register("stream_quality", _quality_stream, "SELECT CAST(2 AS BIGINT) AS checks,
 
 
 def _score_stream(t):
+    """Requests of the stream by outcome, from the written scores."""
     out, bad, state = new_path(t.spark), new_path(t.spark), new_path(t.spark)
-    requests = t.requests.select("latitude", "longitude", "depth_from", "depth_to")
-    J.stream_score(_stream_source(t, requests), t.hole_samples, _trained(t), out, bad, state, once=True).awaitTermination()
-    return t.spark.read.parquet(bad).groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("requests"))
+    requests = t.requests.select("event_id", "latitude", "longitude", "depth_from", "depth_to")
+    J.stream_score(_stream_source(t, requests), _trained(t), out, bad, state, once=True).awaitTermination()
+    scores, errors = t.spark.read.parquet(out), t.spark.read.parquet(bad)
+    known = errors.groupBy("errors").agg(F.count("*").alias("in_error_table"))
+    return scores.groupBy("errors").agg(F.count("*").alias("requests"), F.count("predicted_grade_ppm").alias("predicted"), F.sum("event_id").alias("ids")).join(
+        known, "errors", "left").select("errors", "requests", "predicted", "ids", F.coalesce("in_error_table", F.lit(0)).alias("in_error_table"))
 
 
 register(
     "stream_score", _score_stream,
-    """SELECT CASE WHEN latitude > 90 AND depth_from > depth_to THEN 'latitude outside -90..90; depth_from after depth_to'
-    WHEN latitude > 90 THEN 'latitude outside -90..90' ELSE 'depth_from after depth_to' END AS errors, count(*) AS requests
-    FROM requests WHERE latitude > 90 OR depth_from > depth_to GROUP BY ALL""",
+    """WITH e AS (SELECT event_id, CASE WHEN latitude > 90 AND depth_from > depth_to THEN 'latitude outside -90..90; depth_from after depth_to'
+    WHEN latitude > 90 THEN 'latitude outside -90..90' WHEN depth_from > depth_to THEN 'depth_from after depth_to' ELSE '' END AS errors FROM requests)
+    SELECT errors, count(*) AS requests, count(*) FILTER (errors = '') AS predicted, CAST(sum(event_id) AS BIGINT) AS ids,
+    count(*) FILTER (errors <> '') AS in_error_table FROM e GROUP BY errors""",
 )

@@ -6,19 +6,24 @@ Every writer leaves a folder with one file per partition; small documents
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelode.schema import PREDICTION_COLUMNS
 
 
-def flat_predictions(records: DataFrame) -> DataFrame:
-    """Prediction records as the nine flat columns."""
+def flat_predictions(records: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Prediction records as the nine flat columns, then ``errors`` as text and the carried columns."""
+    more = [F.array_join("errors", "; ").alias("errors")] if "errors" in records.columns else []
+    taken = [c for c in carry if c not in PREDICTION_COLUMNS and c != "errors"]
     return records.select(
         F.col("coordinates.latitude").alias("latitude"), F.col("coordinates.longitude").alias("longitude"),
         F.col("depth.from").alias("depth_from"), F.col("depth.to").alias("depth_to"), "element", "predicted_grade_ppm",
         F.col("confidence_interval.lower").alias("confidence_lower"), F.col("confidence_interval.upper").alias("confidence_upper"),
-        F.col("metadata.prediction_timestamp").alias("prediction_timestamp")).select(*PREDICTION_COLUMNS)
+        F.col("metadata.prediction_timestamp").alias("prediction_timestamp"), *more, *taken).select(
+        *PREDICTION_COLUMNS, *(["errors"] if more else []), *taken)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -46,11 +51,10 @@ def write_geojson(points: DataFrame, path: str) -> None:
     geojson_lines(points).write.mode("overwrite").text(path)
 
 
-def write_grid(scored: DataFrame, path: str, n_lat: int, n_lon: int) -> None:
-    """Grid rows beside a document with the grid's size."""
+def write_grid(scored: DataFrame, path: str, summary: DataFrame) -> None:
+    """Grid rows beside a document with the grid's size and statistics (one row)."""
     write_csv(scored, f"{path}/grid")
-    size = scored.sparkSession.createDataFrame([(n_lat, n_lon, n_lat * n_lon)], "n_lat int, n_long int, total_points int")
-    write_json(size.coalesce(1), f"{path}/metadata")
+    write_document(summary, f"{path}/metadata")
 
 
 def write_document(one_row: DataFrame, path: str) -> None:

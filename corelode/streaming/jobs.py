@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corelode.functions import scalars as S
 from corelode.operators import validate as V
 from corelode.operators.models import Trained
-from corelode.operators.scoring import score_points
+from corelode.operators.scoring import AT, score_points
 from corelode.sources.readers import MODEL_DOCUMENT, registry_rows
 from corelode.sources.writers import flat_predictions
 
@@ -105,18 +105,19 @@ def served_share(decided: DataFrame) -> DataFrame:
         F.avg((~F.col("served")).cast("double")).alias("hit_rate"))
 
 
-def stream_score(requests: DataFrame, samples: DataFrame, trained: Trained, out: str, errors: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Scores arriving points; invalid ones go to an error table with their reasons."""
+def stream_score(requests: DataFrame, trained: Trained, out: str, errors: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Scores arriving points, a record for each; those with errors also go to an error table.
 
+    The model brings its holes and fitted statistics, so a batch reads nothing
+    of the samples. Both tables are written from the batch's own records, which
+    a repeated batch replaces.
+    """
     def score(batch: DataFrame, number: int) -> None:
-        checked = batch.withColumn("errors", S.request_errors()).persist()
-        bad = checked.filter(F.size("errors") > 0)
-        bad.write.mode("overwrite").parquet(f"{errors}/batch={number}")
-        good = checked.filter(F.size("errors") == 0).select(
-            "latitude", "longitude", "depth_from", "depth_to").distinct()
-        records = score_points(good, samples, trained, strict=False)
-        flat_predictions(records).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        checked.unpersist()
+        records = flat_predictions(score_points(batch, trained, strict=False), [c for c in batch.columns if c not in AT])
+        target = f"{out}/batch={number}"
+        records.write.mode("overwrite").parquet(target)
+        written = batch.sparkSession.read.schema(records.schema).parquet(target)
+        written.filter("errors <> ''").write.mode("overwrite").parquet(f"{errors}/batch={number}")
 
     return _run(requests.writeStream.foreachBatch(score), checkpoint, once)
 

@@ -122,8 +122,8 @@ def test_save_load_registry_and_scoring(spark, trained, trend_samples, tmp_path)
     points = spark.createDataFrame(
         [("p1", -15.18, -71.84, 0.0, 5.0), ("p2", -15.15, -71.83, None, None), ("bad", 99.0, 0.0, 0.0, 5.0)],
         "point_id string, latitude double, longitude double, depth_from double, depth_to double")
-    a, b = (rows(I.score_points(points, trend_samples, m), "point_id", "predicted_grade_ppm") for m in (trained, loaded))
-    assert a == b and [r[0] for r in a] == ["p1", "p2"]
+    a, b = (rows(I.score_points(points, m), "point_id", "predicted_grade_ppm") for m in (trained, loaded))
+    assert a == b and [(r[0], r[1] is None) for r in a] == [("bad", True), ("p1", False), ("p2", False)]
     entry = SR.model_registry(spark, folder).first()
     assert entry["element"] == "CU" and entry["trained"] == "20250102_030405" and entry["feature_count"] == len(trained.features)
     assert entry["r2"] == pytest.approx(trained.metrics.filter("part = 'test'").first()["r2_score"])
@@ -135,8 +135,8 @@ def test_save_load_registry_and_scoring(spark, trained, trend_samples, tmp_path)
 
 def test_points_file_to_prediction_file(spark, trained, trend_samples, tmp_path):
     (tmp_path / "in.csv").write_text("y,x,name\n-15.18,-71.84,a\n-15.16,-71.83,b\n,-71.8,c\n")
-    stats = I.score_csv(str(tmp_path / "in.csv"), str(tmp_path / "out"), trend_samples, trained, {"latitude": "y", "longitude": "x"}).first()
-    assert stats["count"] == 2 and stats["min"] <= stats["median"] <= stats["max"]
+    stats = I.score_csv(str(tmp_path / "in.csv"), str(tmp_path / "out"), spark, trained, {"latitude": "y", "longitude": "x"}).first()
+    assert stats["lines"] == 3 and stats["successful"] == 2 and stats["count"] == 2 and stats["min"] <= stats["median"] <= stats["max"]
     with pytest.raises(ValueError):
         SR.points_from_csv(spark, str(tmp_path / "in.csv"))
     points = SR.points_from_csv(spark, str(tmp_path / "in.csv"), {"latitude": "y", "longitude": "x"})
@@ -144,20 +144,42 @@ def test_points_file_to_prediction_file(spark, trained, trend_samples, tmp_path)
 
 
 def test_grid_scoring_and_confidence(trained, trend_samples, tmp_path):
-    scored = I.score_grid(trend_samples, trained, 1500.0)
+    scored, summary = I.score_grid(trend_samples, trained, 1500.0)
     assert scored.count() > 4 and scored.filter("predicted_grade_ppm < 0").count() == 0
     classes = I.confidence_metrics(scored)
     assert classes.filter("interval_width < 0").count() == 0 and {"confidence_level", "region_level"} <= set(classes.columns)
     flat = SW.flat_predictions(scored)
-    SW.write_grid(flat, str(tmp_path / "g"), 3, 4)
-    assert scored.sparkSession.read.json(str(tmp_path / "g/metadata")).first()["total_points"] == 12
+    SW.write_grid(flat, str(tmp_path / "g"), summary)
+    size = scored.sparkSession.read.json(str(tmp_path / "g/metadata")).first()
+    assert size["total_points"] == scored.count() == size["n_lat"] * size["n_long"]
+    assert size["statistics"]["min"] <= size["statistics"]["mean"] <= size["statistics"]["max"]
     SW.write_json(flat, str(tmp_path / "j"))
     assert scored.sparkSession.read.json(str(tmp_path / "j")).count() == flat.count()
 
 
+def test_every_line_comes_back_with_its_columns(spark, trained):
+    rows_in = [(1, -15.18, -71.84, 0.0, 5.0, "x")] * 2 + [(2, 99.0, -71.84, 0.0, 5.0, "y"), (3, None, -71.8, 0.0, 5.0, None), (4, -15.18, -71.84, 5.0, 5.0, "z")]
+    points = spark.createDataFrame(rows_in, "point_id long, latitude double, longitude double, depth_from double, depth_to double, note string")
+    got = rows(I.score_points(points, trained).select("point_id", "note", F.col("predicted_grade_ppm").isNotNull(), F.size("errors")))
+    assert got == sorted([(1, "x", True, 0), (1, "x", True, 0), (2, "y", False, 1), (3, None, False, 1), (4, "z", False, 1)], key=str)
+
+
+def test_a_training_row_scores_as_in_training(trained, trend_samples):
+    """Same features, hence the same prediction, whether a row is in the training matrix or a point to score."""
+    from corelode.operators import features as E
+    from corelode.operators.rows import training_rows
+
+    known = training_rows(trend_samples, ["Cu"])
+    matrix = E.fill_features(E.feature_columns(E.features_location(known, trained.location), trained.features, ["SampleID"]), trained.fills, trained.features)
+    want = rows(trained.score(matrix), "SampleID", "predicted")
+    points = known.select("SampleID", "latitude", "longitude", F.col("Depth_From").alias("depth_from"), F.col("Depth_To").alias("depth_to"))
+    got = rows(I.score_points(points, trained, "SampleID"), "SampleID", "predicted_grade_ppm")
+    assert got == want
+
+
 def test_several_elements(trained, spark, trend_samples):
     points = spark.createDataFrame([("p1", -15.18, -71.84)], "point_id string, latitude double, longitude double")
-    both = I.score_elements(points, trend_samples, {"CU": trained, "AU": trained})
+    both = I.score_elements(points, {"CU": trained, "AU": trained})
     assert both.count() == 2
 
 

@@ -55,11 +55,12 @@ def test_scores_equal_the_batch(spark, samples, tmp_path):
     source = str(tmp_path / "in")
     points.coalesce(1).write.parquet(source)
     stream = J.file_stream(spark, source, points.schema)
-    J.stream_score(stream, samples, trained, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "cp"), once=True).awaitTermination()
+    J.stream_score(stream, trained, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "cp"), once=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    batch = I.score_points(points, samples, trained, strict=False)
+    batch = I.score_points(points, trained, strict=False)
     assert rows(got, "latitude", "predicted_grade_ppm") == rows(batch.select("coordinates.latitude", "predicted_grade_ppm"))
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    assert got.count() == 4
 
 
 def test_registry_follows_new_documents(spark, tmp_path):
