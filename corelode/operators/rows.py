@@ -232,6 +232,7 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
 def verification_sample(df: DataFrame, id_columns: list[str], per_band: int = 5, tail: int = 10, seed: int = 42) -> DataFrame:
     """Rows for a manual check: the top grades, the 25-50 % band, the lowest
     grades and a random pick, without repeats."""
+    from corelode.operators.prep import identity_hash
     from corelode.operators.quantiles import quantiles
 
     order = [F.desc(GRADE), *id_columns]
@@ -239,7 +240,7 @@ def verification_sample(df: DataFrame, id_columns: list[str], per_band: int = 5,
     middle = df.withColumn("_q", bands.select(F.struct("*")).scalar()).filter(
         (F.col(GRADE) >= F.col("_q.q50")) & (F.col(GRADE) < F.col("_q.q75"))
     ).drop("_q")
-    chance = F.xxhash64(F.lit(seed), *id_columns)
+    chance = identity_hash(df, id_columns, seed)
     picks = [
         df.orderBy(*order).limit(per_band),
         middle.orderBy(*order).limit(per_band),

@@ -13,7 +13,7 @@ from corelode.operators import stats as T
 from corelode.plans.depth import AUTOCORR, ROLLING, ROLLING_DIGITS
 from corelode.plans.profile import GROUP_DIGITS, GROUP_SQL
 from corelode.plans.quality import _ks_sql
-from corelode.plans.registry import register
+from corelode.plans.registry import CATALOG, register
 from corelode.plans.rows import COLUMNS, G, TRAINING, VALID
 
 _ID = ["SampleID", "Element", "Depth_From", "Depth_To", "latitude", "longitude", GRADE]
@@ -229,8 +229,12 @@ register(
     FROM ({AUTOCORR}) a JOIN {_SPREAD} s ON a.Element = s.Element""",
     autocorrelation=7, autocorr_lag1=7, variance=1, coefficient_of_variation=7,
 )
+_PLAIN = CATALOG["model_metrics"].sql.replace("SELECT Element, ", "SELECT ").replace(" GROUP BY Element", "")
+_SHRUNK = _PLAIN.replace("FROM scored", "FROM (SELECT * REPLACE (CAST(0.95 AS DOUBLE) * y_pred AS y_pred) FROM scored)")
 register(
     "compare_models",
     lambda t: T.compare_models({
         "plain": T.model_metrics(t.scored), "shrunk": T.model_metrics(t.scored.withColumn("y_pred", F.col("y_pred") * 0.95))}),
+    f"SELECT *, 'plain' AS model FROM ({_PLAIN}) UNION ALL SELECT *, 'shrunk' AS model FROM ({_SHRUNK})",
+    **CATALOG["model_metrics"].digits,
 )

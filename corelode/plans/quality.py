@@ -14,7 +14,7 @@ from corelode.operators import stats as T
 from corelode.operators import validate as V
 from corelode.plans.depth import OVERLAPS
 from corelode.plans.profile import COORD_SQL, DEPTH_SQL, DIST_SQL, GRADE_SQL
-from corelode.plans.registry import register
+from corelode.plans.registry import identity_sql, register
 from corelode.plans.rows import COLUMNS, G, TRAINING
 
 NOTHING = "CAST(NULL AS BOOLEAN)"
@@ -284,9 +284,15 @@ def _matrix(t):
     return rows.withColumn("flat", F.lit(1.0))
 
 
-register("drop_low_variance", lambda t: X.drop_low_variance(_matrix(t)))
-register("drop_correlated", lambda t: X.drop_correlated(_matrix(t)))
-register("preprocess_all", lambda t: X.preprocess(_matrix(t), [*_CORR, "mid_depth", "grade_tonnage", "flat"]))
+_MID, _TONNAGE = "(Depth_From + Depth_To) / 2 AS mid_depth", f"{G} * Interval_Length AS grade_tonnage"
+# the fixture's flat column goes, and of its depths, which move together, all but Depth_To
+register(
+    "drop_low_variance", lambda t: X.drop_low_variance(_matrix(t)),
+    f"SELECT SampleID, {', '.join(_CORR)}, {_MID}, {_TONNAGE} FROM hole_samples WHERE {TRAINING}", mid_depth=3, grade_tonnage=3)
+register(
+    "drop_correlated", lambda t: X.drop_correlated(_matrix(t)),
+    f"SELECT SampleID, {G}, Depth_To, Interval_Length, elevation, {_TONNAGE}, 1.0::DOUBLE AS flat FROM hole_samples WHERE {TRAINING}", grade_tonnage=3)
+register("preprocess_pipeline", lambda t: X.preprocess(_matrix(t), [*_CORR, "mid_depth", "grade_tonnage", "flat"]))
 _SPLIT_AT = "TIMESTAMP '1999-01-01'"
 
 
@@ -328,8 +334,18 @@ register(
     CAST(CASE WHEN {G} > 1000 THEN 2 WHEN {G} > 500 THEN 1 ELSE 0 END AS BIGINT) AS grade_category_code FROM hole_samples WHERE {TRAINING}""",
 )
 _ROW_ID = ["SampleID", "Element", "Depth_To", GRADE]
-register("split", lambda t: X.split_sizes(X.split(R.training_rows(t.hole_samples), _ROW_ID)))
-register("split_stability", lambda t: X.split_stability(R.training_rows(t.hole_samples), _ROW_ID))
+_AT = f"{identity_sql(42, ['SampleID', 'Element'], ['Depth_To', G])} % 10000"
+register(
+    "split", lambda t: X.split_sizes(X.split(R.training_rows(t.hole_samples), _ROW_ID)),
+    f"""WITH p AS (SELECT Element, {_AT} AS h FROM hole_samples WHERE {TRAINING}) SELECT Element, count(*) AS total, count(*) FILTER (h >= 3600) AS train,
+    count(*) FILTER (h >= 2000 AND h < 3600) AS validation, count(*) FILTER (h < 2000) AS test FROM p GROUP BY Element""",
+)
+register(
+    "split_stability", lambda t: X.split_stability(R.training_rows(t.hole_samples), _ROW_ID),
+    f"""WITH p AS (SELECT * FROM hole_samples WHERE {TRAINING} AND {_AT} < 2000)
+    SELECT (SELECT count(*) FROM (SELECT SampleID, Element, Depth_To, {G} FROM p EXCEPT ALL SELECT SampleID, Element, Depth_To, {G} FROM p)) AS different_rows,
+    count(*) > 0 AS stable FROM p""",
+)
 
 
 def _isolated(t):
@@ -340,4 +356,48 @@ def _isolated(t):
 
 
 register("outliers_isolation_forest", _isolated)
-register("schema_info", lambda t: V.schema_info(t.spark, {"hole_samples": t.hole_samples, "collars": t.collars, "hole_grades": t.hole_grades}))
+
+
+def _relations(t):
+    return {"hole_samples": t.hole_samples, "collars": t.collars, "hole_grades": t.hole_grades}
+
+
+_TYPES = {
+    "hole_samples": {
+        "SampleID": "string", "Hole_ID": "string", "DataSet": "string", "Element": "string", G: "double", "Depth_From": "double", "Depth_To": "double",
+        "Interval_Length": "double", "latitude": "double", "longitude": "double", "elevation": "double", "LabCode": "string", "sampled_at": "timestamp_ntz"},
+    "collars": {"Hole_ID": "string", "LL_Lat": "double", "LL_Long": "double", "Elevation": "double"},
+    "hole_grades": {
+        "Hole_ID": "string", "Element": "string", "DataSet": "string", "weighted_grade": "double", "From_m": "double", "To_m": "double", "Interval_m": "double"},
+}
+register(
+    "schema_info", lambda t: V.schema_info(t.spark, _relations(t)).drop("nullable"),
+    " UNION ALL ".join(
+        f"SELECT '{r}' AS relation, CAST({i} AS INTEGER) AS position, '{c}' AS column, '{kind}' AS type, count({c}) AS values FROM {r}"
+        for r, columns in _TYPES.items() for i, (c, kind) in enumerate(columns.items(), 1)),
+)
+
+
+def _validated(t):
+    """The relations, one of them without two of its columns, against the required ones and their rows."""
+    relations = _relations(t) | {"collars": t.collars.drop("Elevation", "LL_Lat")}
+    rows = None
+    for name, df in relations.items():
+        one = df.agg(F.lit(name).alias("relation"), F.count("*").alias("rows"))
+        rows = one if rows is None else rows.unionByName(one)
+    return V.schema_validation(t.spark, relations).join(rows, "relation", "left")
+
+
+register(
+    "schema_validation", _validated,
+    """SELECT 'hole_samples' AS relation, TRUE AS present, CAST(12 AS INTEGER) AS required, '' AS missing, TRUE AS valid, count(*) AS rows FROM hole_samples
+    UNION ALL SELECT 'hole_grades', TRUE, 7, '', TRUE, count(*) FROM hole_grades UNION ALL SELECT 'collars', TRUE, 4, 'LL_Lat,Elevation', FALSE, count(*) FROM collars
+    UNION ALL SELECT 'overall', TRUE, 23, '', FALSE, NULL""",
+)
+register(
+    "missing_columns",
+    lambda t: t.collars.agg(
+        F.array_join(F.array(*[F.lit(c) for c in R.missing_columns(t.collars, ["Hole_ID", "LL_Lat", "rock_density", "Azimuth"])]), ",").alias("missing"),
+        F.count("*").alias("rows")),
+    "SELECT 'rock_density,Azimuth' AS missing, count(*) AS rows FROM collars",
+)

@@ -87,3 +87,9 @@ def _split_with(body: str) -> tuple[str, str]:
         if depth == 0 and re.match(r"\bSELECT\b", body[at:], re.IGNORECASE) and not body[at - 1].isalnum():
             return body[:at], body[at:]
     raise ValueError("no final SELECT")
+
+
+def identity_sql(seed: int, texts: list[str], numbers: list[str]) -> str:
+    """``prep.identity_hash`` in DuckDB: text columns first, then numbers in whole thousandths."""
+    parts = ", ".join([*texts, *(f"CAST(CAST(round({c} * 1000) AS BIGINT) AS VARCHAR)" for c in numbers)])
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {parts})), 1, 15) AS BIGINT)"

@@ -200,6 +200,29 @@ def _saved(t):
     return M.load_model(t.spark, path, STAMP)
 
 
+def _registry(t):
+    path = new_path(t.spark)
+    M.save_model(_trained(t), path, STAMP)
+    return SR.model_registry(t.spark, path)
+
+
+register(
+    "save_model", lambda t: _registry(t).select("element", "trained", F.col("feature_count").cast("int"), (F.col("r2") <= 1).alias("has_r2")),
+    f"SELECT DISTINCT 'CU' AS element, '{STAMP}' AS trained, CAST({len(I.POINT_FEATURES)} AS INTEGER) AS feature_count, TRUE AS has_r2 FROM hole_samples WHERE Element = 'Cu'",
+)
+
+
+def _newest(t):
+    """Documents of all models of the relation, streamed, and the newest of each element."""
+    documents, out, state = new_path(t.spark), new_path(t.spark), new_path(t.spark)
+    t.models.select(
+        "element", F.concat(F.col("trained").cast("string"), F.lit("01_000000")).alias("pipeline_id"), F.col("trained").cast("string").alias("model_path"),
+        F.struct(F.create_map(F.lit("r2_score"), F.col("r2")).alias("test_metrics")).alias("evaluation_results")).write.json(documents)
+    J.stream_registry(t.spark, documents, out, state, once=True, one_per_file=False).awaitTermination()
+    return t.spark.read.parquet(out).select("element", "model_path")
+
+
+register("stream_registry", _newest, "SELECT element, CAST(max(trained) AS VARCHAR) AS model_path FROM models GROUP BY element")
 register("load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", "predicted"))
 def _test_part(t):
     return X.split(R.training_rows(t.hole_samples, ["Cu"]), ["SampleID", "Element", "Depth_From", "Depth_To", GRADE]).filter("part = 'test'")
@@ -232,7 +255,7 @@ register("ensemble_uncertainty", lambda t: M.voting_ensemble(_matrix(t), SIMPLE,
     "SampleID", "predicted", "prediction_std"))
 register("stacking", lambda t: T.model_metrics(M.as_scored(
     M.stacking(_matrix(t), SIMPLE, IDS, ("random_forest", "ridge"), 2, **_LIGHT).transform(_matrix(t)))))
-register("train_workflow", lambda t: M.train_workflow(t.hole_samples, "Au", features=E.REFERENCE_FEATURES, **SMALL).metrics)
+register("train_pipeline", lambda t: M.train_workflow(t.hole_samples, "Au", features=E.REFERENCE_FEATURES, **SMALL).metrics)
 
 
 def _scored_file(t):

@@ -10,7 +10,7 @@ from corelode.functions.predicates import GRADE, FilterSpec
 from corelode.operators import profile as A
 from corelode.operators import rows as R
 from corelode.operators.ordered import join_on
-from corelode.plans.registry import register
+from corelode.plans.registry import identity_sql, register
 from corelode.schema import CUTOFFS, ECONOMIC_LIMITS, ELEMENTS, HEAT_DEFAULT, HEAT_MAXIMUM, QUESTION_ORDER
 
 G = "standardized_grade_ppm"
@@ -235,6 +235,13 @@ _ID = ["SampleID", "Element", "Depth_From", "Depth_To"]
 register(
     "verification_sample",
     lambda t: R.verification_sample(R.training_rows(t.hole_samples, ["Cu"]).select(*_ID, "latitude", "longitude", GRADE), _ID),
+    f"""WITH c AS (SELECT SampleID, Element, Depth_From, Depth_To, latitude, longitude, {G} FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'),
+    q AS (SELECT quantile_cont({G}, 0.5) AS q50, quantile_cont({G}, 0.75) AS q75 FROM c),
+    top AS (SELECT * FROM c ORDER BY {G} DESC, SampleID, Element, Depth_From, Depth_To LIMIT 5),
+    middle AS (SELECT c.* FROM c, q WHERE {G} >= q50 AND {G} < q75 ORDER BY {G} DESC, SampleID, Element, Depth_From, Depth_To LIMIT 5),
+    low AS (SELECT * FROM (SELECT * FROM c ORDER BY {G}, SampleID, Element, Depth_From, Depth_To LIMIT 10) ORDER BY {G} DESC, SampleID, Element, Depth_From, Depth_To LIMIT 5),
+    picked AS (SELECT * FROM c ORDER BY {identity_sql(42, ["SampleID", "Element"], ["Depth_From", "Depth_To"])}, SampleID, Element, Depth_From, Depth_To LIMIT 5)
+    SELECT * FROM top UNION SELECT * FROM middle UNION SELECT * FROM low UNION SELECT * FROM picked""",
 )
 register(
     "grade_bands", lambda t: R.grade_bands(t.hole_samples),

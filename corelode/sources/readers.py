@@ -93,7 +93,8 @@ def model_registry(spark: SparkSession, folder: str, default: str = "CU") -> Dat
 
 
 def registry_rows(documents: DataFrame, default: str = "CU") -> DataFrame:
-    name = F.regexp_extract(F.input_file_name(), r"model_metadata_([0-9]{8}_[0-9]{6})", 1)
+    stamp = F.regexp_extract(F.input_file_name(), r"model_metadata_([0-9]{8}_[0-9]{6})", 1)
+    name = F.when(stamp == "", F.col("pipeline_id")).otherwise(stamp)  # a file of another name
     element = F.upper(F.coalesce("element", F.try_element_at("elements", F.lit(1)), F.lit(default)))
     metrics = F.col("evaluation_results.test_metrics")
     r2 = F.coalesce(F.try_element_at(metrics, F.lit("r2_score")), F.try_element_at(metrics, F.lit("r2")))

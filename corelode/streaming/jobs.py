@@ -122,11 +122,14 @@ def stream_score(requests: DataFrame, trained: Trained, out: str, errors: str, c
     return _run(requests.writeStream.foreachBatch(score), checkpoint, once)
 
 
-def stream_registry(spark: SparkSession, folder: str, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Newest model per element, kept up to date as documents arrive."""
-    documents = (
-        spark.readStream.schema(MODEL_DOCUMENT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder))
+def stream_registry(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = False, one_per_file: bool = True) -> StreamingQuery:
+    """Newest model per element, kept up to date in the table ``out`` as documents arrive
+    (one to a file, or one to a line)."""
+    documents = spark.readStream.schema(MODEL_DOCUMENT).option("multiLine", one_per_file).option("pathGlobFilter", "*.json").json(folder)
     newest = registry_rows(documents).groupBy("element").agg(
         F.max_by(F.struct("trained", "model_path", "r2"), "trained").alias("m")).select("element", "m.*")
-    writer = newest.writeStream.outputMode("complete").format("memory").queryName(name)
-    return _run(writer, checkpoint, once)
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return _run(newest.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, once)
