@@ -38,8 +38,8 @@ def main() -> None:
         print(key, seconds[key], file=sys.stderr, flush=True)
     if not sys.argv[1:]:
         started = time.perf_counter()
-        train_workflow(relation(spark, folder, "hole_samples"), "CU", maxIter=20)
-        seconds["train_cu_20_trees"] = round(time.perf_counter() - started, 3)
+        train_workflow(relation(spark, folder, "hole_samples"), "CU")  # the default: 100 trees of depth 6
+        seconds["train_cu_100_trees"] = round(time.perf_counter() - started, 3)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1]}))

@@ -34,7 +34,7 @@ from corelode.session import keep
 GBT = dict(maxDepth=6, stepSize=0.1, maxIter=100, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 ROW_ID = ["SampleID", "Element", "Depth_From", "Depth_To", "label"]
 
-# Parameter grids by name.
+# Parameter grids by name.
 GRIDS: dict[str, dict[str, list]] = {
     "quick": {"maxIter": [50, 100], "maxDepth": [4, 6], "stepSize": [0.1, 0.2]},
     "small": {"maxIter": [50, 100], "maxDepth": [4, 6]},
@@ -104,7 +104,7 @@ def base_learners(rows: int, trees: int = 100, depth: int = 6, seed: int = 42) -
     return {
         "random_forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed),
         "gradient_boosting": lambda: GBTRegressor(**(GBT | dict(maxIter=trees, maxDepth=depth, seed=seed))),
-        "extra_trees": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=False, featureSubsetStrategy="onethird"),
+        "whole_sample_forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=False, featureSubsetStrategy="onethird"),
         "linear": lambda: LinearRegression(),
         "ridge": lambda: LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False),
         "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False),

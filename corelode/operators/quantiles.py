@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -115,8 +114,3 @@ def corrected_kurtosis(c: Column) -> Column:
     """Bias-corrected excess kurtosis; null below four values."""
     n = F.count(c).cast("double")
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
-
-
-def parts_for(rows: int, limit: int) -> int:
-    """Number of parts so that none exceeds ``limit`` rows."""
-    return max(1, math.ceil(rows / limit))

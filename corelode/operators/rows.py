@@ -68,14 +68,15 @@ def by_lab_code(samples: DataFrame, lab: str, elements=None) -> DataFrame:
     return samples.filter(keep).select(*SAMPLE_COLUMNS)
 
 
-def training_rows(samples: DataFrame, elements=None, datasets=None, limit: int | None = None) -> DataFrame:
-    """Valid training rows with their derived columns."""
+def training_rows(samples: DataFrame, elements=None, datasets=None, limit: int | None = None, carry: Iterable[str] = ()) -> DataFrame:
+    """Valid training rows with their derived columns, and further columns of the samples."""
     keep = P.all_of([P.valid_training(), P.of_elements(elements), P.of_datasets(datasets)])
     rows = samples.filter(keep).select(
         *SAMPLE_COLUMNS,
         S.mid_depth().alias("mid_depth"),
         (F.col(GRADE) * F.col("Interval_Length")).alias("grade_tonnage"),
         S.grade_level(F.col(GRADE)).alias("grade_category"),
+        *carry,
     )
     if limit:
         rows = rows.orderBy("Hole_ID", "Element", "Depth_From", "SampleID", GRADE).limit(limit)
@@ -280,9 +281,3 @@ def query_by_type(samples: DataFrame, kind: str, **options) -> DataFrame:
     if kind == "multi_element":
         options.setdefault("elements", ELEMENTS)
     return kinds[kind](samples, **options)
-
-
-def latest_per(df: DataFrame, key: str, order: list) -> DataFrame:
-    """First row per key in the given order (top-1 is pruned before the shuffle)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

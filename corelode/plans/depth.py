@@ -79,8 +79,8 @@ AUTOCORR = f"""WITH s AS (SELECT Element, {G} - avg({G}) OVER (PARTITION BY Elem
 
 
 def _autocorrelation(t):
-    rows = R.training_rows(t.hole_samples.withColumn("LabCode", F.col("sampled_at").cast("string")))
-    products = D.lag_products(rows, ["Element"], ["LabCode", "SampleID", "Depth_To", GRADE], GRADE)
+    rows = R.training_rows(t.hole_samples, carry=["sampled_at"])
+    products = D.lag_products(rows, ["Element"], ["sampled_at", "SampleID", "Depth_To", GRADE], GRADE)
     return products.select("Element", "lag", "n", (F.col("product") / F.col("power")).alias("autocorrelation"))
 
 

@@ -88,9 +88,9 @@ register("stratified_cv", lambda t: M.stratified_cv(_matrix(t), SIMPLE, _small,
 
 
 def _expanding(t):
-    day = F.date_diff(F.to_date("sampled_at"), F.lit("1970-01-01").cast("date"))
-    rows = R.training_rows(t.hole_samples.withColumn("elevation", day.cast("double")), ["Cu"])
-    return M.expanding_cv(keep(E.feature_columns(rows.withColumn("day", F.col("elevation")), SIMPLE, ["SampleID", "day"])), SIMPLE, _small, "day", 2)
+    rows = R.training_rows(t.hole_samples, ["Cu"], carry=["sampled_at"])
+    dated = rows.withColumn("day", F.date_diff(F.to_date("sampled_at"), F.lit("1970-01-01").cast("date")).cast("double"))
+    return M.expanding_cv(keep(E.feature_columns(dated, SIMPLE, ["SampleID", "day"])), SIMPLE, _small, "day", 2)
 
 
 register("expanding_cv", _expanding)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from corelode.functions.predicates import GRADE
 from corelode.operators import profile as A
 from corelode.operators import rows as R
-from corelode.plans.registry import register
-from corelode.plans.rows import G, TRAINING, VALID
+from corelode.plans.registry import CATALOG, register
+from corelode.plans.rows import CENTER, G, TRAINING, VALID
 from corelode.schema import ELEMENTS
 
 _STATS = f"avg({G}) AS avg_grade, min({G}) AS min_grade, max({G}) AS max_grade"
@@ -194,3 +194,11 @@ register(
     FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'""",
     avg_grade=4, std_grade=4, p50=4, p75=4, p90=4, p95=4,
 )
+
+# the other kinds of the dispatch, each like the query it leads to
+for _kind, _key, _options in (
+    ("summary", "summary_by", {"group_by": "Elevation"}), ("quality", "quality_check", {}), ("multi_element", "element_pivot", {}),
+    ("spatial", "spatial_query_km", {"lat": CENTER[0], "lon": CENTER[1], "radius_km": 3.0, "elements": ["Cu", "Au"]}),
+):
+    register(
+        f"query_by_type_{_kind}", lambda t, k=_kind, o=_options: R.query_by_type(t.hole_samples, k, **o), CATALOG[_key].sql, **CATALOG[_key].digits)

@@ -170,14 +170,23 @@ register(
         "latitude", "longitude", "depth_from", "depth_to", "element")]).alias("request_key")),
     f"SELECT event_id, {_KEY} AS request_key FROM requests",
 )
+
+
+def _classes(t):
+    """Scored samples by the class of an interval's width, and requests by that of their (moved) place."""
+    width = S.interval_confidence(F.col("y_pred") - F.abs(F.col("y_pred") - F.col("y_true")) / 20, F.col("y_pred"))
+    region = S.region_confidence(F.col("latitude") - F.col("user_id") % 4 * 5, F.col("longitude") + 25)
+    intervals = t.scored.groupBy(F.lit("interval").alias("kind"), width.alias("level")).agg(F.count("*").alias("n"))
+    return intervals.unionByName(t.requests.groupBy(F.lit("region").alias("kind"), region.alias("level")).agg(F.count("*").alias("n")))
+
+
 register(
-    "confidence_class",
-    lambda t: t.scored.groupBy("Element", S.interval_confidence(
-        F.col("y_pred") - F.abs(F.col("y_pred") - F.col("y_true")) / 20, F.col("y_pred")).alias("confidence"),
-    ).agg(F.count(F.lit(1)).alias("n")).withColumn("region", S.region_confidence(F.lit(-20.0) - F.length("Element"), F.lit(-45.0))),
-    """WITH c AS (SELECT Element, y_pred - (y_pred - abs(y_pred - y_true) / 20) AS width FROM scored)
-    SELECT Element, CASE WHEN width < 100 THEN 'high' WHEN width < 300 THEN 'medium' ELSE 'low' END AS confidence,
-    count(*) AS n, 'high' AS region FROM c GROUP BY ALL""",
+    "confidence_class", _classes,
+    """WITH c AS (SELECT y_pred - (y_pred - abs(y_pred - y_true) / 20) AS width FROM scored),
+    r AS (SELECT latitude - user_id % 4 * 5 AS a, longitude + 25 AS b FROM requests)
+    SELECT 'interval' AS kind, CASE WHEN width < 100 THEN 'high' WHEN width < 300 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM c GROUP BY ALL
+    UNION ALL SELECT 'region', CASE WHEN a BETWEEN -25 AND -20 AND b BETWEEN -50 AND -45 THEN 'high'
+    WHEN a BETWEEN -30 AND -15 AND b BETWEEN -55 AND -40 THEN 'medium' ELSE 'low' END, count(*) FROM r GROUP BY ALL""",
 )
 register(
     "model_grade",
