@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -44,12 +45,22 @@ def valid_training() -> Column:
     return valid_location() & F.col(GRADE).isNotNull() & positive_grade()
 
 
+# Names of up to this many letters are filtered by all their spellings.
+LONGEST_SPELLED = 3
+
+
 def of_elements(elements: Iterable[str] | None) -> Column | None:
-    """Element filter without regard to case. None means all elements."""
+    """Element filter without regard to case. None means all elements.
+
+    All spellings of the short names are listed, which a Parquet scan can use to
+    skip row groups; ``upper(Element)`` it could not.
+    """
     if elements is None:
         return None
-    names = [e.upper() for e in elements]
-    return F.upper("Element").isin(names)
+    names = sorted({e.upper() for e in elements})
+    if any(len(n) > LONGEST_SPELLED or not n.isascii() for n in names):
+        return F.upper("Element").isin(names)
+    return F.col("Element").isin(sorted({"".join(x) for n in names for x in product(*((c.upper(), c.lower()) for c in n))}))
 
 
 def of_datasets(datasets: Iterable[str] | None) -> Column | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelode.functions import predicates as P
@@ -66,6 +66,14 @@ def interval_overlaps(samples: DataFrame, limit: int | None = None) -> DataFrame
     )
 
 
+def between_sorted(values: str, p: float) -> Column:
+    """Quantile of a sorted array by linear interpolation; null if it is empty."""
+    at = (F.size(values) - 1) * F.lit(p)
+    low = F.try_element_at(values, (F.floor(at) + 1).cast("int"))
+    high = F.try_element_at(values, (F.ceil(at) + 1).cast("int"))
+    return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
+
+
 def rolling_grades(samples: DataFrame, rows: int = 10, limit: int | None = None) -> DataFrame:
     """Trailing statistics over the rows in order of latitude and longitude."""
     valid = samples.filter(P.valid_sample())
@@ -77,15 +85,15 @@ def rolling_grades(samples: DataFrame, rows: int = 10, limit: int | None = None)
         return {
             "grade_rolling_mean": F.avg(g).over(frame),
             "grade_rolling_std": F.stddev_samp(g).over(frame),
-            "_q": F.percentile(g, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(frame),
+            "_q": F.sort_array(F.collect_list(g).over(frame)),  # as many values as the frame has rows
         }
 
     moved = moving(valid, [], order, rows - 1, 0, columns, limit)
     return moved.withColumns({
-        "grade_rolling_median": F.col("_q")[1],
-        "grade_rolling_q25": F.col("_q")[0],
-        "grade_rolling_q75": F.col("_q")[2],
-        "local_iqr": F.col("_q")[2] - F.col("_q")[0],
+        "grade_rolling_median": between_sorted("_q", 0.5),
+        "grade_rolling_q25": between_sorted("_q", 0.25),
+        "grade_rolling_q75": between_sorted("_q", 0.75),
+        "local_iqr": between_sorted("_q", 0.75) - between_sorted("_q", 0.25),
         "local_coefficient_variation": F.try_divide("grade_rolling_std", "grade_rolling_mean"),
     }).drop("_q")
 

@@ -72,7 +72,7 @@ def running_totals(
     if fits_one_task(df, keys, limit):
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(c).over(frame) for name, c in sums.items()})
-    spread = _range_parts(df, keys, order, limit)
+    spread = _range_parts(keep(df), keys, order, limit)
     part = [*keys, "_part"]
     frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = spread.withColumns({name: F.sum(c).over(frame) for name, c in sums.items()})
@@ -118,6 +118,7 @@ def moving(
     keys = list(keys)
     if fits_one_task(df, keys, limit):
         return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*order)))
+    df = keep(df)
     block = max(block if limit is None else min(block, limit), before + after + 1)
     numbered = row_numbers(df, keys, order, "_idx", limit)
     at = F.col("_idx") - 1

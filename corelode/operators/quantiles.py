@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelode.operators.ordered import join_on, largest_group, running_totals
-from corelode.session import VALUES_PER_TASK, limit_of
+from corelode.session import VALUES_PER_TASK, keep, limit_of
 
 Wanted = dict[str, tuple[Column, float]]
 
@@ -41,13 +41,12 @@ def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int, weight:
     tagged = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in distinct.values()
     ]))
-    counts = (
+    every = keep(
         df.select(*keys, tagged.alias("_x"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
         .select(*keys, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"), "_w")
-        .filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
         .groupBy(*keys, "_i", "_v")
-        .agg(F.sum("_w").alias("_n"))
-    )
+        .agg(F.sum("_w").alias("_n")))
+    counts = every.filter(F.col("_v").isNotNull() & (F.col("_n") > 0))
     ranked = running_totals(counts, [*keys, "_i"], ["_v"], {"_upto": F.col("_n")}, limit)
     sizes = counts.groupBy(*keys, "_i").agg(F.sum("_n").alias("_size"))
     ranked = join_on(ranked, sizes, [*keys, "_i"])
@@ -62,7 +61,7 @@ def _by_rank(df: DataFrame, keys: list[str], wanted: Wanted, limit: int, weight:
         picks.append(F.max(F.when(F.col("_i") == i, at - F.floor(at))).alias(f"_f_{name}"))
     found = ranked.groupBy(*keys).agg(*picks)
     if keys:  # groups without any value have null quantiles
-        found = join_on(df.groupBy(*keys).agg(F.count("*").alias("_rows")), found, keys, "left")
+        found = join_on(every.groupBy(*keys).agg(F.count("*").alias("_rows")), found, keys, "left")
     return found.select(
         *keys,
         *[

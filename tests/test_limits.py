@@ -47,3 +47,40 @@ def test_correlation_of_large_grades(spark):
     ma, mb = sum(a) / 200, sum(b) / 200
     want = sum((x - ma) * (y - mb) for x, y in zip(a, b)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
     assert element_correlations(df).first()["correlation"] == pytest.approx(want, abs=1e-7)
+
+
+@pytest.mark.parametrize("kind", ["totals", "moving", "quantiles"])
+def test_split_runs_read_their_input_twice_at_most(spark, kind):
+    """Once to measure and once to keep it; all else reads the kept table."""
+    from corelode.operators.depth import rolling_grades
+    from corelode.operators.ordered import running_totals
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 400
+    base = spark.range(n).select(
+        F.col("id").cast("string").alias("SampleID"), F.lit("Cu").alias("Element"), (F.col("id") % 7 + 1.0).alias("standardized_grade_ppm"), F.lit(0.0).alias("Depth_From"),
+        F.lit(1.0).alias("Depth_To"), F.lit(1.0).alias("Interval_Length"), (F.col("id") / 1e4).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit("H").alias("Hole_ID"))
+    df = base.mapInArrow(counted, base.schema)
+    if kind == "totals":
+        out = running_totals(df, ["Hole_ID"], ["SampleID"], {"t": F.col("standardized_grade_ppm")}, 50)
+    elif kind == "moving":
+        out = rolling_grades(df, limit=50)
+    else:
+        out = quantiles(df, ["Hole_ID"], {"m": (F.col("standardized_grade_ppm"), 0.5)}, 50)
+    out.collect()
+    assert seen.value <= 2 * n
+
+
+def test_element_filter_reaches_the_scan(spark, tmp_path):
+    from corelode.functions.predicates import of_elements
+
+    spark.createDataFrame([("Cu",), ("CU",), ("au",), ("Zn",)], "Element string").write.parquet(str(tmp_path / "e"))
+    found = spark.read.parquet(str(tmp_path / "e")).filter(of_elements(["cu", "Au"]))
+    assert sorted(r["Element"] for r in found.collect()) == ["CU", "Cu", "au"]
+    assert "In(Element" in found._jdf.queryExecution().executedPlan().toString()
