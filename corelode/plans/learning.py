@@ -18,7 +18,7 @@ from corelode.operators import scoring as I
 from corelode.operators import spatial as G_
 from corelode.operators import stats as T
 from corelode.plans.features import _request_points
-from corelode.plans.registry import register
+from corelode.plans.registry import identity_sql, register
 from corelode.plans.rows import G, TRAINING
 from corelode.session import keep, new_path
 from corelode.sources import writers as W
@@ -80,7 +80,14 @@ def _intervals(t):
     return M.predict_interval(scored.filter("part = 'test'"), M.residual_row(scored.filter("part = 'validation'")))
 
 
-register("predict_interval", lambda t: _intervals(t).select("SampleID", "label", "predicted", "lower", "upper"))
+# what is exact about test rows: which they are, and the order of their bounds
+_TEST_ROWS = f"FROM hole_samples WHERE {TRAINING} AND Element = 'Cu' AND {identity_sql(42, ['SampleID'], ['Depth_From', G])} % 10000 < 2000"
+register(
+    "predict_interval",
+    lambda t: _intervals(t).select("SampleID", "label", ((F.col("lower") >= 0) & (F.col("lower") <= F.col("predicted")) & (F.col("predicted") < F.col("upper"))).alias("in_order")),
+    f"SELECT SampleID, {G} AS label, TRUE AS in_order {_TEST_ROWS}",
+)
+register("predict_nonneg", lambda t: _intervals(t).select("SampleID", (F.col("predicted") >= 0).alias("nonneg")), f"SELECT SampleID, TRUE AS nonneg {_TEST_ROWS}")
 register("feature_importance", lambda t: M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark))
 register("top_features", lambda t: M.top_features(M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark), 3))
 register("kfold_cv", lambda t: M.kfold_cv(_matrix(t), SIMPLE, _small, IDS, 3))
@@ -117,10 +124,12 @@ register("score_grid", lambda t: W.flat_predictions(I.score_grid(t.hole_samples,
 def _verified(t):
     ids = ["SampleID", "Depth_From", "mid_depth", "grade_key"]
     rows = R.training_rows(t.hole_samples, ["Cu"]).withColumn("grade_key", F.col(GRADE))
-    return I.verify_samples(rows, _intervals(t).withColumn("grade_key", F.col("label")), ids)
+    found = I.verify_samples(rows, _intervals(t).withColumn("grade_key", F.col("label")), ids)
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    return found.select("SampleID", "actual", (F.abs(F.col("absolute_error") - error) < 1e-9).alias("error_fits"), F.col("level").isNotNull().alias("has_level"))
 
 
-register("verify_samples", _verified)
+register("verify_samples", _verified, f"SELECT SampleID, {G} AS actual, TRUE AS error_fits, TRUE AS has_level {_TEST_ROWS}")
 
 
 def _dedup(t):

@@ -16,8 +16,8 @@ from corelode.operators import stats as T
 from corelode.operators import validate as V
 from corelode.operators.spatial import METRES_PER_DEGREE
 from corelode.plans.features import _request_points
-from corelode.plans.learning import IDS, SIMPLE, SMALL, _intervals, _matrix, _trained
-from corelode.plans.registry import register
+from corelode.plans.learning import IDS, SIMPLE, SMALL, _matrix, _trained
+from corelode.plans.registry import identity_sql, register
 from corelode.plans.rows import _POINTS, G, TRAINING, VALID
 from corelode.schema import SAMPLES
 from corelode.session import keep, new_path
@@ -223,12 +223,19 @@ def _newest(t):
 
 
 register("stream_registry", _newest, "SELECT element, CAST(max(trained) AS VARCHAR) AS model_path FROM models GROUP BY element")
-register("load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", "predicted"))
+register(
+    "load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", (F.col("predicted") >= 0).alias("nonneg")),
+    f"SELECT {G} AS label, TRUE AS nonneg FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'",
+)
 def _test_part(t):
     return X.split(R.training_rows(t.hole_samples, ["Cu"]), ["SampleID", "Element", "Depth_From", "Depth_To", GRADE]).filter("part = 'test'")
 
 
-register("evaluate_saved", lambda t: M.evaluate_saved(_saved(t), _test_part(t)))
+register(
+    "evaluate_saved", lambda t: M.evaluate_saved(_saved(t), _test_part(t)).select("n", (F.col("r2_score") <= 1).alias("has_r2"), (F.abs(F.col("rmse") * F.col("rmse") / F.col("mse") - 1) < 1e-9).alias("fits")),
+    f"""SELECT count(*) AS n, TRUE AS has_r2, TRUE AS fits FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'
+    AND {identity_sql(42, ['SampleID', 'Element'], ['Depth_From', 'Depth_To', G])} % 10000 < 2000""",
+)
 register("model_info", lambda t: M.model_info(_trained(t)))
 
 
@@ -247,7 +254,6 @@ register("save_tuning", _tuned)
 register("random_search", lambda t: M.random_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3, 4]}, 2, 2, base=SMALL).drop("parameters"))
 register("progressive_search", lambda t: M.progressive_search(
     _matrix(t), SIMPLE, IDS, [("grid", {"grid": {"maxDepth": [2]}}), ("random", {"grid": {"maxDepth": [3, 4]}, "n": 1})], 2, SMALL).drop("parameters"))
-register("predict_nonneg", lambda t: _intervals(t).select("SampleID", "predicted"))
 _LIGHT = dict(trees=3, depth=3)
 register("voting_ensemble", lambda t: T.model_metrics(M.as_scored(
     M.voting_ensemble(_matrix(t), SIMPLE, IDS, folds=2, best=3, **_LIGHT).transform(_matrix(t)))))
