@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLE_WORDS = 5
 # Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
+ROWS_PER_PASS = 4096
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,16 +32,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """The UTF-8 texts of an Arrow column in runs of about PASS_BYTES: (first row, texts)."""
-    start, size, run = 0, 0, []
-    for row, text in enumerate(column.cast(pa.binary()).to_pylist()):
-        if run and size + len(text or b"") > PASS_BYTES:
-            yield start, run
-            start, size, run = row, 0, []
-        run.append(text or b"")
-        size += len(text or b"")
-    if run:
-        yield start, run
+    """The UTF-8 texts of an Arrow column in runs of about PASS_BYTES: (first row, texts).
+
+    Only one run at a time exists as Python objects; null counts as empty.
+    """
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    start = 0
+    while start < len(sizes):
+        rows = max(1, int(np.searchsorted(np.cumsum(sizes[start : start + ROWS_PER_PASS]), PASS_BYTES, side="right")))
+        rows = min(rows, ROWS_PER_PASS, len(sizes) - start)
+        yield start, [text or b"" for text in column.slice(start, rows).cast(pa.binary()).to_pylist()]
+        start += rows
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

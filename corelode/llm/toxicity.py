@@ -218,7 +218,8 @@ def reject_toxic(docs: DataFrame, model: GradeModel, text_col: str = "text") ->
     """``docs``, all columns, without the rows whose score reaches REJECT."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _probabilities(model, batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array(1 - p[:, 0] < REJECT))
+            for start, texts in texts_of(batch.column(batch.schema.get_field_index(text_col))):
+                stays = 1 - model.grade_probabilities(texts)[:, 0] < REJECT
+                yield batch.slice(start, len(texts)).filter(pa.array(stays))
 
     return docs.mapInArrow(run, docs.schema)
