@@ -49,7 +49,8 @@ def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame
     """(value, doc, n_shingles, alone, position): documents by retained value, where two have it.
 
     ``sketched`` is (doc, n_shingles, sketch). Two linked documents share at
-    least ``need`` of their retained values. Ordered from rare to frequent, each
+    least ``need`` of their retained values: ``shared``, or 75 percent of a set
+    that is its own sketch if that is less. Ordered from rare to frequent, each
     therefore has one of the shared values among its first ``size - need + 1``;
     only these enter a list. ``alone`` counts the values of a document that no
     other has: they are its rarest. So a document of its own makes no list, and
@@ -62,8 +63,9 @@ def inverted_lists(sketched: DataFrame, retained: int, shared: int) -> DataFrame
     values = sketched.select("doc", "n_shingles", F.explode("sketch").alias("value"))
     frequent = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     size = F.least(F.col("n_shingles"), F.lit(retained))
-    # A whole set of up to 75 percent of a sketch only meets whole sets: the bound is exact there.
-    need = F.when(F.col("n_shingles") * 100 <= retained * SIMILARITY, F.expr(f"(n_shingles * {SIMILARITY} + 99) div 100")).otherwise(F.lit(shared))
+    # Whole sets share the intersection. A set of up to 75 percent of a sketch only meets whole sets; up to a sketch it may meet either.
+    whole = F.expr(f"(n_shingles * {SIMILARITY} + 99) div 100")
+    need = F.when(F.col("n_shingles") * 100 <= retained * SIMILARITY, whole).otherwise(F.least(whole, F.lit(shared)))
     own = values.join(frequent, "value").groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))  # a sketch at most
     alone = size - F.size("shared")
     first = F.greatest(F.lit(0), size - need + 1 - alone).cast("int")

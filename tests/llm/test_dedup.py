@@ -92,6 +92,19 @@ def test_near_duplicates_without_ids(make_docs):
     assert near_duplicates(make_docs(rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_cut_short_around_a_sketch(make_docs):
+    """Texts about the size of a fine sketch, each against its own copy cut to 75 to 100 percent."""
+    rows = []
+    for n in [*range(380, 441, 6), *range(500, 561, 10)]:
+        for m in sorted({-(-3 * n // 4), -(-4 * n // 5), 9 * n // 10, n - 1, n}):
+            words = prose(len(rows) + 1000, n + 4, 10**6).split(" ")
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: m + 4]))]
+    want = _components(rows)
+    assert all(want[k + 1][1] == k for k in range(0, len(rows), 2))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(rows)).collect()}
+    assert {k: got[k] for k in want if got[k] != want[k]} == {}
+
+
 def test_bounds_of_the_sketches():
     """A shared count below the bound is six standard deviations off at the least similarity."""
     for retained, shared in ((near_dedup.RETAINED, near_dedup.SHARED), (near_dedup.FINE_RETAINED, near_dedup.FINE_SHARED)):
