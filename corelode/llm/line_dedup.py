@@ -49,8 +49,10 @@ def _with_partner(lines: DataFrame, rows: DataFrame) -> DataFrame:
     halves = lines.filter("halves IS NOT NULL").select("key", "pos", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
     hopeful = halves.join(shared, "half", "left_semi").select("pos").distinct()
-    by_row = hopeful.groupBy(F.col("pos.doc_id").alias("p_id"), F.col("pos.th").alias("p_th")).agg(F.collect_list("pos.line_no").alias("nos"))  # of one document
-    own = rows.join(by_row, rows["doc_id"].eqNullSafe(by_row["p_id"]) & (rows["th"] == by_row["p_th"]))
+    doc = F.struct("doc_id", "th").alias("doc")  # as a struct, null ids are equal
+    by_row = hopeful.groupBy(F.struct("pos.doc_id", "pos.th").alias("doc")).agg(F.collect_list("pos.line_no").alias("nos"))  # of one document
+    # Rows equal in id and text are one document. The join has brought them together, so nothing is dealt out again.
+    own = rows.select(doc, "text").join(by_row, "doc").dropDuplicates(["doc"]).select("doc.*", "text", "nos")
     picked = own.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("nos").alias("line_no"))
     words = F.split(F.element_at("lines", F.col("line_no") + 1), " ")
     return picked.select(F.struct("doc_id", "th", "line_no").alias("pos"), F.size(words).alias("n"), words.alias("words"))

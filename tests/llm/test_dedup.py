@@ -162,3 +162,15 @@ def test_lines_of_repeated_rows_and_nulls(make_docs):
     got = sorted(((r.doc_id, r.text) for r in dedup_lines(make_docs([(1, text), (1, text), (2, text), (3, None)])).collect()), key=str)
     assert got == [(1, text), (1, text), (2, ""), (3, None)]
     assert dedup_lines(make_docs([(1, text)]).limit(0)).count() == 0
+
+
+def test_lines_near_those_of_repeated_rows(make_docs):
+    """A document given twice has each of its lines once when near lines are sought, whichever of both comes first."""
+    line, other = "the quick brown fox jumps over the lazy dog", "nine more words that stand on their own here"
+    near = {"changed": line.replace("brown", "red"), "added": f"{line} today", "left out": line.replace("quick ", "")}
+    for kind, text in near.items():
+        for once, twice in ((1, 2), (2, 1)):
+            rows = [(once, line), (twice, f"{text}\n{other}"), (twice, f"{text}\n{other}"), (None, f"{other} too"), (None, f"{other} too")]
+            got = sorted(((r.doc_id, r.text) for r in dedup_lines(make_docs(rows)).collect()), key=str)
+            stays = {once: line, twice: ""} if once < twice else {once: "", twice: text}
+            assert got == sorted([(once, stays[once]), (twice, stays[twice]), (twice, stays[twice]), *rows[3:]], key=str), (kind, once)
