@@ -88,6 +88,8 @@ register(
     f"SELECT SampleID, {G} AS label, TRUE AS in_order {_TEST_ROWS}",
 )
 register("predict_nonneg", lambda t: _intervals(t).select("SampleID", (F.col("predicted") >= 0).alias("nonneg")), f"SELECT SampleID, TRUE AS nonneg {_TEST_ROWS}")
+# The SQL above sees what is exact; the numbers themselves are queries of their own, here and below.
+register("interval_predictions", lambda t: _intervals(t).select("SampleID", "label", "predicted", "lower", "upper"))
 register("feature_importance", lambda t: M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark))
 register("top_features", lambda t: M.top_features(M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark), 3))
 register("kfold_cv", lambda t: M.kfold_cv(_matrix(t), SIMPLE, _small, IDS, 3))
@@ -118,18 +120,25 @@ register(
     "score_points", lambda t: _checked(I.score_points(t.requests, _trained(t), "event_id"), "event_id", "user_id"),
     f"""SELECT event_id, user_id, 'CU' AS element, {_ERRORS} = '' AS predicted, {_ERRORS} AS errors, TRUE AS in_order FROM requests""",
 )
+register("point_predictions", lambda t: I.score_points(t.requests, _trained(t), "event_id").select(
+    "event_id", "element", "predicted_grade_ppm", F.col("confidence_interval.lower").alias("lower"), F.col("confidence_interval.upper").alias("upper")))
 register("score_grid", lambda t: W.flat_predictions(I.score_grid(t.hole_samples, _trained(t), 800.0)[0]).drop("prediction_timestamp"))
 
 
 def _verified(t):
     ids = ["SampleID", "Depth_From", "mid_depth", "grade_key"]
     rows = R.training_rows(t.hole_samples, ["Cu"]).withColumn("grade_key", F.col(GRADE))
-    found = I.verify_samples(rows, _intervals(t).withColumn("grade_key", F.col("label")), ids)
+    return I.verify_samples(rows, _intervals(t).withColumn("grade_key", F.col("label")), ids)
+
+
+def _verified_checks(t):
+    found = _verified(t)
     error = F.abs(F.col("actual") - F.col("predicted"))
     return found.select("SampleID", "actual", (F.abs(F.col("absolute_error") - error) < 1e-9).alias("error_fits"), F.col("level").isNotNull().alias("has_level"))
 
 
-register("verify_samples", _verified, f"SELECT SampleID, {G} AS actual, TRUE AS error_fits, TRUE AS has_level {_TEST_ROWS}")
+register("verified_predictions", lambda t: _verified(t).select("SampleID", "actual", "predicted", "absolute_error", "level"))
+register("verify_samples", _verified_checks, f"SELECT SampleID, {G} AS actual, TRUE AS error_fits, TRUE AS has_level {_TEST_ROWS}")
 
 
 def _dedup(t):

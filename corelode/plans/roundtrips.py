@@ -227,6 +227,10 @@ register(
     "load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", (F.col("predicted") >= 0).alias("nonneg")),
     f"SELECT {G} AS label, TRUE AS nonneg FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'",
 )
+register("saved_models", lambda t: _registry(t).select("element", "trained", F.col("feature_count").cast("int"), "r2"))
+register("saved_predictions", lambda t: _saved(t).score(_point_matrix(t)).select("label", "predicted"))
+
+
 def _test_part(t):
     return X.split(R.training_rows(t.hole_samples, ["Cu"]), ["SampleID", "Element", "Depth_From", "Depth_To", GRADE]).filter("part = 'test'")
 
@@ -236,6 +240,7 @@ register(
     f"""SELECT count(*) AS n, TRUE AS has_r2, TRUE AS fits FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'
     AND {identity_sql(42, ['SampleID', 'Element'], ['Depth_From', 'Depth_To', G])} % 10000 < 2000""",
 )
+register("saved_evaluation", lambda t: M.evaluate_saved(_saved(t), _test_part(t)).select("n", "r2_score", "rmse", "mse"))
 register("model_info", lambda t: M.model_info(_trained(t)))
 
 

@@ -257,3 +257,16 @@ def test_kept_tables_lie_in_the_applications_folder(spark):
     table = session.keep(spark.range(3))
     files = table.inputFiles()
     assert table.count() == 3 and spark.sparkContext.applicationId in files[0]
+
+
+def test_registered_predictions_are_numbers(spark, folder):
+    """Predictions, bounds and metrics come back; a constant zero would not pass."""
+    from corelode.plans import catalog
+
+    for key, column in (("interval_predictions", "predicted"), ("point_predictions", "predicted_grade_ppm"), ("verified_predictions", "predicted"), ("saved_predictions", "predicted")):
+        got = [r[column] for r in catalog.spark_query(key)(spark, folder).collect() if r[column] is not None]
+        assert len(set(got)) > 1 and max(got) > 0, key
+    (saved,) = catalog.spark_query("saved_models")(spark, folder).collect()
+    assert saved.r2 <= 1
+    (scored,) = catalog.spark_query("saved_evaluation")(spark, folder).collect()
+    assert scored.n > 0 and scored.r2_score <= 1 and scored.rmse > 0
