@@ -28,12 +28,3 @@ def folder():
 @pytest.fixture(scope="session")
 def samples(spark):
     return relation(spark, SMALL, "hole_samples").persist()
-
-
-def rows(df, *columns, digits=6):
-    """Rows as sorted tuples with rounded numbers."""
-    def cell(v):
-        return round(v, digits) + 0.0 if isinstance(v, float) else v
-
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(cell(v) for v in r) for r in picked.collect()), key=str)

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from corelode.functions.predicates import GRADE

@@ -1,7 +1,7 @@
 """The split forms of ordered work equal the plain window, also for a hot key."""
 
 import pytest
-from conftest import rows
+from support import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window

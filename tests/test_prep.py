@@ -1,7 +1,7 @@
 """Preparation, validation and features on small hand-written frames."""
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from corelode.functions import predicates as P

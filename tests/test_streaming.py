@@ -4,7 +4,7 @@ import json
 
 import pandas as pd
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from corelode.functions.predicates import GRADE
