@@ -12,12 +12,15 @@ import corpus_pipeline
 from corelode.llm import quality, toxicity
 from corelode.llm.decontaminate import contained_items
 from corelode.llm.exact_dedup import exact_groups
+from corelode.llm.importance import resample
 from corelode.llm.line_dedup import dedup_lines
+from corelode.llm.mixing import mix
 from corelode.llm.near_dedup import near_duplicates
 from corelode.llm.packing import pack
 from corelode.llm.preferences import format_preferences, stale_answers
 from corelode.llm.sharding import SLOTS, lookup_table, with_shard
 from corelode.llm.url_filter import judge_sql, judge_urls
+from corelode.llm.vector_codes import compress
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -137,6 +140,57 @@ SELECT conv_id, CAST(any_value(p) - 1 AS INTEGER) AS prompt_turns, coalesce(stri
  coalesce(string_agg((r_end - length(r)) || '-' || r_end, ',' ORDER BY place) FILTER (WHERE place >= p AND role = 'assistant'), '') AS rejected_spans
 FROM measured GROUP BY conv_id"""
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress(table(spark, folder, "embeddings"))
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Every round compares every part with every entry of its codebook."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""found{k} AS MATERIALIZED (SELECT r, p, min(d * 64 + e) AS best FROM (SELECT r, parts.p, e,
+ list_sum([CAST(t * t AS BIGINT) FOR t IN [part[i] - entry[i] FOR i IN range(1, len(part) + 1)]]) AS d FROM parts JOIN book{k} USING (p)) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""sums{k} AS (SELECT p, best % 64 AS e, i, floor(sum(x) / count(*)) AS mean FROM (SELECT p, best, unnest(part) AS x, unnest(range(len(part))) AS i
+ FROM parts JOIN found{k} USING (r, p)) GROUP BY ALL),
+means{k} AS (SELECT p, e, list(CAST(mean AS BIGINT) ORDER BY i) AS entry FROM sums{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(means{k}.entry, book{k}.entry) AS entry FROM book{k} LEFT JOIN means{k} USING (p, e))""")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+ FROM embeddings WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS part FROM kept, (SELECT unnest(range(16)) AS p)),
+seeds AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64),
+book0 AS MATERIALIZED (SELECT p, e, part AS entry FROM parts JOIN seeds USING (r)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM found{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM kept JOIN coded USING (r)"""
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"))
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# CRC-32 of a word from its bytes: a table of the 256 byte values, then one step a byte.
+OP13_SQL = r"""WITH crc_table AS MATERIALIZED (SELECT list(list_reduce(list_concat([v], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY v) AS t FROM range(256) s(v)),
+texts AS (SELECT 'doc' AS side, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'bench', 0, text FROM benchmark),
+words AS MATERIALIZED (SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+buckets AS MATERIALIZED (SELECT w, xor(list_reduce(list_concat([4294967295], [CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(len(h) // 2)]),
+ lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS b FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM words), crc_table),
+found AS MATERIALIZED (SELECT side, r, b, count(*) AS n FROM words JOIN buckets USING (w) GROUP BY side, r, b),
+rates AS (SELECT b, CAST(coalesce(sum(n) FILTER (WHERE side = 'doc'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE side = 'bench'), 0) AS DOUBLE) AS t FROM found GROUP BY b),
+gains AS (SELECT b, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM rates) + 10000) / ((s + 1) * ((SELECT sum(t) FROM rates) + 10000)))) AS BIGINT) AS gain FROM rates),
+docs AS (SELECT row_number() OVER () AS r, doc_id FROM documents),
+weighed AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM found JOIN gains USING (b) WHERE side = 'doc' GROUP BY r),
+scored AS (SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+ CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h FROM docs LEFT JOIN weighed USING (r)),
+judged AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score, n_features >= 20 AS able FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY able) * 10 // 100 AS draw FROM judged)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= draw THEN place END AS rank FROM placed"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -148,6 +202,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_mixing": op12_mixing,
+    "op13_importance": op13_importance,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -158,4 +215,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op13_importance": OP13_SQL,
 }

@@ -15,7 +15,7 @@ from oracle import rows_of  # noqa: E402
 
 from corelode.llm.queries import ORACLES, QUERIES  # noqa: E402
 
-TABLES = ["documents", "pages", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "pages", "benchmark", "labels", "conversations", "embeddings"]
 
 
 def compare(spark, folder: str, key: str) -> tuple[bool, str]:

@@ -24,4 +24,4 @@ def test_registered():
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
     numbers = {k.split("_")[0] for k in QUERIES}
-    assert numbers == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert numbers == {"pipeline", *(f"op{n}" for n in range(1, 14))}
