@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corelode.llm.common import LOWER, id_and_text, texts_of
+from corelode.llm.common import _SPACE, LOWER, id_and_text, texts_of
 from corelode.session import keep
 
 CAPACITY = 4096
@@ -24,6 +27,10 @@ REMEMBERED = 600_000
 # Pieces of one length that one task ranks.
 RANKED = 2_000
 SPECIAL = b"<|"
+# Words of two pieces at most: small letters of Latin-1 (composed as they are), then ASCII punctuation. A lone apostrophe starts no contraction here.
+_PLAIN = re.compile(r"([a-z\u00DF-\u00F6\u00F8-\u00FF]+)?([!-/:-@\[-`{-~]*)").fullmatch
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[list(string.punctuation.encode())] = True
 
 
 class WordTokens:
@@ -31,58 +38,89 @@ class WordTokens:
 
     The tokenizer drops white space, lower-cases, and splits words without
     looking across white space, so a text's ids are those of its words in turn.
+    It also parts a letter from the punctuation behind it, so a word that ends
+    in punctuation counts as two (:func:`_parted`) and its letters are learned once.
     Texts that may hold a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {chr(code): level.pre_tokenize_str(chr(code))[0][0] for code in range(0x21, 0x100) if not chr(code).isspace()}
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.stops = np.zeros(1 << 12, dtype=np.int64)  # words from here on end at [i + 1]
-        self.flat = np.empty(1 << 14, dtype=np.uint32)
-
-    def _append(self, word: bytes, ids: list[int]) -> None:
-        n = len(self.index)
-        start = self.stops[n]
-        if n + 2 > len(self.stops):
-            self.stops = np.concatenate([self.stops, np.zeros_like(self.stops)])
-        if start + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[start : start + len(ids)] = ids
-        self.stops[n + 1] = start + len(ids)
-        self.index[word] = n
+        self.stops = np.zeros(1, dtype=np.int64)  # word i has flat[stops[i] : stops[i + 1]]
+        self.flat = np.empty(0, dtype=np.uint32)
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if w.isalpha() and w.isascii() else other).append(w)
-        for w in plain:  # one letter run: it goes straight to the merges
-            self._append(w, [t.id for t in self.tokenizer.model.tokenize(w.decode())])
-        encoded = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
-        for w, e in zip(other, encoded):
-            self._append(w, e.ids)
+        """Words whose pieces are plain to see go straight to the merges, the others through the tokenizer."""
+        merge, shown = self.tokenizer.model.tokenize, self.shown
+        plain, learned, other, flat, lengths = [w for w in words if w.isalpha()], [], [], [], []  # ASCII letters: one piece
+        for text in b" ".join(plain).decode().split():
+            ids = [t.id for t in merge(text)]
+            lengths.append(len(ids))
+            flat += ids
+        for w in words - set(plain):
+            pieces = _PLAIN(w.decode())
+            if pieces is None:
+                other.append(w)
+                continue
+            ids = [t.id for piece in pieces.groups() if piece for t in merge("".join([shown[c] for c in piece]))]
+            learned.append(w)
+            lengths.append(len(ids))
+            flat += ids
+        for e in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False):
+            lengths.append(len(e.ids))
+            flat += e.ids
+        first = len(self.index)
+        self.index.update(zip([*plain, *learned, *other], range(first, first + len(words))))
+        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.uint32)])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(np.array(lengths, dtype=np.int64))])
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text. All texts' words are looked up together, each different one once."""
         if len(self.index) > REMEMBERED:
             self.forget()
-        words = [None if SPECIAL in t else t.translate(LOWER).split() for t in texts]
-        new = {w for ws in words if ws for w in ws if w not in self.index}
+        joined, bounds = _parted(b" ".join([*(b"" if SPECIAL in t else t.translate(LOWER) for t in texts), b""]), [0 if SPECIAL in t else len(t) for t in texts])
+        inside = ~_SPACE[joined]
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        wide = offsets[-1] >= 1 << 31
+        kind, offset = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
+        words = pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(offsets.astype(offset)), pa.py_buffer(joined[inside])]).dictionary_encode()
+        different = pc.binary_join(pa.scalar(words.dictionary, type=pa.list_(kind)), pa.scalar(b" ", type=kind)).as_py().split()  # no word holds white space
+        new = {w for w in different if w not in self.index}
         if new:
             self._learn(new)
-        for text, ws in zip(texts, words):
-            if ws is None:
+        known = np.fromiter(map(self.index.__getitem__, different), dtype=np.int64, count=len(different))
+        at = known[np.asarray(words.indices)] if len(known) else known
+        start, lengths = self.stops[at], self.stops[at + 1] - self.stops[at]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + lengths, lengths)]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(begin, bounds)]
+        for i, text in enumerate(texts):
+            if SPECIAL in text:
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)
-                continue
-            at = np.fromiter(map(self.index.__getitem__, ws), dtype=np.int64, count=len(ws))
-            start, lengths = self.stops[at], self.stops[at + 1] - self.stops[at]
-            ends = np.cumsum(lengths)
-            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + lengths, lengths)
-            yield self.flat[place]
+            else:
+                yield flat[cuts[i] : cuts[i + 1]]
+
+
+def _parted(joined: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds): lower-cased texts, each followed by a space, with another space
+    where ASCII punctuation lies between an ASCII letter and white space; the bounds of the texts."""
+    data = np.frombuffer(joined, dtype=np.uint8)
+    edge = np.diff(_PUNCTUATION[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last byte is a space, if there is one
+    before = data[np.maximum(begin, 1) - 1]
+    at = begin[(begin > 0) & (before >= 97) & (before <= 122) & _SPACE[data[end]]] if len(begin) else begin
+    bounds = np.cumsum([0, *(n + 1 for n in sizes)])
+    return np.insert(data, at, 32), bounds + np.searchsorted(at, bounds)
 
 
 @functools.lru_cache(maxsize=2)
