@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,17 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         start += rows
 
 
+def stretches(text: bytes, gap: re.Pattern[bytes]) -> Iterator[bytes]:
+    """A text in stretches of about PASS_BYTES, cut before a byte that ``gap`` finds (no word has one)."""
+    start = 0
+    while len(text) - start > 2 * PASS_BYTES:
+        found = gap.search(text, start + PASS_BYTES)
+        stop = found.start() if found else len(text)
+        yield text[start:stop]
+        start = stop
+    yield text[start:] if start else text
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (shifts and odd multipliers)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corelode.llm.common import LOWER, PASS_BYTES, id_and_text, texts_of
+from corelode.llm.common import LOWER, id_and_text, stretches, texts_of
 from corelode.operators.ordered import running_totals
 from corelode.session import keep
 
@@ -61,21 +61,10 @@ def word_crcs(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _stretches(text: bytes) -> Iterator[bytes]:
-    """A text in stretches of about PASS_BYTES, cut between words."""
-    start = 0
-    while len(text) - start > 2 * PASS_BYTES:
-        gap = _GAP.search(text, start + PASS_BYTES)
-        stop = gap.start() if gap else len(text)
-        yield text[start:stop]
-        start = stop
-    yield text[start:] if start else text
-
-
 def buckets_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of every word; a long text comes in several stretches."""
     if len(texts) == 1:
-        for part in _stretches(texts[0]):
+        for part in stretches(texts[0], _GAP):
             crc, _ = word_crcs(part.translate(LOWER))
             yield np.zeros(len(crc), dtype=np.int64), (crc % np.uint32(BUCKETS)).astype(np.int64)
         return

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelode.llm.common import LOWER, _BYTE, _powers, id_and_text, mixed, shingle_sets, texts_of
+from corelode.llm.common import LOWER, _BYTE, _powers, id_and_text, mixed, shingle_sets, stretches, texts_of
 from corelode.llm.labelled import held_out, training_rows
 from corelode.session import keep
 
@@ -30,34 +30,45 @@ REJECT = 0.4
 TELLING = 5.5
 RIDGE = 2e-5
 STEPS = 600
+NO_LETTER = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) of the distinct features of each text, ordered by text."""
+    """(text, slot) of the distinct features of each text, ordered by text.
+
+    A text on its own may be long: it is read in stretches, so that memory does not follow its length.
+    """
+    if len(texts) == 1:
+        keys = [_feature_keys([part]) for part in stretches(texts[0], NO_LETTER)]
+        key = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+    else:
+        key = _feature_keys(texts)
+    return key >> SLOT_BITS, key & ((1 << SLOT_BITS) - 1)
+
+
+def _feature_keys(texts: list[bytes]) -> np.ndarray:
     lower = np.frombuffer(b" ".join([*texts, b""]).translate(LOWER), dtype=np.uint8)
     # Words are runs of letters here: "scum," is "scum".
     letter = (lower >= 128) | ((lower >= 97) & (lower <= 122))
     edge = np.diff(letter.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
-        empty = np.empty(0, np.int64)
-        return empty, empty
+        return np.empty(0, np.int64)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     owner = np.searchsorted(bounds, begin, side="right") - 1
     lengths = end - begin
-    at = np.flatnonzero(letter)
+    letters = lower[letter]
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    value = _BYTE[lower[at]] * _powers(int(lengths.max()))[place]
-    owners, slots = [], []
+    place = np.arange(len(letters), dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), lengths)
+    value = _BYTE[letters] * _powers(int(lengths.max()))[place]
+    keys = []
     for size in (None, *PREFIXES):
         fits = np.ones(len(lengths), bool) if size is None else lengths >= size
         part = value if size is None else np.where(place < size, value, np.uint64(0))
         codes = mixed(np.add.reduceat(part, first)[fits] + np.uint64(0 if size is None else size))
-        owners.append(owner[fits])
-        slots.append((codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-    key = np.unique((np.concatenate(owners) << SLOT_BITS) | np.concatenate(slots))
-    return key >> SLOT_BITS, key & ((1 << SLOT_BITS) - 1)
+        keys.append((owner[fits] << SLOT_BITS) | (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    return np.unique(np.concatenate(keys))
 
 
 @dataclass(frozen=True)
@@ -149,11 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> GradeMode
     The labels are one bit. Toxic rows are graded 1 or 2 by how many different
     telling features they have, up to the median of the sample or more; other
     rows are 0. Near copies (same least shingle fingerprint) count once, so
-    that a large family does not pass for evidence. With labels of one kind
+    that a large family does not pass for evidence; the row of the least id and
+    text hash stands for them, so any partitioning gives the same model. The
+    grades 1 and 2 are set by the features that then predict them: the second
+    threshold learns this definition, not a judgement of its own. With labels of one kind
     only, or none, every document gets the share of toxic labels (0 if none).
     """
     rows = training_rows(docs, labels, label, SAMPLE_ROWS, SAMPLE_BYTES).mapInArrow(_keys_in, "doc_id long, text string, label int, key long")
-    sample = keep(rows.dropDuplicates(["label", "key"]))
+    least = F.min(F.struct("doc_id", F.xxhash64("text").alias("hash"), "text")).alias("least")  # whatever the partitioning, the same row
+    sample = keep(rows.groupBy("label", "key").agg(least).select("label", "key", "least.doc_id", "least.text"))
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     clean, toxic = kinds.get(0, 0), kinds.get(1, 0)
     if not clean or not toxic:
@@ -165,22 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> GradeMode
     chosen = counts.filter(surprise >= TELLING).orderBy(surprise.desc(), "slot").limit(FEATURES).select("slot").orderBy("slot").toPandas()
     slots = chosen["slot"].to_numpy(np.int64)
 
-    def matrix_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
-            row, column = _chosen(slots, texts)
-            cut = np.searchsorted(row, np.arange(len(texts) + 1))
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "label": batch["label"],
-                "columns": [column[a:b] for a, b in zip(cut, cut[1:])],
-                "telling": np.diff(cut)})
-
-    design = sample.select("doc_id", "text", "label").mapInPandas(
-        matrix_in, "doc_id long, label int, columns array<long>, telling long").orderBy("doc_id", "label").toPandas()
+            for start, texts in texts_of(batch.column("text")):
+                row, column = _chosen(slots, texts)
+                offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(column))
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("key"), lists], names=["doc_id", "label", "key", "columns"])
+
+    # One row per label and key: the order is total.
+    design = sample.mapInArrow(columns_in, "doc_id long, label int, key long, columns array<long>").orderBy("doc_id", "label", "key").toPandas()
     label_of = design["label"].to_numpy(np.int64)
-    telling = design["telling"].to_numpy()
+    sizes = telling = design["columns"].map(len).to_numpy()
     grades = label_of * (1 + (telling > np.median(telling[label_of == 1])))
-    sizes = design["columns"].map(len).to_numpy()
     weights, thresholds = fit_grades(
         np.repeat(np.arange(len(design)), sizes), np.concatenate(design["columns"].to_list()).astype(np.int64), grades, len(slots))
     return GradeModel(slots, weights, thresholds)
