@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.util import DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,16 +288,8 @@ class BoostedTrees:
         return cls(Boosting(**d["settings"]), d["base"], trees, d["features"], [tuple(h) for h in d["history"]])
 
 
-def fit(df: DataFrame, settings: Boosting = Boosting(), features: str = "features", label: str = "label", held: str | None = None) -> BoostedTrees:
-    """Boosted trees on the vector column ``features``; rows where ``held`` is true only report their error.
-
-    Features are cut at quantiles once, and the rows are written as one byte per
-    feature. Every level of a tree is one pass over them: a task adds up
-    gradients by (node, feature, bin), the sums meet in Spark, and the driver
-    picks the splits. Every PENDING trees the rows are written with their
-    prediction. Rows with a null label do not count; NaN and null features are
-    missing and go to the side that gains more.
-    """
+def _prepared(df: DataFrame, settings: Boosting, features: str, label: str, held: str | None) -> tuple[_Rows, list[np.ndarray], float, float]:
+    """The binned rows, the cuts, the mean label and the scale of whole-number gradients."""
     x = df.filter(F.col(label).isNotNull()).select(
         vector_to_array(features).alias("x"), F.col(label).cast("double").alias("label"), (F.col(held) if held else F.lit(False)).alias("held"))
     x = x.withColumn("hash", F.xxhash64("x", "label"))
@@ -321,6 +314,32 @@ def fit(df: DataFrame, settings: Boosting = Boosting(), features: str = "feature
     rows = _Rows(keep(x.mapInArrow(binned, "bins binary, label double, held boolean, hash long, predicted double")), missing, settings.maxDepth)
     # Gradients as whole numbers: as fine as 62 bits allow for the sum of all.
     scale = 2.0 ** min(40, 60 - math.ceil(math.log2(ends["n"] + 1)) - math.ceil(math.log2(4 * reach)))
+    return rows, cuts, base, scale
+
+
+def root_gains(df: DataFrame, names: list[str], settings: Boosting = Boosting(), features: str = "features", label: str = "label") -> DataFrame:
+    """(feature, cut, missing_left, gain) of every split of all rows, as the first node of a tree would see it."""
+    rows, cuts, _, scale = _prepared(df, replace(settings, subsamplingRate=1.0), features, label, None)
+    settings = replace(settings, subsamplingRate=1.0)
+    gradient, weight, _ = _sums(rows, settings, Tree.empty(settings.maxDepth), 0, 0, [0], np.arange(len(cuts)), scale)
+    gain, _ = split_gains(settings, gradient, weight)
+    found = [
+        (names[f], float(cut), bool(side), float(gain[0, f, side, at]))
+        for f, cut_of in enumerate(cuts) for side in (0, 1) for at, cut in enumerate(cut_of) if np.isfinite(gain[0, f, side, at])]
+    return df.sparkSession.createDataFrame(found, "feature string, cut double, missing_left boolean, gain double")
+
+
+def fit(df: DataFrame, settings: Boosting = Boosting(), features: str = "features", label: str = "label", held: str | None = None) -> BoostedTrees:
+    """Boosted trees on the vector column ``features``; rows where ``held`` is true only report their error.
+
+    Features are cut at quantiles once, and the rows are written as one byte per
+    feature. Every level of a tree is one pass over them: a task adds up
+    gradients by (node, feature, bin), the sums meet in Spark, and the driver
+    picks the splits. Every PENDING trees the rows are written with their
+    prediction. Rows with a null label do not count; NaN and null features are
+    missing and go to the side that gains more.
+    """
+    rows, cuts, base, scale = _prepared(df, settings, features, label, held)
     trees, history = [], []
 
     def noted(errors: pd.Series) -> None:
@@ -334,7 +353,7 @@ def fit(df: DataFrame, settings: Boosting = Boosting(), features: str = "feature
         if len(rows.pending) == PENDING:
             rows = rows.given()
     noted(_sums(rows, settings, Tree.empty(settings.maxDepth), settings.maxIter, 0, [0], np.zeros(1, np.int64), scale)[2])
-    return BoostedTrees(settings, base, trees, n, history)
+    return BoostedTrees(settings, base, trees, len(cuts), history)
 
 
 class RegularisedBoosting(Estimator):
@@ -361,13 +380,37 @@ class RegularisedBoosting(Estimator):
         return RegularisedModel(fit(dataset, self.settings, self.columns["features"], self.columns["label"]), self.columns)
 
 
-class RegularisedModel(Model):
-    """Adds the prediction; Arrow batches, no shuffle."""
+class _ModelWriter(MLWriter):
+    def __init__(self, model: RegularisedModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        rows = [(self.model.boosted.to_json(), json.dumps(self.model.columns))]
+        self.sparkSession.createDataFrame(rows, "trees string, columns string").coalesce(1).write.parquet(f"{path}/trees")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> RegularisedModel:
+        row = self.sparkSession.read.parquet(f"{path}/trees").first()
+        return RegularisedModel(BoostedTrees.from_json(row["trees"]), json.loads(row["columns"]))
+
+
+class RegularisedModel(Model, MLWritable, MLReadable):
+    """Adds the prediction; Arrow batches, no shuffle. Pipelines save and load it."""
 
     def __init__(self, boosted: BoostedTrees, columns: dict[str, str]) -> None:
         super().__init__()
         self.boosted, self.columns = boosted, columns
 
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802
         return DenseVector(self.boosted.importances())

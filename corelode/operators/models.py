@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from math import prod
 
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from corelode.functions.predicates import GRADE
 from corelode.functions.scalars import r2_level
 from corelode.operators import stats
+from corelode.operators.boosting import RegularisedBoosting
 from corelode.operators.features import (
     CODED, LEAK_FREE_FEATURES, feature_columns, feature_matrix, features_prediction, features_training, fill_features,
     fit_location, hole_table,
@@ -27,6 +29,7 @@ from corelode.operators.ordered import row_numbers
 from corelode.operators.prep import fit_impute, label_codes, split, with_row
 from corelode.operators.quantiles import quantiles
 from corelode.operators.rows import training_rows
+from corelode.operators.surrogate import Range, propose
 from corelode.schema import Z_95
 from corelode.session import keep
 
@@ -34,7 +37,27 @@ from corelode.session import keep
 GBT = dict(maxDepth=6, stepSize=0.1, maxIter=100, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 ROW_ID = ["SampleID", "Element", "Depth_From", "Depth_To", "label"]
 
-# Parameter grids by name.
+# The boosting grids by name, over nine parameters.
+REGULARISED_GRIDS: dict[str, dict[str, list]] = {
+    "default": {
+        "maxIter": [100, 200, 300, 500], "maxDepth": [3, 4, 5, 6, 7, 8], "stepSize": [0.01, 0.05, 0.1, 0.15, 0.2],
+        "subsamplingRate": [0.7, 0.8, 0.9, 1.0], "columnSampling": [0.7, 0.8, 0.9, 1.0], "regAlpha": [0.0, 0.1, 0.5, 1.0],
+        "regLambda": [0.0, 0.1, 0.5, 1.0, 2.0], "minChildWeight": [1.0, 3.0, 5.0, 7.0], "minSplitGain": [0.0, 0.1, 0.2, 0.5]},
+    "quick": {
+        "maxIter": [100, 200, 300], "maxDepth": [4, 5, 6], "stepSize": [0.05, 0.1, 0.15], "subsamplingRate": [0.8, 0.9],
+        "columnSampling": [0.8, 0.9], "regAlpha": [0.0, 0.1], "regLambda": [0.0, 1.0]},
+    "domain": {
+        "maxIter": [200, 300, 500], "maxDepth": [5, 6, 7, 8], "stepSize": [0.05, 0.1, 0.15], "subsamplingRate": [0.8, 0.9],
+        "columnSampling": [0.7, 0.8, 0.9], "regAlpha": [0.1, 0.5, 1.0], "regLambda": [1.0, 2.0, 5.0], "minChildWeight": [3.0, 5.0, 7.0],
+        "minSplitGain": [0.1, 0.2, 0.5]},
+}
+# The space of the model-based search; zero is the least penalty, so those are spread by their square root.
+SPACE: dict[str, Range] = {
+    "maxIter": Range(100, 1000, whole=True), "maxDepth": Range(3, 10, whole=True), "stepSize": Range(0.01, 0.3, log=True),
+    "subsamplingRate": Range(0.6, 1.0), "columnSampling": Range(0.6, 1.0), "regAlpha": Range(0.0, 10.0, power=2.0),
+    "regLambda": Range(0.0, 10.0, power=2.0), "minChildWeight": Range(1, 10, whole=True), "minSplitGain": Range(0.0, 5.0),
+}
+# This library's own, smaller grids for GBTRegressor, by name.
 GRIDS: dict[str, dict[str, list]] = {
     "quick": {"maxIter": [50, 100], "maxDepth": [4, 6], "stepSize": [0.1, 0.2]},
     "small": {"maxIter": [50, 100], "maxDepth": [4, 6]},
@@ -199,8 +222,7 @@ def with_stratified_folds(df: DataFrame, ids: Sequence[str], k: int, bins: int =
 
 
 def _score_folds(folded: DataFrame, features: Sequence[str], make: Callable, tests: Iterable[tuple[int, Column, Column]]) -> DataFrame:
-    """Scored train and test rows of every fold, as one relation."""
-    folded = keep(folded)
+    """Scored train and test rows of every fold of a kept table, as one relation."""
     scored = []
     for k, train, test in tests:
         model = with_estimator(features, make()).fit(folded.filter(train))
@@ -216,13 +238,17 @@ def _fold_metrics(scored: DataFrame) -> DataFrame:
 
 def kfold_cv(matrix: DataFrame, features: Sequence[str], make: Callable, ids: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Metrics per fold and part; one fit per fold, one aggregation for all."""
-    folded = with_folds(matrix, ids, k, seed)
+    return folded_cv(keep(with_folds(matrix, ids, k, seed)), features, make, k)
+
+
+def folded_cv(folded: DataFrame, features: Sequence[str], make: Callable, k: int) -> DataFrame:
+    """:func:`kfold_cv` of a kept table that has its ``fold``."""
     tests = [(i, F.col("fold") != i, F.col("fold") == i) for i in range(k)]
     return _fold_metrics(_score_folds(folded, features, make, tests))
 
 
 def stratified_cv(matrix: DataFrame, features: Sequence[str], make: Callable, ids: Sequence[str], k: int = 5, bins: int = 10, seed: int = 42) -> DataFrame:
-    folded = with_stratified_folds(matrix, ids, k, bins, seed)
+    folded = keep(with_stratified_folds(matrix, ids, k, bins, seed))
     tests = [(i, F.col("fold") != i, F.col("fold") == i) for i in range(k)]
     return _fold_metrics(_score_folds(folded, features, make, tests))
 
@@ -235,7 +261,7 @@ def expanding_cv(matrix: DataFrame, features: Sequence[str], make: Callable, tim
     for i in range(1, k + 1):
         low, high = cuts[f"c{i}"], cuts[f"c{i + 1}"]
         tests.append((i - 1, at <= low, (at > low) & (at <= high)))
-    return _fold_metrics(_score_folds(matrix, features, make, tests))
+    return _fold_metrics(_score_folds(keep(matrix), features, make, tests))
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
@@ -252,36 +278,72 @@ def combinations_of(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def search(matrix: DataFrame, features: Sequence[str], candidates: list[dict], ids: Sequence[str], k: int = 3, base: dict | None = None) -> DataFrame:
-    """Cross-validated error of every candidate, best first."""
-    matrix = keep(matrix)
-    results = []
-    for at, parameters in enumerate(candidates):
-        make = lambda p=parameters: GBTRegressor(**(GBT | (base or {}) | p))
-        folds = kfold_cv(matrix, features, make, ids, k)
-        row = cv_summary(folds).filter("part = 'test'").first()
-        results.append((at, {n: str(v) for n, v in parameters.items()}, row["rmse_mean"], row["rmse_std"], row["r2_mean"], row["mae_mean"]))
-    table = matrix.sparkSession.createDataFrame(
-        results, "candidate int, parameters map<string,string>, rmse_mean double, rmse_std double, r2_mean double, mae_mean double")
-    return table.orderBy("rmse_mean", "candidate")
+def _measured(folded: DataFrame, features: Sequence[str], parameters: dict, k: int, make: Callable) -> tuple:
+    row = cv_summary(folded_cv(folded, features, lambda: make(**parameters), k)).filter("part = 'test'").first()
+    return {n: str(v) for n, v in parameters.items()}, row["rmse_mean"], row["rmse_std"], row["r2_mean"], row["mae_mean"]
+
+
+_TRIED = "candidate int, parameters map<string,string>, rmse_mean double, rmse_std double, r2_mean double, mae_mean double"
+
+
+def maker_of(base: dict | None, regularised: bool) -> Callable:
+    """Estimators of one kind from the parameters of a candidate over ``base``."""
+    if regularised:
+        return lambda **p: RegularisedBoosting(**((base or {}) | p))
+    return lambda **p: GBTRegressor(**(GBT | (base or {}) | p))
 
 
-def grid_search(matrix, features, ids, grid: str | dict = "quick", k: int = 3, base: dict | None = None) -> DataFrame:
-    return search(matrix, features, combinations_of(GRIDS[grid] if isinstance(grid, str) else grid), ids, k, base)
+def search(matrix: DataFrame, features: Sequence[str], candidates: list[dict], ids: Sequence[str], k: int = 3, base: dict | None = None, regularised: bool = False) -> DataFrame:
+    """Cross-validated error of every candidate, best first. Rows are folded and written once."""
+    folded = keep(with_folds(matrix, ids, k))
+    make = maker_of(base, regularised)
+    results = [(at, *_measured(folded, features, parameters, k, make)) for at, parameters in enumerate(candidates)]
+    return matrix.sparkSession.createDataFrame(results, _TRIED).orderBy("rmse_mean", "candidate")
 
 
-def random_search(matrix, features, ids, grid: str | dict = "default", n: int = 10, k: int = 3, seed: int = 42, base: dict | None = None) -> DataFrame:
-    every = combinations_of(GRIDS[grid] if isinstance(grid, str) else grid)
-    chosen = random.Random(seed).sample(every, min(n, len(every)))
-    return search(matrix, features, chosen, ids, k, base)
+def _grid(grid: str | dict, regularised: bool) -> dict[str, list]:
+    return (REGULARISED_GRIDS if regularised else GRIDS)[grid] if isinstance(grid, str) else grid
 
 
-def progressive_search(matrix, features, ids, stages: Sequence[tuple[str, dict]], k: int = 3, base: dict | None = None) -> DataFrame:
-    """Stages (``grid`` or ``random``, options) in order; all results, best first."""
+def grid_search(matrix, features, ids, grid: str | dict = "quick", k: int = 3, base: dict | None = None, regularised: bool = False) -> DataFrame:
+    return search(matrix, features, combinations_of(_grid(grid, regularised)), ids, k, base, regularised)
+
+
+def random_search(matrix, features, ids, grid: str | dict = "default", n: int = 10, k: int = 3, seed: int = 42, base: dict | None = None, regularised: bool = False) -> DataFrame:
+    """``n`` different combinations of the grid, drawn by their number: the grid itself is never written out."""
+    values = _grid(grid, regularised)
+    total = prod(len(v) for v in values.values())
+    chosen = []
+    for number in sorted(random.Random(seed).sample(range(total), min(n, total))):
+        candidate = {}
+        for name, options in values.items():
+            number, at = divmod(number, len(options))
+            candidate[name] = options[at]
+        chosen.append(candidate)
+    return search(matrix, features, chosen, ids, k, base, regularised)
+
+
+def model_search(matrix, features, ids, space: dict[str, Range] | None = None, n: int = 20, k: int = 3, seed: int = 42, base: dict | None = None, regularised: bool = True) -> DataFrame:
+    """Settings proposed one after another by a surrogate of the errors so far (:func:`propose`).
+
+    Each trial is a cross-validation in Spark; the driver holds the ``n`` settings and errors.
+    """
+    space = SPACE if space is None else space
+    folded, make = keep(with_folds(matrix, ids, k)), maker_of(base, regularised)
+    units, results = [], []
+    for at in range(n):
+        units.append(propose(units, [r[2] for r in results], len(space), seed))
+        parameters = {name: extent.at(u) for (name, extent), u in zip(space.items(), units[-1])}
+        results.append((at, *_measured(folded, features, parameters, k, make)))
+    return matrix.sparkSession.createDataFrame(results, _TRIED).orderBy("rmse_mean", "candidate")
+
+
+def progressive_search(matrix, features, ids, stages: Sequence[tuple[str, dict]], k: int = 3, base: dict | None = None, regularised: bool = False) -> DataFrame:
+    """Stages (``grid``, ``random`` or ``model``, options) in order; all results, best first."""
     tables = []
     for number, (kind, options) in enumerate(stages):
-        run = {"grid": grid_search, "random": random_search}[kind]
-        tables.append(run(matrix, features, ids, k=k, base=base, **options).withColumn("stage", F.lit(number)))
+        run = {"grid": grid_search, "random": random_search, "model": model_search}[kind]
+        tables.append(run(matrix, features, ids, k=k, base=base, regularised=regularised, **options).withColumn("stage", F.lit(number)))
     return reduce(DataFrame.unionByName, tables).orderBy("rmse_mean", "stage", "candidate")
 
 
@@ -301,18 +363,24 @@ class Trained:
     fills: DataFrame
     holes: DataFrame
     seconds: float = 0.0
+    kind: str = "GBTRegressor"
+    configuration: dict[str, str] = field(default_factory=dict)
+    cv: DataFrame | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         return predict_nonneg(self.model, df)
 
 
 def train_workflow(
-    samples: DataFrame, element: str, features: Sequence[str] = LEAK_FREE_FEATURES, seed: int = 42, **parameters,
+    samples: DataFrame, element: str, features: Sequence[str] = LEAK_FREE_FEATURES, seed: int = 42,
+    estimator: Callable | None = None, folds: int = 0, **parameters,
 ) -> Trained:
     """Rows, features, split 64/16/20, fit on the train part, metrics per part.
 
     Fill values and location statistics come from the train part alone. The
-    matrix is written once and read by the fit and by the scoring.
+    matrix is written once and read by the fit and by the scoring. ``estimator``
+    makes the regressor from the parameters (default: ``GBTRegressor``);
+    ``folds`` adds that many cross-validation folds of the train part.
     """
     started = time.monotonic()
     rows = training_rows(samples, [element])
@@ -326,11 +394,16 @@ def train_workflow(
     raw = keep(feature_columns(wide, used, ["part"]))
     fills = keep(fit_impute(raw.filter("part = 'train'"), "median", used, []))
     matrix = fill_features(raw, fills, used)
-    model = train_gbt(matrix.filter("part = 'train'"), used, **parameters)
+    settings = parameters if estimator else GBT | parameters
+    make = lambda: (estimator or GBTRegressor)(**settings)
+    model = with_estimator(used, make()).fit(matrix.filter("part = 'train'"))
     scored = keep(predict_nonneg(model, matrix))
     residuals = keep(residual_row(scored.filter("part = 'validation'")))
     metrics = keep(stats.model_metrics(as_scored(scored), ["part"]))
-    return Trained(element.upper(), used, model, residuals, metrics, location, codes, fills, keep(hole_table(samples)), time.monotonic() - started)
+    cv = keep(cv_summary(kfold_cv(matrix.filter("part = 'train'"), used, make, [*used, "label"], folds, seed))) if folds else None
+    return Trained(
+        element.upper(), used, model, residuals, metrics, location, codes, fills, keep(hole_table(samples)), time.monotonic() - started,
+        type(make()).__name__, {k: str(v) for k, v in settings.items()}, cv)
 
 
 def train_elements(samples: DataFrame, elements: Sequence[str], **options) -> tuple[dict[str, Trained], DataFrame]:
@@ -361,17 +434,20 @@ def save_model(trained: Trained, path: str, stamp: str) -> None:
         **{f"codes_{c}": df for c, df in trained.codes.items()}}, f"{model_path}/parameters")
     trained.holes.write.mode("overwrite").parquet(f"{model_path}/holes")
     by_part = {r["part"]: r.asDict() for r in trained.metrics.collect()}  # three rows
+    by_cv = {r["part"]: r.asDict() for r in trained.cv.collect()} if trained.cv else {}  # two rows
 
-    def as_map(part: str) -> Column:
-        row = by_part.get(part, {})
-        cells = [x for k, v in row.items() if k != "part" and v is not None for x in (F.lit(k), F.lit(float(v)))]
-        return F.create_map(*cells) if cells else F.create_map().cast("map<string,double>")
+    def as_map(row: dict, kind: str = "double") -> Column:
+        cells = [F.lit(x) for k, v in row.items() if k != "part" and v is not None for x in (k, v if kind == "string" else float(v))]
+        return (F.create_map(*cells) if cells else F.create_map()).cast(f"map<string,{kind}>")
 
     importance = [(r["feature"], r["importance"]) for r in feature_importance(trained.model, trained.features, spark).collect()]
     document = spark.range(1).select(
         F.lit(stamp).alias("pipeline_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-        F.lit("GBTRegressor").alias("model_type"), F.lit(model_path).alias("model_path"), F.lit(trained.element).alias("element"),
-        F.struct(as_map("test").alias("test_metrics"), as_map("train").alias("train_metrics"), F.array(*[
+        F.lit(trained.kind).alias("model_type"), F.lit(model_path).alias("model_path"), F.lit(trained.element).alias("element"),
+        as_map(trained.configuration, "string").alias("configuration"),
+        as_map({part: row["n"] for part, row in by_part.items()}).cast("map<string,bigint>").alias("split_sizes"),
+        F.struct(*[as_map(by_part.get(part, {})).alias(f"{part}_metrics") for part in ("test", "train", "validation")],
+                 as_map(by_cv.get("test", {})).alias("cv_metrics"), F.array(*[
             F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in importance]).alias("feature_importance")).alias("evaluation_results"),
         F.array(*[F.lit(f) for f in trained.features]).alias("feature_names"))
     document.coalesce(1).write.mode("overwrite").json(f"{path}/model_metadata_{stamp}.json")
@@ -387,7 +463,8 @@ def load_model(spark: SparkSession, path: str, stamp: str) -> Trained:
         "residuals", "metrics", "location", "fills", "codes_Element", "codes_DataSet", "codes_LabCode"])
     return Trained(
         document["element"], list(document["feature_names"]), PipelineModel.load(f"{base}/model"), p["residuals"], p["metrics"],
-        p["location"], {c: p[f"codes_{c}"] for c in ("Element", "DataSet", "LabCode")}, p["fills"], spark.read.parquet(f"{base}/holes"))
+        p["location"], {c: p[f"codes_{c}"] for c in ("Element", "DataSet", "LabCode")}, p["fills"], spark.read.parquet(f"{base}/holes"),
+        kind=document["model_type"], configuration=document["configuration"] or {})
 
 
 def evaluate_saved(trained: Trained, rows: DataFrame) -> DataFrame:
@@ -397,11 +474,15 @@ def evaluate_saved(trained: Trained, rows: DataFrame) -> DataFrame:
 
 
 def model_info(trained: Trained) -> DataFrame:
-    """One row on a model: element, features, trees, test metrics, best features."""
+    """One row on a model: element, features, trees, parameters, test and cross-validation metrics, best features."""
     spark = trained.residuals.sparkSession
     last = trained.model.stages[-1]
     best = [r["feature"] for r in top_features(feature_importance(trained.model, trained.features, spark), 5).collect()]
     test = trained.metrics.filter("part = 'test'").select("r2_score", "rmse", "mae")
+    cells = [F.lit(x) for k, v in sorted(trained.configuration.items()) for x in (k, v)]
+    cv = trained.cv.filter("part = 'test'").select("r2_mean").first() if trained.cv else None
     return test.select(
+        (F.create_map(*cells) if cells else F.create_map().cast("map<string,string>")).alias("parameters"),
+        F.lit(trained.kind).alias("model_type"), F.lit(cv["r2_mean"] if cv else None).cast("double").alias("cv_r2_mean"),
         F.lit(trained.element).alias("element"), F.lit("trained").alias("status"), F.lit(len(trained.features)).alias("feature_count"),
         F.lit(getattr(last, "getNumTrees", 0)).alias("trees"), "r2_score", "rmse", "mae", F.array(*[F.lit(f) for f in best]).alias("top_features"))

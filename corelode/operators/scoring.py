@@ -76,7 +76,7 @@ def score_points(points: DataFrame, trained: Trained, key: str = "point_id", str
         "element": F.lit(trained.element), "predicted_grade_ppm": F.col("predicted"), "coordinates": F.struct("latitude", "longitude"),
         "depth": F.struct(F.col("depth_from").alias("from"), F.col("depth_to").alias("to")), "confidence_interval": F.col("_interval"),
         "metadata": F.struct(
-            F.lit("GBTRegressor").alias("model_type"), F.lit(len(trained.features)).alias("features_used"),
+            F.lit(trained.kind).alias("model_type"), F.lit(len(trained.features)).alias("features_used"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("prediction_timestamp"))}
     own = [c for c in ready.columns if c not in (*record, *AT, "errors")]
     return ready.join(scored, AT, "left").select(*own, *[c.alias(n) for n, c in record.items()], "errors")

@@ -16,7 +16,7 @@ from corelode.operators import stats as T
 from corelode.operators import validate as V
 from corelode.operators.spatial import METRES_PER_DEGREE
 from corelode.plans.features import _request_points
-from corelode.plans.learning import IDS, SIMPLE, SMALL, _matrix, _trained
+from corelode.plans.learning import AT_POINTS, IDS, LINE, PARTED, SIMPLE, SMALL, _line, _line_scored, _matrix, _trained
 from corelode.plans.registry import identity_sql, register
 from corelode.plans.rows import _POINTS, G, TRAINING, VALID
 from corelode.schema import SAMPLES
@@ -194,21 +194,36 @@ register(
 )
 
 
-def _saved(t):
+def _stored(t, trained):
     path = new_path(t.spark)
-    M.save_model(_trained(t), path, STAMP)
-    return M.load_model(t.spark, path, STAMP)
+    M.save_model(trained, path, STAMP)
+    return path
 
 
-def _registry(t):
-    path = new_path(t.spark)
-    M.save_model(_trained(t), path, STAMP)
-    return SR.model_registry(t.spark, path)
+def _loaded(t, trained):
+    return M.load_model(t.spark, _stored(t, trained), STAMP)
+
+
+_FIT = """SELECT count(*) AS n, 1 - sum((predicted - label) * (predicted - label)) / (var_pop(label) * count(*)) AS r2_score,
+ sqrt(avg((predicted - label) * (predicted - label))) AS rmse, avg(abs(predicted - label)) AS mae FROM fitted WHERE {part}"""
+
+
+def _document(t):
+    """What the saved document says of the line: its kind, configuration, sizes, and the metrics of both other parts."""
+    rows = SR.model_registry(t.spark, _stored(t, _line(t)))
+    metrics = F.col("evaluation_results")
+    return rows.select(
+        "element", "trained", "model_type", F.col("feature_count").cast("int"), "r2", F.col("configuration")["solver"].alias("solver"),
+        *[F.col("split_sizes")[p].alias(f"{p}_rows") for p in ("train", "validation", "test")],
+        metrics["train_metrics"]["rmse"].alias("train_rmse"), metrics["validation_metrics"]["mae"].alias("validation_mae"))
 
 
 register(
-    "save_model", lambda t: _registry(t).select("element", "trained", F.col("feature_count").cast("int"), (F.col("r2") <= 1).alias("has_r2")),
-    f"SELECT DISTINCT 'CU' AS element, '{STAMP}' AS trained, CAST({len(I.POINT_FEATURES)} AS INTEGER) AS feature_count, TRUE AS has_r2 FROM hole_samples WHERE Element = 'Cu'",
+    "save_model", _document,
+    f"""WITH {PARTED} SELECT 'CU' AS element, '{STAMP}' AS trained, 'LinearRegression' AS model_type, CAST({len(LINE)} AS INTEGER) AS feature_count,
+    t.r2_score AS r2, 'normal' AS solver, f.n AS train_rows, v.n AS validation_rows, t.n AS test_rows, f.rmse AS train_rmse, v.mae AS validation_mae
+    FROM ({_FIT.format(part="place < 2000")}) t, ({_FIT.format(part="place BETWEEN 2000 AND 3599")}) v, ({_FIT.format(part="place >= 3600")}) f""",
+    r2=6, train_rmse=3, validation_mae=3,
 )
 
 
@@ -224,11 +239,13 @@ def _newest(t):
 
 register("stream_registry", _newest, "SELECT element, CAST(max(trained) AS VARCHAR) AS model_path FROM models GROUP BY element")
 register(
-    "load_model", lambda t: _saved(t).score(_point_matrix(t)).select("label", (F.col("predicted") >= 0).alias("nonneg")),
-    f"SELECT {G} AS label, TRUE AS nonneg FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'",
+    "load_model", lambda t: _line_scored(t, _loaded(t, _line(t))).select("SampleID", "label", "predicted", "lower", "upper"),
+    f"""WITH {PARTED} SELECT SampleID, label, predicted, greatest(0, predicted - 1.96 * sd) AS lower, predicted + 1.96 * sd AS upper
+    FROM fitted, spread WHERE place < 2000""",
+    predicted=3, lower=3, upper=3,
 )
-register("saved_models", lambda t: _registry(t).select("element", "trained", F.col("feature_count").cast("int"), "r2"))
-register("saved_predictions", lambda t: _saved(t).score(_point_matrix(t)).select("label", "predicted"))
+register("saved_models", lambda t: SR.model_registry(t.spark, _stored(t, _trained(t))).select("element", "trained", F.col("feature_count").cast("int"), "r2"))
+register("saved_predictions", lambda t: _loaded(t, _trained(t)).score(_point_matrix(t)).select("label", "predicted"))
 
 
 def _test_part(t):
@@ -236,11 +253,10 @@ def _test_part(t):
 
 
 register(
-    "evaluate_saved", lambda t: M.evaluate_saved(_saved(t), _test_part(t)).select("n", (F.col("r2_score") <= 1).alias("has_r2"), (F.abs(F.col("rmse") * F.col("rmse") / F.col("mse") - 1) < 1e-9).alias("fits")),
-    f"""SELECT count(*) AS n, TRUE AS has_r2, TRUE AS fits FROM hole_samples WHERE {TRAINING} AND Element = 'Cu'
-    AND {identity_sql(42, ['SampleID', 'Element'], ['Depth_From', 'Depth_To', G])} % 10000 < 2000""",
+    "evaluate_saved", lambda t: M.evaluate_saved(_loaded(t, _line(t)), _test_part(t)).select("n", "r2_score", "rmse", "mae"),
+    f"WITH {PARTED} {_FIT.format(part='place < 2000')}", r2_score=6, rmse=3, mae=3,
 )
-register("saved_evaluation", lambda t: M.evaluate_saved(_saved(t), _test_part(t)).select("n", "r2_score", "rmse", "mse"))
+register("saved_evaluation", lambda t: M.evaluate_saved(_loaded(t, _trained(t)), _test_part(t)).select("n", "r2_score", "rmse", "mse"))
 register("model_info", lambda t: M.model_info(_trained(t)))
 
 
@@ -273,10 +289,15 @@ def _scored_file(t):
     """A file with good and bad lines and a column of its own: each line comes back."""
     source, out = new_path(t.spark), new_path(t.spark)
     t.requests.select("latitude", "longitude", "depth_from", "depth_to", "event_id").write.csv(source, header=True)
-    return I.score_csv(source, out, t.spark, _trained(t)).select("element", "lines", "successful")
+    return I.score_csv(source, out, t.spark, _line(t)).select("element", "lines", "successful", "count", "min", "max", "mean", "std", "median")
 
 
-register("score_csv", _scored_file, "SELECT 'CU' AS element, count(*) AS lines, count(*) FILTER (latitude <= 90 AND depth_from < depth_to) AS successful FROM requests")
+register(
+    "score_csv", _scored_file,
+    f"""WITH {PARTED}, {AT_POINTS} SELECT 'CU' AS element, count(*) AS lines, count(p) AS successful, count(p) AS count, min(p) AS min, max(p) AS max,
+    avg(p) AS mean, stddev_pop(p) AS std, quantile_cont(p, 0.5) AS median FROM answered""",
+    min=3, max=3, mean=3, std=3, median=3,
+)
 register("confidence_metrics", lambda t: I.confidence_metrics(I.score_points(_request_points(t), _trained(t))).select(
     "point_id", "predicted_grade_ppm", "interval_width", "confidence_level", "region_level"))
 

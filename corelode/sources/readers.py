@@ -17,9 +17,12 @@ MODEL_DOCUMENT = T.StructType([
     T.StructField("scaler_path", T.StringType()),
     T.StructField("element", T.StringType()),
     T.StructField("elements", T.ArrayType(T.StringType())),
+    T.StructField("configuration", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("split_sizes", T.MapType(T.StringType(), T.LongType())),
     T.StructField("evaluation_results", T.StructType([
         T.StructField("test_metrics", METRICS),
         T.StructField("train_metrics", METRICS),
+        T.StructField("validation_metrics", METRICS),
         T.StructField("cv_metrics", METRICS),
         T.StructField("feature_importance", T.ArrayType(T.StructType([
             T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())]))),
@@ -100,7 +103,7 @@ def registry_rows(documents: DataFrame, default: str = "CU") -> DataFrame:
     r2 = F.coalesce(F.try_element_at(metrics, F.lit("r2_score")), F.try_element_at(metrics, F.lit("r2")))
     return documents.select(
         element.alias("element"), name.alias("trained"), "pipeline_id", "model_type", "model_path", r2.alias("r2"),
-        F.coalesce(F.size("feature_names"), F.lit(0)).alias("feature_count"), "feature_names", "evaluation_results")
+        F.coalesce(F.size("feature_names"), F.lit(0)).alias("feature_count"), "feature_names", "configuration", "split_sizes", "evaluation_results")
 
 
 def geojson_points(spark: SparkSession, path: str, sequence: bool = False) -> DataFrame:

@@ -117,6 +117,20 @@ def test_columns_and_rows_are_drawn_per_tree(spark):
     assert all(len(u) <= 1 for u in used) and len(set(map(str, used))) > 1
 
 
+def test_pipelines_save_and_load_the_model(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from corelode.operators.models import with_estimator
+
+    x, y = sample(120, 6)
+    df = spark.createDataFrame([(*map(float, r[:2]), float(v)) for r, v in zip(x.tolist(), y)], "a double, b double, label double")
+    fitted = with_estimator(["a", "b"], B.RegularisedBoosting(maxIter=3, maxDepth=2)).fit(df)
+    fitted.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    pick = lambda m: sorted((r.label, r.prediction) for r in m.transform(df).collect())
+    assert pick(again) == pick(fitted) and len({p for _, p in pick(fitted)}) > 2
+
+
 def test_models_pass_through_json_and_pipelines(spark):
     x, y = sample(150, 4)
     df = table(spark, x, y)
