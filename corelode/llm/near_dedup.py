@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corelode.llm.common import id_and_text, shingle_sets, texts_of
 from corelode.llm.components import components
+from corelode.operators.ordered import row_numbers
 from corelode.session import keep
 
 # Least similarity of two linked documents, in percent of the union.
@@ -102,11 +102,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return hopeful.filter(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * SIMILARITY).select("a", "b")
 
 
+def _position_fits() -> Column:
+    """Whether the first shared value of a member and a hub leaves both enough to share."""
+    least = _least_shared("n_shingles", "hub_n", FINE_RETAINED)
+    member, hub = (F.col(place) + least <= F.least(n, F.lit(FINE_RETAINED)) for n, place in (("n_shingles", "position"), ("hub_n", "hub_position")))
+    return member & hub
+
+
 def _paired(joined: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of hubs and members whose sizes and positions allow the similarity."""
-    least = _least_shared("n_shingles", "hub_n", FINE_RETAINED)
-    fits = [F.col(place) + least <= F.least(n, F.lit(FINE_RETAINED)) for n, place in (("n_shingles", "position"), ("hub_n", "hub_position"))]
-    return joined.filter(fits[0] & fits[1] & (F.col("doc") != F.col("hub"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    return joined.filter(_position_fits() & (F.col("doc") != F.col("hub"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
 
 
 def _with_roots(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -114,30 +119,61 @@ def _with_roots(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(roots, "doc", "left").withColumn("root", F.coalesce("known", "doc")).drop("known")
 
 
+def _room(n: Column, shared: Column) -> Column:
+    """The largest set that a set of ``n`` values can be linked to when others have only ``shared`` of them."""
+    return F.floor(shared * (100 + SIMILARITY) / SIMILARITY + 1e-9) - n
+
+
+def _apart(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(value, doc, n_shingles, alone, position, room): the rows of lists in several components that may still be linked.
+
+    A document left here is compared with others left here only, so the values
+    of its whole set that none of them has cannot be shared: what remains gives
+    the largest set it can be linked to (:func:`_room`). Rows that no other size
+    in their list suits go. Copies that many edits have moved just out of reach
+    of each other have values of their own, and drop out here before they meet
+    in pairs. A second pass counts again without those that went.
+    """
+    rooted = _with_roots(lists, labels)
+    for _ in range(2):
+        split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n_shingles").alias("least")).filter("low < high")
+        live = keep(rooted.join(split.select("value", "least"), "value"))
+        values = keep(sets.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("x")).distinct())
+        common = values.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+        shared = values.join(common, "x").groupBy("doc_id").agg(F.count("*").alias("n_common"))
+        room = _room(F.col("n_shingles"), F.least("n_shingles", F.coalesce("n_common", F.lit(0))))
+        suited = live.drop("room").join(shared, live["doc"] == shared["doc_id"], "left").withColumn("room", room)
+        rooted = keep(suited.filter("room >= least").drop("least", "doc_id", "n_common"))
+    split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
+    return rooted.drop("root").join(split, "value", "left_semi")
+
+
 def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Components of the linked documents: (node, root).
 
     First every list is tied to the document with the fewest values of its own,
-    the likeliest centre: a star, in which a copy makes one pair. Lists that
-    this leaves in several components go through rounds: documents at places
-    1-4, 5-20, 21-84, ... are paired with later ones of other components, until
-    no list is left.
+    the likeliest centre: a star, in which a copy makes one pair. What this
+    leaves in several components (:func:`_apart`) goes through rounds: documents
+    at places 1-4, 5-20, 21-84, ... are paired with later ones of other
+    components, until no place is left. Of two linked documents one at least
+    could be linked to a set of its own size (if each had less room than that,
+    neither would fit into the other's), so only such documents start pairs;
+    they come first in a list.
     """
     hubs = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n_shingles", "position")).alias("h")).select(
         "value", F.col("h.doc").alias("hub"), F.col("h.n_shingles").alias("hub_n"), F.col("h.position").alias("hub_position"))
     labels = components(verified(_paired(lists.join(hubs, "value")), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
-    rooted = _with_roots(lists, labels)
-    split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
-    by_value = Window.partitionBy("value").orderBy("alone", "doc")
-    live = keep(rooted.drop("root").join(split, "value", "left_semi").withColumn("place", F.row_number().over(by_value)))
-    longest = live.agg(F.max("place")).first()[0] or 0
+    apart = _apart(lists, labels, sets).withColumn("starts", F.col("room") >= F.col("n_shingles"))
+    live = keep(row_numbers(apart, ["value"], [F.col("starts").desc(), F.col("alone"), F.col("doc"), F.col("n_shingles")], "place"))
+    longest = live.filter("starts").agg(F.max("place")).first()[0] or 0
     first, size = 1, 4
-    while first < longest:
-        members = _with_roots(live.filter(F.col("place") > first - 1), labels)
-        hubs = members.filter(F.col("place") < first + size).select(
-            "value", F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("position").alias("hub_position"), F.col("place").alias("hub_place"), F.col("root").alias("hub_root"))
-        apart = members.join(hubs, "value").filter("place > hub_place AND root <> hub_root")
-        found = keep(verified(_paired(apart), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    while first <= longest:
+        members = _with_roots(live.filter(F.col("place") > first), labels)
+        hubs = _with_roots(live.filter(F.col("starts") & (F.col("place") >= first) & (F.col("place") < first + size)), labels).select(
+            F.col("value").alias("hub_value"), F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("position").alias("hub_position"),
+            F.col("place").alias("hub_place"), F.col("root").alias("hub_root"), F.col("room").alias("hub_room"))
+        fits = F.expr("value = hub_value AND place > hub_place AND root <> hub_root AND n_shingles <= hub_room AND hub_n <= room")
+        found = keep(verified(_paired(members.join(hubs, fits & _position_fits())), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not found.isEmpty():
             labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         first, size = first + size, size * 4
@@ -160,7 +196,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Pairs from the lists (:func:`_links`) pass an estimate from the union of
        the sketches, then the whole sets decide. Lists whose documents are in
        one component make no more pairs, so a group of near copies costs a few
-       pairs per document; no other pair of a list is left out.
+       pairs per document; of other pairs only those are left out whose sizes and
+       values of their own rule a link out.
 
     Documents without words are their own component. Rows of one id and several
     texts are one node of the graph, linked if any of its texts is. Null ids never name a
