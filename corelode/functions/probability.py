@@ -147,27 +147,58 @@ def trigamma(x: float) -> float:
     return shift + 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
 
 
-def regularized_gamma(a: float, x: float) -> float:
-    """P(a, x), the gamma distribution function with shape ``a``."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return min(1.0, total * front)
-    b, c = x + 1 - a, 1e300
-    d = value = 1 / b
-    for i in range(1, 1000):
-        step = -i * (i - a)
-        b += 2
-        d = 1 / (step * d + b)
-        c = b + step / c
-        value *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return max(0.0, 1 - front * value)
+# Coefficients of the rational fits of the normal quantile (relative error below
+# 1.2e-9): numerator and denominator in the middle, numerator and denominator in the tails.
+QUANTILE_FIT = (
+    [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239],
+    [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0],
+    [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783],
+    [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0],
+)
+QUANTILE_TAIL = 0.02425
+
+
+def polynomial(coefficients: list[float], x: Column) -> Column:
+    """The highest power first."""
+    value = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        value = value * x + c
+    return value
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with P(Z <= z) = p, for 0 < p < 1."""
+    middle_up, middle_down, tail_up, tail_down = QUANTILE_FIT
+    q = p - 0.5
+    middle = q * polynomial(middle_up, q * q) / polynomial(middle_down, q * q)
+    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = polynomial(tail_up, t) / polynomial(tail_down, t)
+    return F.when(p < QUANTILE_TAIL, tail).when(p > 1 - QUANTILE_TAIL, -tail).otherwise(middle)
+
+
+def gamma_cdf(x: Column, shape: float) -> Column:
+    """P(shape, x), the gamma distribution function, in every row.
+
+    Below shape + 1 the power series, above it the continued fraction by Lentz's
+    method, each over a number of steps that the shape fixes.
+    """
+    steps = int(60 + 12 * math.sqrt(shape + 1))
+    front = F.exp(shape * F.ln(x) - x - math.lgamma(shape))
+    numbers = F.sequence(F.lit(1), F.lit(steps))
+
+    def add(state: Column, n: Column) -> Column:
+        term = state["t"] * x / (shape + n)
+        return F.struct(term.alias("t"), (state["s"] + term).alias("s"))
+
+    def turn(state: Column, n: Column) -> Column:
+        b, step = x + 1 - shape + 2 * n, -n * (n - shape)
+        d = 1 / (step * state["d"] + b)
+        c = b + step / state["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (state["v"] * c * d).alias("v"))
+
+    first = F.lit(1 / shape)
+    series = F.aggregate(numbers, F.struct(first.alias("t"), first.alias("s")), add, lambda state: state["s"])
+    begin = 1 / (x + 1 - shape)
+    fraction = F.aggregate(numbers, F.struct(F.lit(1e300).alias("c"), begin.alias("d"), begin.alias("v")), turn, lambda state: state["v"])
+    below = F.least(F.lit(1.0), front * series)
+    return F.when(x <= 0, F.lit(0.0)).when(x < shape + 1, below).otherwise(F.greatest(F.lit(0.0), 1 - front * fraction))

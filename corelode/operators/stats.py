@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from corelode.operators.depth import average_ranks, lag_products
 from corelode.operators.ordered import join_on, running_totals
 from corelode.operators.quantiles import quantiles
 from corelode.schema import CUTOFFS, Z_95
+from corelode.session import keep
 
 Y, P = "y_true", "y_pred"
 
@@ -109,18 +111,41 @@ POISSON_ONE = [c for c in (sum(math.exp(-1) / math.factorial(i) for i in range(k
 Statistic = Callable[[Column, Column], Column]
 
 
-def _named_statistic(name: str) -> Statistic:
-    def mean(x: Column, w: Column) -> Column:
-        return F.try_divide(F.sum(x * w), F.sum(w))
+def _replicate_weight(chance: Column) -> Column:
+    """The Poisson weight of a chance: how many values of the distribution function it exceeds."""
+    return sum(((chance > c).cast("int") for c in POISSON_ONE), F.lit(0))
 
-    def std(x: Column, w: Column) -> Column:
-        m = F.try_divide(F.sum(x * w), F.sum(w))
-        return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(x * x * w), F.sum(w)) - m * m))
 
-    known = {"mean": mean, "std": std, "cv": lambda x, w: F.try_divide(std(x, w), mean(x, w)), "sum": lambda x, w: F.sum(x * w)}
-    if name not in known:
-        raise ValueError(f"unknown statistic {name}")
-    return known[name]
+def _replicate_sums(rows: DataFrame, seed: int, id_columns: Sequence[str], replicates: int) -> DataFrame:
+    """One row of arrays over the replicates: sums of w, w x and w x² of ``x``.
+
+    A row makes the vector of its weights, which is added up where the row is:
+    no row is copied, and a task sends three numbers a replicate.
+    """
+    chance = lambda b: F.pmod(F.xxhash64("_h", b), F.lit(10**12)) / 1e12
+    weights = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: _replicate_weight(chance(b)).cast("double"))
+    weighed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *id_columns)).select("x", weights.alias("w"))
+    # a row without weight: the sums of no rows are zeros
+    weighed = weighed.unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("x"), F.array_repeat(F.lit(0.0), replicates).alias("w")))
+    power = lambda k: array_to_vector(F.transform("w", lambda w: w * F.pow(F.col("x"), F.lit(k)) if k else w))
+    return weighed.agg(*[vector_to_array(Summarizer.sum(power(k))).alias(f"s{k}") for k in range(3)])
+
+
+# Statistics of the sums of weights, weighted values and weighted squares.
+SUMMED: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "mean": lambda w, wx, wxx: F.try_divide(wx, w),
+    "sum": lambda w, wx, wxx: wx,
+    "std": lambda w, wx, wxx: F.sqrt(F.greatest(F.lit(0.0), F.try_divide(wxx, w) - F.try_divide(wx, w) * F.try_divide(wx, w))),
+    "cv": lambda w, wx, wxx: F.try_divide(SUMMED["std"](w, wx, wxx), F.try_divide(wx, w)),
+}
+
+
+def _quantile_of(ordered: Column, p: float) -> Column:
+    """The linear-interpolated quantile of a sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low = F.floor(at).cast("int")
+    value = lambda i: F.get(ordered, i)
+    return value(low) + (F.coalesce(value(low + 1), value(low)) - value(low)) * (at - low)
 
 
 def bootstrap_ci(
@@ -130,23 +155,35 @@ def bootstrap_ci(
     """Percentile bootstrap with Poisson weights.
 
     A row's weight in a replicate comes from a hash of its identity, so the
-    result does not depend on partitioning. Replicates are summed where the rows
-    are; only one partial sum per replicate and task is shuffled.
+    result does not depend on partitioning. The named statistics follow from
+    sums that every task adds up over its rows (:func:`_replicate_sums`). A
+    median, or a statistic of one's own, needs the values of each replicate:
+    there rows are copied, and summed or counted by value where they are.
     """
-    rows = df.filter(F.col(column).isNotNull())
-    draws = rows.select(F.col(column).cast("double").alias("x"), F.xxhash64(F.lit(seed), *id_columns).alias("_h"),
-                        F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    rows = df.filter(F.col(column).isNotNull()).withColumn("x", F.col(column).cast("double"))
+    tail = (1 - level) / 2
+    if isinstance(statistic, str) and statistic != "median":
+        if statistic not in SUMMED:
+            raise ValueError(f"unknown statistic {statistic}")
+        f, x = SUMMED[statistic], F.col("x")
+        original = rows.agg(f(F.count("x").cast("double"), F.sum(x), F.sum(x * x)).alias("s"))
+        s = F.transform(F.arrays_zip("s0", "s1", "s2"), lambda z: F.when(z["s0"] > 0, f(z["s0"], z["s1"], z["s2"])))
+        found = _replicate_sums(rows, seed, id_columns, replicates).select(F.array_sort(F.array_compact(s)).alias("s"))
+        mean = F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.size("s")
+        spread = F.aggregate("s", F.lit(0.0), lambda a, v: a + (v - F.col("bootstrap_mean")) * (v - F.col("bootstrap_mean"))) / F.size("s")
+        repeated = found.withColumn("bootstrap_mean", F.when(F.size("s") > 0, mean)).select(
+            _quantile_of(F.col("s"), tail).alias("ci_lower"), _quantile_of(F.col("s"), 1 - tail).alias("ci_upper"), "bootstrap_mean",
+            F.when(F.size("s") > 0, F.sqrt(spread)).alias("bootstrap_std"), F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("replicates"))
+        return repeated.select(original.scalar().alias("statistic"), "*", F.lit(level).alias("confidence_level"))
+    draws = rows.select("x", F.xxhash64(F.lit(seed), *id_columns).alias("_h"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
     chance = F.pmod(F.xxhash64("_h", "b"), F.lit(10**12)) / 1e12
-    weight = sum(((F.col("_u") > c).cast("long") for c in POISSON_ONE), F.lit(0).cast("long"))
-    weighted = draws.withColumn("_u", chance).withColumn("w", weight).filter("w > 0").select("b", "x", "w")
+    weighted = draws.withColumn("_u", chance).withColumn("w", _replicate_weight(F.col("_u")).cast("long")).filter("w > 0").select("b", "x", "w")
     if statistic == "median":
-        original = quantiles(rows, [], {"s": (F.col(column), 0.5)})
+        original = quantiles(rows, [], {"s": (F.col("x"), 0.5)})
         repeated = quantiles(weighted, ["b"], {"s": (F.col("x"), 0.5)}, weight=F.col("w"))
     else:
-        f = _named_statistic(statistic) if isinstance(statistic, str) else statistic
-        original = rows.agg(f(F.col(column).cast("double"), F.lit(1)).alias("s"))
-        repeated = weighted.groupBy("b").agg(f(F.col("x"), F.col("w")).alias("s"))
-    tail = (1 - level) / 2
+        original = rows.agg(statistic(F.col("x"), F.lit(1)).alias("s"))
+        repeated = weighted.groupBy("b").agg(statistic(F.col("x"), F.col("w")).alias("s"))
     return repeated.agg(
         F.percentile("s", F.lit(tail)).alias("ci_lower"), F.percentile("s", F.lit(1 - tail)).alias("ci_upper"),
         F.avg("s").alias("bootstrap_mean"), F.stddev_pop("s").alias("bootstrap_std"), F.count("*").alias("replicates"),
@@ -258,8 +295,62 @@ def _ks_distance(cdf: Column) -> Column:
     return F.max(F.greatest(above, below))
 
 
+# The most values that the test below is made for.
+SHAPIRO_MOST = 5_000
+# Fixed values of Royston's approximation (1995), the highest power first: the two outer coefficients in 1 / root n, and the
+# mean and log deviation of the transformed statistic in n up to 11 values and in ln n above.
+SHAPIRO_OUTER = [-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0]
+SHAPIRO_NEXT = [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0]
+SHAPIRO_FEW = ([-6.714e-4, 0.025054, -0.39978, 0.544], [-0.0020322, 0.062767, -0.77857, 1.3822])
+SHAPIRO_MANY = ([0.0038915, -0.083751, -0.31082, -1.5861], [0.0030302, -0.082676, -0.4803])
+
+
+def shapiro_wilk(df: DataFrame, value: str, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """W and its p-value per group of 3 to SHAPIRO_MOST values; other groups and constant ones have nulls.
+
+    A value's weight is the expected normal value of its rank, so one ordered
+    numbering and three aggregations suffice.
+    """
+    keys = list(keys)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("_m"))
+
+    def with_group(rows: DataFrame, group: DataFrame) -> DataFrame:
+        return join_on(rows, group, keys) if keys else rows.withColumn("_g", group.select(F.struct("*")).scalar()).select("*", "_g.*").drop("_g")
+
+    fit = with_group(known, sizes).filter(F.col("n").between(3, SHAPIRO_MOST))
+    placed = running_totals(fit, keys, ["_x"], {"_i": F.lit(1).cast("long")}, limit)
+    n = F.col("n").cast("double")
+    expected = lambda i: B.normal_quantile((i - 0.375) / (n + 0.25))
+    placed = placed.withColumn("_e", expected(F.col("_i")))
+    power = placed.groupBy(*keys, "n").agg(F.sum(F.col("_e") * F.col("_e")).alias("_p")).withColumn("_1", -expected(F.lit(1))).withColumn("_2", -expected(F.lit(2)))
+    root = 1 / F.sqrt(n)
+    outer = F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(B.polynomial(SHAPIRO_OUTER, root) + F.col("_1") / F.sqrt("_p"))
+    following = F.when(F.col("n") > 5, B.polynomial(SHAPIRO_NEXT, root) + F.col("_2") / F.sqrt("_p"))
+    a1, a2, m1, m2 = F.col("_a1"), F.col("_a2"), F.col("_1"), F.col("_2")
+    rest = F.when(F.col("n") > 5, (F.col("_p") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)).otherwise(
+        (F.col("_p") - 2 * m1 * m1) / (1 - 2 * a1 * a1))
+    weights = power.withColumns({"_a1": outer, "_a2": following}).withColumn("_f", F.when(F.col("n") > 3, F.sqrt(rest))).drop("_p", "_1", "_2", "n")
+    from_end = F.least(F.col("_i"), F.col("n") + 1 - F.col("_i"))
+    size = F.when(from_end == 1, a1).when((from_end == 2) & (F.col("n") > 5), a2).otherwise(F.coalesce(F.abs("_e") / F.col("_f"), F.lit(0.0)))
+    signed = F.when(2 * F.col("_i") < F.col("n") + 1, -size).when(2 * F.col("_i") > F.col("n") + 1, size).otherwise(0.0)
+    away = F.col("_x") - F.col("_m")
+    w = F.try_divide(F.pow(F.sum(signed * F.col("_x")), F.lit(2)), F.sum(away * away))
+    tested = with_group(placed, weights).groupBy(*keys, "n").agg(w.alias("_w")).withColumn("shapiro_stat", F.when(F.col("_w") < 1, F.col("_w")).when(F.col("_w") >= 1, F.lit(1.0))).drop("_w")
+    log_n, left = F.ln(n), F.ln(1 - F.col("shapiro_stat"))
+    bound = 0.459 * n - 2.273
+    few = (-F.ln(bound - left) - B.polynomial(SHAPIRO_FEW[0], n)) / F.exp(B.polynomial(SHAPIRO_FEW[1], n))
+    many = (left - B.polynomial(SHAPIRO_MANY[0], log_n)) / F.exp(B.polynomial(SHAPIRO_MANY[1], log_n))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("shapiro_stat")) - math.asin(math.sqrt(0.75))))
+    p = F.when(F.col("n") == 3, three).when(F.col("shapiro_stat") >= 1, F.lit(1.0)).when(F.col("n") > 11, B.normal_upper(many)).when(
+        left >= bound, F.lit(0.0)).otherwise(B.normal_upper(few))
+    told = tested.withColumn("shapiro_p_value", F.when(F.col("shapiro_stat").isNotNull(), p)).drop("n")
+    every = sizes.drop("_m")
+    return join_on(every, told, keys, "left") if keys else every.withColumn("_g", told.select(F.struct("*")).scalar()).select("n", "_g.*")
+
+
 def normality(df: DataFrame, value: str, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """KS distance and Anderson-Darling statistic against the fitted normal law."""
+    """KS distance and Anderson-Darling statistic against the fitted normal law, and Shapiro-Wilk."""
     placed = _distinct_positions(df, value, keys, limit)
     x = F.col(value)
     upto, n, k = F.col("_upto").cast("double"), F.col("n").cast("double"), F.col("_n").cast("double")
@@ -269,20 +360,16 @@ def normality(df: DataFrame, value: str, keys: Sequence[str] = (), limit: int |
     size = F.max("n").cast("double")
     # Fixed value: the 5 % point of the normal case, before its size correction.
     critical = 0.787 / (1 + 4 / size - 25 / size / size)
-    return placed.groupBy(*keys).agg(
+    tested = placed.groupBy(*keys).agg(
         F.max("n").alias("n"), _ks_distance(B.normal_cdf(F.try_divide(x - F.col("m"), F.col("s")))).alias("ks_stat"),
         (-size - F.sum(low + high) / size).alias("anderson_stat"), critical.alias("anderson_5pct_critical"),
     ).withColumns({
         "ks_p_value": B.kolmogorov_p_value(F.col("ks_stat") * F.sqrt("n")), "is_normal_anderson": F.col("anderson_stat") < F.col("anderson_5pct_critical"),
     }).withColumn("is_normal_ks", F.col("ks_p_value") > ALPHA)
-
-
-def _gamma_cdf(shape: float, scale: float) -> Callable[[Column], Column]:
-    @F.pandas_udf("double")
-    def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: B.regularized_gamma(shape, v / scale))
-
-    return cdf
+    shapiro = shapiro_wilk(df, value, keys, limit).drop("n").withColumn("is_normal_shapiro", F.col("shapiro_p_value") > ALPHA)
+    if keys:
+        return join_on(tested, shapiro, list(keys))
+    return tested.withColumn("_s", shapiro.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
 
 
 def _fit_gamma(mean: float, log_mean: float) -> tuple[float, float]:
@@ -297,14 +384,15 @@ def _fit_gamma(mean: float, log_mean: float) -> tuple[float, float]:
     raise ArithmeticError("the gamma fit does not settle")
 
 
-def _fit_weibull(rows: DataFrame, x: Column, log_mean: float, log_std: float) -> tuple[float, float]:
-    """Shape and scale; every Newton step is one aggregation."""
+def _fit_weibull(rows: DataFrame, x: Column, weight: Column, log_mean: float, log_std: float) -> tuple[float, float]:
+    """Shape and scale; every Newton step is one aggregation of the kept counts."""
+    mean = lambda c: F.sum(c * weight) / F.sum(weight)
     k = math.pi / (log_std * math.sqrt(6))
     unit = math.exp(log_mean)
     for _ in range(25):
         ln = F.ln(x / unit)
         power = F.exp(ln * k)
-        a, b, c = rows.agg(F.avg(power), F.avg(power * ln), F.avg(power * ln * ln)).first()
+        a, b, c = rows.agg(mean(power), mean(power * ln), mean(power * ln * ln)).first()
         f = b / a - 1 / k
         slope = (c * a - b * b) / (a * a) + 1 / (k * k)
         step = f / slope
@@ -313,7 +401,7 @@ def _fit_weibull(rows: DataFrame, x: Column, log_mean: float, log_std: float) ->
             break
     else:
         raise ArithmeticError("the Weibull fit does not settle")
-    mean_power = rows.agg(F.avg(F.exp(F.ln(x / unit) * k))).first()[0]
+    mean_power = rows.agg(mean(F.exp(F.ln(x / unit) * k))).first()[0]
     return k, unit * mean_power ** (1 / k)
 
 
@@ -322,11 +410,14 @@ def fit_distributions(df: DataFrame, value: str, limit: int | None = None) -> Da
     and the best by AIC. The location is fixed at zero (except for the normal)."""
     rows = df.filter(F.col(value) > 0).select(F.col(value).cast("double").alias("x"))
     x = F.col("x")
-    s = rows.agg(
-        F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("sd"), F.avg(F.ln(x)).alias("lm"), F.stddev_pop(F.ln(x)).alias("ls")).first()
+    placed = keep(_distinct_positions(rows, "x", [], limit))  # different values and their counts: all that the fits read
+    weight = F.col("_n").cast("double")
+    s = placed.agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("s").alias("sd"), (F.sum(F.ln(x) * weight) / F.sum(weight)).alias("lm")).first()
+    centred = F.ln(x) - s["lm"]
+    s = s.asDict() | {"ls": placed.agg(F.sqrt(F.sum(centred * centred * weight) / F.sum(weight))).first()[0]}
     n, m, sd, lm, ls = s["n"], s["m"], s["sd"], s["lm"], s["ls"]
     k, theta = _fit_gamma(m, lm)
-    w, lam = _fit_weibull(rows, x, lm, ls)
+    w, lam = _fit_weibull(placed, x, weight, lm, ls)
     half = 0.5 * math.log(2 * math.pi)
     mean_log_likelihood = {
         "norm": -half - math.log(sd) - 0.5,
@@ -338,10 +429,9 @@ def fit_distributions(df: DataFrame, value: str, limit: int | None = None) -> Da
     parameters = {
         "norm": [m, sd], "lognorm": [ls, 0.0, math.exp(lm)], "gamma": [k, 0.0, theta], "expon": [0.0, m], "weibull_min": [w, 0.0, lam]}
     cdfs = {
-        "norm": B.normal_cdf((x - m) / sd), "lognorm": B.normal_cdf((F.ln(x) - lm) / ls), "gamma": _gamma_cdf(k, theta)(x),
+        "norm": B.normal_cdf((x - m) / sd), "lognorm": B.normal_cdf((F.ln(x) - lm) / ls), "gamma": B.gamma_cdf(x / theta, k),
         "expon": 1 - F.exp(-x / m), "weibull_min": 1 - F.exp(-F.exp(F.ln(x / lam) * w))}
-    placed = _distinct_positions(rows, "x", [], limit).withColumns({f"_f_{name}": c for name, c in cdfs.items()})
-    distances = placed.agg(*[_ks_distance(F.col(f"_f_{name}")).alias(name) for name in cdfs]).first()
+    distances = placed.withColumns({f"_f_{name}": c for name, c in cdfs.items()}).agg(*[_ks_distance(F.col(f"_f_{name}")).alias(name) for name in cdfs]).first()
     out = []
     for name, params in parameters.items():
         total, size = mean_log_likelihood[name] * n, len(params)

@@ -36,8 +36,56 @@ def test_kolmogorov_points():
 def test_gamma_functions():
     assert B.digamma(1.0) == pytest.approx(-0.5772156649, abs=1e-9)
     assert B.trigamma(1.0) == pytest.approx(math.pi**2 / 6, abs=1e-9)
-    assert B.regularized_gamma(1.0, 2.0) == pytest.approx(1 - math.exp(-2))
-    assert B.regularized_gamma(3.0, 10.0) == pytest.approx(1 - math.exp(-10) * (1 + 10 + 50))
+
+
+@pytest.mark.parametrize("shape", [1, 2, 3, 17, 80])
+def test_gamma_law_as_a_column(spark, shape):
+    x = [0.0, 1e-6, 0.3, 1.0, 2.0, 7.5, 16.9, 18.1, 40.0, 79.0, 83.0, 160.0, 900.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", B.gamma_cdf(F.col("x"), float(shape)).alias("p")).collect()
+    for v, p in got:  # whole shapes: the tail of the Poisson law
+        term, upper = math.exp(-v), 0.0
+        for k in range(shape):
+            upper += term
+            term *= v / (k + 1)
+        assert p == pytest.approx(1 - upper, abs=1e-10)
+
+
+def test_gamma_law_of_a_half_is_the_error_function(spark):
+    x = [0.01, 0.5, 1.4, 1.6, 3.0, 12.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", B.gamma_cdf(F.col("x"), 0.5).alias("p")).collect()
+    assert [r.p for r in got] == pytest.approx([math.erf(math.sqrt(r.x)) for r in got], abs=1e-10)
+
+
+def test_normal_quantiles(spark):
+    p = [1e-9, 0.001, 0.02, 0.03, 0.3, 0.5, 0.8, 0.99, 0.999999]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select("p", B.normal_quantile(F.col("p")).alias("z")).collect()
+    assert [math.erfc(-r.z / math.sqrt(2)) / 2 for r in got] == pytest.approx(p, rel=2e-7)
+
+
+# Shapiro and Wilk's own example of eleven weights, and small ones with the values printed by statistical packages.
+SHAPIRO = {
+    "weights": ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.78881, 0.006704),
+    "even": ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 0.97016, 0.89237),
+    "three": ([1, 2, 4], 0.96429, 0.63689),
+}
+
+
+def test_shapiro_wilk_gives_textbook_values(spark):
+    rows = [(k, float(v)) for k, (values, _, _) in SHAPIRO.items() for v in values] + [("same", 2.0)] * 6 + [("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r.g: r for r in T.shapiro_wilk(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", ["g"]).collect()}
+    for name, (values, w, p) in SHAPIRO.items():
+        assert (got[name].shapiro_stat, got[name].shapiro_p_value, got[name].n) == (pytest.approx(w, abs=1e-4), pytest.approx(p, abs=1e-4), len(values))
+    assert got["same"].shapiro_stat is None and got["two"].shapiro_stat is None and "none" not in got
+    alone = T.shapiro_wilk(spark.createDataFrame([(float(v),) for v in SHAPIRO["weights"][0]], "v double"), "v").first()
+    assert alone.shapiro_stat == pytest.approx(SHAPIRO["weights"][1], abs=1e-4)
+
+
+def test_shapiro_wilk_stops_at_its_largest_size(spark):
+    df = spark.range(5001).select(F.lit("big").alias("g"), F.col("id").cast("double").alias("v")).unionByName(
+        spark.range(2000).select(F.lit("fits").alias("g"), F.col("id").cast("double").alias("v")))
+    got = {r.g: r for r in T.shapiro_wilk(df, "v", ["g"], limit=300).collect()}
+    assert got["big"].n == 5001 and got["big"].shapiro_stat is None
+    assert 0.9 < got["fits"].shapiro_stat < 0.96 and got["fits"].shapiro_p_value < 1e-10
 
 
 def test_normal_columns(spark):
@@ -104,10 +152,17 @@ def test_bootstrap_covers_the_mean(spark):
     assert row["bootstrap_std"] == pytest.approx(np.std(np.arange(20)) / 20, rel=0.25)
     again = T.bootstrap_ci(df.repartition(7), "v", ["id"], "mean", 200).first()
     assert again["ci_lower"] == pytest.approx(row["ci_lower"])
+    plan = T.bootstrap_ci(df, "v", ["id"], "mean", 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
     middle = T.bootstrap_ci(df, "v", ["id"], "median", 50).first()
     assert middle["ci_lower"] <= 9.5 <= middle["ci_upper"]
     own = T.bootstrap_ci(df, "v", ["id"], lambda x, w: F.sum(x * w) / F.sum(w), 200).first()
-    assert own["ci_lower"] == pytest.approx(row["ci_lower"])
+    for name in ("statistic", "ci_lower", "ci_upper", "bootstrap_mean", "bootstrap_std", "replicates"):
+        assert own[name] == pytest.approx(row[name])
+    for name in ("std", "cv", "sum"):
+        assert T.bootstrap_ci(df, "v", ["id"], name, 100).first()["replicates"] == 100
+    nothing = T.bootstrap_ci(df.limit(0), "v", ["id"], "mean", 10).first()
+    assert nothing["replicates"] == 0 and nothing["ci_lower"] is None
 
 
 def test_normality_tells_normal_from_skewed(spark):
