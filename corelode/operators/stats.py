@@ -113,7 +113,10 @@ Statistic = Callable[[Column, Column], Column]
 
 def _replicate_weight(chance: Column) -> Column:
     """The Poisson weight of a chance: how many values of the distribution function it exceeds."""
-    return sum(((chance > c).cast("int") for c in POISSON_ONE), F.lit(0))
+    weight = F.when(chance <= POISSON_ONE[0], 0)
+    for k, c in enumerate(POISSON_ONE[1:], 1):
+        weight = weight.when(chance <= c, k)
+    return weight.otherwise(len(POISSON_ONE))
 
 
 def _replicate_sums(rows: DataFrame, seed: int, id_columns: Sequence[str], replicates: int) -> DataFrame:

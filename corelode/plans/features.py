@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions import predicates as P
 from corelode.functions.predicates import GRADE
+from corelode.functions.probability import QUANTILE_FIT, QUANTILE_TAIL
 from corelode.operators import depth as D
 from corelode.operators import features as E
 from corelode.operators import rows as R
@@ -157,7 +158,9 @@ register(
     FROM {_SCALED} GROUP BY Element""",
     grade_classification_accuracy=7, high_grade_precision=7, high_grade_recall=7, resource_estimation_error=7, grade_continuity_correlation=7,
 )
-register("bootstrap_ci", lambda t: T.bootstrap_ci(t.scored, "y_true", ["SampleID", "Element", "y_pred"], "mean", 200))
+register("bootstrap_ci", lambda t: T.bootstrap_ci(t.scored, "y_true", ["SampleID", "Element", "y_pred"], "mean"))
+
+
 def _t_p_sql(t: str, v: str) -> str:
     """Two-sided p-value of Student's t by Simpson's rule over the density."""
     def density(u: str) -> str:
@@ -207,6 +210,51 @@ register(
 )
 register("normality", lambda t: T.normality(_tested(t), GRADE, ["Element"]))
 register("fit_distributions", lambda t: T.fit_distributions(_tested(t), GRADE))
+# The laws whose parameters have a closed form, by value.
+register(
+    "fit_closed_laws",
+    lambda t: T.fit_distributions(_tested(t), GRADE).filter("distribution IN ('norm', 'lognorm', 'expon')").select(
+        "distribution", F.col("parameters")[0].alias("first"), F.element_at("parameters", -1).alias("last"), "log_likelihood", "aic", "bic"),
+    f"""WITH s AS (SELECT count(*) AS n, avg({G}) AS m, stddev_pop({G}) AS sd, avg(ln({G})) AS lm, stddev_pop(ln({G})) AS ls FROM hole_samples WHERE {G} > 0),
+    l AS (SELECT 'norm' AS distribution, m AS first, sd AS last, 2 AS k, n, n * (-0.5 * ln(2 * pi()) - ln(sd) - 0.5) AS log_likelihood FROM s
+    UNION ALL SELECT 'lognorm', ls, exp(lm), 3, n, n * (-lm - ln(ls) - 0.5 * ln(2 * pi()) - 0.5) FROM s
+    UNION ALL SELECT 'expon', 0, m, 2, n, n * (-ln(m) - 1) FROM s)
+    SELECT distribution, first, last, log_likelihood, 2 * k - 2 * log_likelihood AS aic, k * ln(n) - 2 * log_likelihood AS bic FROM l""",
+    first=3, last=3, log_likelihood=2, aic=2, bic=2,
+)
+
+
+def _quantile_sql(p: str) -> str:
+    """``probability.normal_quantile`` in DuckDB."""
+    def powers(coefficients: list[float], x: str) -> str:
+        text = repr(coefficients[0])
+        for c in coefficients[1:]:
+            text = f"({text} * {x} + ({c!r}))"
+        return text
+
+    up, down, tail_up, tail_down = QUANTILE_FIT
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    tail = f"({powers(tail_up, t)} / {powers(tail_down, t)})"
+    return f"CASE WHEN {p} < {QUANTILE_TAIL} THEN {tail} WHEN {p} > 1 - {QUANTILE_TAIL} THEN -{tail} ELSE {q} * {powers(up, f'{q} * {q}')} / {powers(down, f'{q} * {q}')} END"
+
+
+def _poly_sql(coefficients: list[float], x: str) -> str:
+    return " + ".join(f"({c!r}) * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
+register(
+    "shapiro_wilk", lambda t: T.shapiro_wilk(_tested(t), GRADE, ["Hole_ID"]).select("Hole_ID", "n", "shapiro_stat"),
+    f"""WITH r AS (SELECT Hole_ID, {G} AS x, count(*) OVER h AS n, row_number() OVER (h ORDER BY {G}) AS i, avg({G}) OVER h AS m
+     FROM hole_samples WHERE {G} > 0 WINDOW h AS (PARTITION BY Hole_ID)),
+    e AS (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))")} AS e FROM r WHERE n BETWEEN 6 AND {T.SHAPIRO_MOST}),
+    o AS (SELECT Hole_ID, n, sum(e * e) AS p, -min(e) FILTER (i = 1) AS m1, -min(e) FILTER (i = 2) AS m2 FROM e GROUP BY Hole_ID, n),
+    a AS (SELECT *, {_poly_sql(T.SHAPIRO_OUTER, "(1 / sqrt(n))")} + m1 / sqrt(p) AS a1, {_poly_sql(T.SHAPIRO_NEXT, "(1 / sqrt(n))")} + m2 / sqrt(p) AS a2 FROM o),
+    f AS (SELECT *, sqrt((p - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS f FROM a),
+    w AS (SELECT Hole_ID, n, pow(sum(sign(e) * CASE WHEN i IN (1, n) THEN a1 WHEN i IN (2, n - 1) THEN a2 ELSE abs(e) / f END * x), 2) / sum((x - m) * (x - m)) AS shapiro_stat
+     FROM e JOIN f USING (Hole_ID, n) GROUP BY Hole_ID, n)
+    SELECT Hole_ID, count(*) AS n, any_value(shapiro_stat) AS shapiro_stat FROM hole_samples LEFT JOIN w USING (Hole_ID) WHERE {G} > 0 GROUP BY Hole_ID""",
+    shapiro_stat=6,
+)
 register(
     "trend", lambda t: T.trend(_tested(t), F.date_diff(F.to_date("sampled_at"), F.lit("1970-01-01").cast("date")).cast("double"), GRADE, ["Element"]),
     f"""WITH l AS (SELECT Element, count(*) AS n, regr_slope({G}, d) AS trend_slope, regr_intercept({G}, d) AS trend_intercept, regr_r2({G}, d) AS trend_r_squared

@@ -14,6 +14,7 @@ from corelode.operators import rows as R
 from corelode.operators import scoring as I
 from corelode.operators import stats as T
 from corelode.operators import validate as V
+from corelode.operators.ordered import join_on
 from corelode.operators.spatial import METRES_PER_DEGREE
 from corelode.plans.features import _request_points
 from corelode.plans.learning import AT_POINTS, IDS, LINE, PARTED, SIMPLE, SMALL, _line, _line_scored, _matrix, _trained
@@ -113,21 +114,41 @@ register(
 register(
     "since_last_model",
     lambda t: I.since_last_model(t.models.withColumn("trained", F.concat("trained", F.lit("01_000000"))), "2030-01-01 00:00:00").select("age_seconds", "is_active"),
-    """SELECT date_diff('second', max(strptime(trained || '01', '%Y%m%d')), TIMESTAMP '2030-01-01') AS age_seconds, false AS is_active FROM models""",
+    """WITH a AS (SELECT date_diff('second', max(strptime(trained || '01', '%Y%m%d')), TIMESTAMP '2030-01-01') AS age_seconds FROM models)
+    SELECT age_seconds, age_seconds < 300 AS is_active FROM a""",
 )
-_STATS = f"(SELECT avg({G}) AS mean_grade, stddev_samp({G}) AS std_grade FROM hole_samples WHERE {VALID} AND Element = 'Cu')"
 
 
-def _one_element(t):
-    valid = t.hole_samples.filter(P.valid_sample() & P.of_elements(["Cu"])).select("SampleID", GRADE)
-    stats = valid.agg(F.avg(GRADE).alias("mean_grade"), F.stddev_samp(GRADE).alias("std_grade"))
-    return X.with_row(valid, stats).withColumn(
-        "z_score", F.try_divide(F.abs(F.col(GRADE) - F.col("_p.mean_grade")), F.col("_p.std_grade"))).select("SampleID", GRADE, "z_score")
+def _every_element(t):
+    """Each valid grade against the mean and deviation of its element (one small row an element)."""
+    valid = t.hole_samples.filter(P.valid_sample()).select("SampleID", "Element", GRADE)
+    stats = keep(valid.groupBy("Element").agg(F.avg(GRADE).alias("mean_grade"), F.stddev_samp(GRADE).alias("std_grade")))
+    return join_on(valid, stats, ["Element"]).select(
+        "SampleID", "Element", GRADE, F.try_divide(F.abs(F.col(GRADE) - F.col("mean_grade")), F.col("std_grade")).alias("z_score"))
 
 
 register(
-    "stats_cross", _one_element,
-    f"SELECT SampleID, {G}, abs({G} - mean_grade) / nullif(std_grade, 0) AS z_score FROM hole_samples, {_STATS} WHERE {VALID} AND Element = 'Cu'", z_score=7,
+    "stats_cross", _every_element,
+    f"""WITH s AS (SELECT Element, avg({G}) AS mean_grade, stddev_samp({G}) AS std_grade FROM hole_samples WHERE {VALID} GROUP BY Element)
+    SELECT SampleID, Element, {G}, abs({G} - mean_grade) / nullif(std_grade, 0) AS z_score FROM hole_samples JOIN s USING (Element) WHERE {VALID}""", z_score=7,
+)
+
+
+def _menu(t):
+    """A menu document made of the samples (sections: data sets, items: elements, tables: laboratories), read as rows."""
+    path = new_path(t.spark)
+    named = t.hole_samples.filter("LabCode IS NOT NULL").select("DataSet", "Element", "LabCode").distinct()
+    items = named.groupBy("DataSet", "Element").agg(F.array_sort(F.collect_set("LabCode")).alias("tables"))
+    sections = items.groupBy("DataSet").agg(F.array_sort(F.collect_list(F.struct(F.col("Element").alias("title"), "tables"))).alias("subItems"))
+    valid = named.filter("LabCode <> 'LAB0'").agg(F.array_sort(F.collect_set("LabCode")).alias("validTables"))
+    SW.write_document(sections.agg(F.collect_list(F.struct(F.col("DataSet").alias("title"), "subItems")).alias("sidebarStructure")).select(
+        valid.scalar().alias("validTables"), "sidebarStructure"), path)
+    return SR.table_catalog(t.spark, path)
+
+
+register(
+    "table_catalog", _menu,
+    """SELECT DISTINCT DataSet AS section, Element AS item, LabCode AS "table", LabCode <> 'LAB0' AS is_valid FROM hole_samples WHERE LabCode IS NOT NULL""",
 )
 
 
@@ -147,18 +168,15 @@ register(
 
 
 def _history(t):
+    """Lines of all elements, appended run after run (one a data set)."""
     path = new_path(t.spark)
-    for element in ("Cu", "Au"):
-        SW.append_history(T.model_metrics(t.scored.filter(F.col("Element") == element), ["Element"]), path)
-    return t.spark.read.parquet(path).select("Element", "n", "rmse", "mae")
+    for name in ("Drilling_BF", "Drilling_INF", "Drilling_OP"):
+        SW.append_history(T.model_metrics(t.scored.filter(F.col("DataSet") == name), ["DataSet", "Element"]), path)
+    return t.spark.read.parquet(path).select("DataSet", "Element", "n", "rmse", "mae")
 
 
-register(
-    "perf_history", _history,
-    """SELECT Element, count(*) AS n, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, avg(abs(y_pred - y_true)) AS mae
-    FROM scored WHERE Element IN ('Cu', 'Au') GROUP BY Element""",
-    rmse=4, mae=4,
-)
+_ERRORS_OF = """count(*) AS n, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, avg(abs(y_pred - y_true)) AS mae FROM scored"""
+register("perf_history", _history, f"SELECT DataSet, Element, {_ERRORS_OF} GROUP BY DataSet, Element", rmse=4, mae=4)
 
 
 def _report(t):
@@ -174,6 +192,47 @@ register(
 )
 
 
+def _element_report(t):
+    path = new_path(t.spark)
+    SW.write_element_report(T.model_metrics(t.scored, ["Element"]).select("Element", "n", "rmse", "mae"), path, "Elements")
+    return t.spark.read.text(path)
+
+
+register(
+    "write_element_report", _element_report,
+    f"""WITH m AS (SELECT Element, {_ERRORS_OF} GROUP BY Element) SELECT 'Elements' AS value UNION ALL SELECT 'element: ' || Element FROM m
+    UNION ALL SELECT printf('n: %.4f', n::DOUBLE) FROM m UNION ALL SELECT printf('rmse: %.4f', rmse) FROM m UNION ALL SELECT printf('mae: %.4f', mae) FROM m""",
+)
+
+
+def _metric_export(t):
+    """Metrics of every element as a CSV file, read back."""
+    path = new_path(t.spark)
+    metrics = T.model_metrics(t.scored, ["Element"])
+    SW.write_csv(metrics, path)
+    return t.spark.read.schema(metrics.schema).csv(path, header=True).select("Element", "n", "rmse", "mae")
+
+
+register("write_metric_table", _metric_export, f"SELECT Element, {_ERRORS_OF} GROUP BY Element", rmse=4, mae=4)
+
+
+def _batch_file(t):
+    """The document of a run over the elements: a line of grade on depth for each, one that fits is a success."""
+    path = new_path(t.spark)
+    outcomes = t.scored.groupBy(F.col("Element").alias("element")).agg(F.regr_r2("y_true", "y_pred").alias("r2")).withColumn("success", F.col("r2") > 0.99)
+    SW.write_document(SW.batch_report(outcomes), path)
+    return t.spark.read.schema("elements long, successful long, failed long, success_rate double, mean_r2 double, best_element string").json(path)
+
+
+register(
+    "write_batch_report", _batch_file,
+    """WITH o AS (SELECT Element, regr_r2(y_true, y_pred) AS r2 FROM scored GROUP BY Element), d AS (SELECT *, r2 > 0.99 AS success FROM o)
+    SELECT count(*) AS elements, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, avg(CAST(success AS INT)) AS success_rate,
+    avg(r2) FILTER (success) AS mean_r2, arg_max(Element, CASE WHEN success THEN r2 END) AS best_element FROM d""",
+    success_rate=6, mean_r2=6,
+)
+
+
 def _grid_file(t):
     """The size as written in the document beside the grid, and the rows of the grid file."""
     path = new_path(t.spark)
@@ -234,7 +293,7 @@ def _newest(t):
         "element", F.concat(F.col("trained").cast("string"), F.lit("01_000000")).alias("pipeline_id"), F.col("trained").cast("string").alias("model_path"),
         F.struct(F.create_map(F.lit("r2_score"), F.col("r2")).alias("test_metrics")).alias("evaluation_results")).write.json(documents)
     J.stream_registry(t.spark, documents, out, state, once=True, one_per_file=False).awaitTermination()
-    return t.spark.read.parquet(out).select("element", "model_path")
+    return J.newest_registry(t.spark, out).select("element", "model_path")
 
 
 register("stream_registry", _newest, "SELECT element, CAST(max(trained) AS VARCHAR) AS model_path FROM models GROUP BY element")
@@ -267,8 +326,9 @@ def _point_matrix(t):
 
 def _tuned(t):
     path = new_path(t.spark)
-    SW.write_json(M.random_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3, 4]}, 2, 2, base=SMALL), path)
-    return t.spark.read.json(path).select("candidate", "rmse_mean", "r2_mean")
+    found = M.random_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3, 4]}, 3, 3, base=SMALL)
+    SW.write_json(found, path)
+    return t.spark.read.schema(found.schema).json(path).select("candidate", F.col("parameters")["maxDepth"].alias("maxDepth"), "rmse_mean", "rmse_std", "r2_mean", "mae_mean")
 
 
 register("save_tuning", _tuned)
@@ -311,12 +371,23 @@ def _stream_source(t, df):
 
 
 def _quality_stream(t):
-    history, state = new_path(t.spark), new_path(t.spark)
-    J.stream_quality(_stream_source(t, t.hole_samples.drop("sampled_at")), history, state, once=True).awaitTermination()
-    return J.read_history(t.spark, history).agg(F.count("*").alias("checks"), F.sum("rows").alias("rows"), F.min("status").alias("status"))
+    """A file and so a batch for each year, whatever the number of cores; the history has a line for each."""
+    source, history, state = new_path(t.spark), new_path(t.spark), new_path(t.spark)
+    year = F.year("sampled_at").alias("year")
+    dated = t.hole_samples.select("*", year)
+    dated.repartition("year").write.partitionBy("year").parquet(source)
+    stream = J.file_stream(t.spark, source, dated.schema, files_per_batch=1)
+    J.stream_quality(stream, history, state, once=True).awaitTermination()
+    return J.read_history(t.spark, history).select("rows", "status")
 
 
-register("stream_quality", _quality_stream, "SELECT CAST(2 AS BIGINT) AS checks, count(*) AS rows, 'FAILED' AS status FROM hole_samples")
+register(
+    "stream_quality", _quality_stream,
+    f"""WITH k AS (SELECT extract(year FROM sampled_at) AS year, count(*) AS n,
+    count(*) FILTER (latitude NOT BETWEEN -90 AND 90 OR longitude NOT BETWEEN -180 AND 180 OR Depth_From >= Depth_To) AS wrong
+    FROM hole_samples GROUP BY year, Hole_ID, Element, Depth_From, Depth_To)
+    SELECT CAST(sum(n) AS BIGINT) AS rows, CASE WHEN sum(n - 1) + sum(wrong) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM k GROUP BY year""",
+)
 
 
 def _score_stream(t):

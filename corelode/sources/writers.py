@@ -70,6 +70,24 @@ def write_text_report(metrics: DataFrame, path: str, title: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_element_report(metrics: DataFrame, path: str, title: str, key: str = "Element") -> None:
+    """A section per element, in its order: the element, then ``name: value`` for each of its numbers."""
+    numbers = [f.name for f in metrics.schema.fields if f.name != key and f.dataType.simpleString() in ("double", "bigint", "int", "float")]
+    section = F.array(F.concat(F.lit("element: "), key), *[F.concat(F.lit(f"{c}: "), F.format_string("%.4f", F.col(c).cast("double"))) for c in numbers])
+    lines = metrics.select(F.col(key).alias("_k"), F.posexplode(section).alias("_n", "value"))
+    head = metrics.sparkSession.range(1).select(F.lit(None).cast("string").alias("_k"), F.lit(0).alias("_n"), F.lit(title).alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions(F.col("_k").asc_nulls_first(), "_n").select("value").write.mode("overwrite").text(path)
+
+
+def batch_report(outcomes: DataFrame) -> DataFrame:
+    """One row on a run over several elements (element, success, r2): tried, successful, share, best and mean R²."""
+    done = F.col("success")
+    return outcomes.agg(
+        F.count("*").alias("elements"), F.count_if(done).alias("successful"), F.count_if(~done).alias("failed"),
+        F.avg(done.cast("double")).alias("success_rate"), F.avg(F.when(done, F.col("r2"))).alias("mean_r2"),
+        F.max_by("element", F.when(done, F.col("r2"))).alias("best_element"))
+
+
 def append_history(metrics: DataFrame, path: str) -> None:
     """Add performance lines to a history table."""
     metrics.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(path)

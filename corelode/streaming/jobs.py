@@ -124,12 +124,20 @@ def stream_score(requests: DataFrame, trained: Trained, out: str, errors: str, c
 
 def stream_registry(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = False, one_per_file: bool = True) -> StreamingQuery:
     """Newest model per element, kept up to date in the table ``out`` as documents arrive
-    (one to a file, or one to a line)."""
+    (one to a file, or one to a line): each batch is a folder of its own, and
+    :func:`newest_registry` reads the last that is complete."""
     documents = spark.readStream.schema(MODEL_DOCUMENT).option("multiLine", one_per_file).option("pathGlobFilter", "*.json").json(folder)
     newest = registry_rows(documents).groupBy("element").agg(
         F.max_by(F.struct("trained", "model_path", "r2"), "trained").alias("m")).select("element", "m.*")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _run(newest.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, once)
+
+
+def newest_registry(spark: SparkSession, out: str) -> DataFrame:
+    """The registry of the last complete batch; readers never see a table that is being replaced."""
+    every = spark.read.option("recursiveFileLookup", True).parquet(out)
+    last = every.agg(F.max("_batch")).scalar()
+    return every.filter(F.col("_batch") == last).drop("_batch")

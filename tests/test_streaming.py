@@ -69,4 +69,4 @@ def test_registry_follows_new_documents(spark, tmp_path):
     for stamp, element in (("20250101_000000", "CU"), ("20250105_000000", "CU"), ("20250103_000000", "AU")):
         (folder / f"model_metadata_{stamp}.json").write_text(json.dumps({"element": element, "model_path": stamp}, indent=1))
     J.stream_registry(spark, str(folder), str(tmp_path / "newest"), str(tmp_path / "cp"), once=True).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "newest")), "element", "trained") == [("AU", "20250103_000000"), ("CU", "20250105_000000")]
+    assert rows(J.newest_registry(spark, str(tmp_path / "newest")), "element", "trained") == [("AU", "20250103_000000"), ("CU", "20250105_000000")]
