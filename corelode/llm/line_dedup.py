@@ -130,8 +130,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines are parted by line feeds, words by single spaces. A line of four words
     or more is dropped if an equal line stands earlier in the table, and one of
-    eight words or more also if an earlier line differs by one word changed,
-    added or left out. Earlier means a smaller document id (null before all), a
+    eight words or more also if an earlier line, of eight words or more as well,
+    differs by one word changed, added or left out (eight against seven do not). Earlier means a smaller document id (null before all), a
     smaller hash of the text where ids are equal, then a smaller line number; an
     earlier line counts even if it is dropped itself. Documents all stay; one
     that loses all its lines has an empty text.

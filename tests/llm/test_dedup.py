@@ -84,6 +84,20 @@ def test_near_duplicates_go_on_past_the_star(make_docs):
     assert got == want
 
 
+def test_texts_that_quote_one_long_passage_meet_in_few_pairs(spark, make_docs, monkeypatch):
+    """Documents whose own words keep them just apart drop out before they are paired; linked ones stay."""
+    passage = prose(11, 120, 10**6)
+    rows = [(k, passage + " " + prose(700 + k, 26 + k % 9, 10**6)) for k in range(60)]  # alike at 0.6 to 0.7
+    rows += [(100 + k, passage + " " + prose(900 + k, k, 10**6)) for k in range(12)]  # the nearest of these are linked
+    rows += [(200 + k, edited(passage, k, 0.012)) for k in range(20)]
+    met = []
+    real = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, sets: (met.append(pairs.count()), real(pairs, sets))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(rows)).collect()}
+    assert got == _components(rows)
+    assert sum(met[1:]) < 100 < 60 * 59 / 2
+
+
 def test_near_duplicates_without_ids(make_docs):
     text = prose(3, 50)
     rows = [(None, text), (9, text), (9, text), (8, text + " end"), (None, prose(4, 50)), (None, None)]

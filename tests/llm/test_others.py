@@ -168,6 +168,15 @@ def test_url_rules_and_propagation(spark):
     assert judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_distrust_travels_along_a_long_chain(spark):
+    pages = [(i, f"http://host{i}.org/", f"<a href='http://host{i - 1}.org/'>x</a>" if i else "<a href='http://bad.net/es/'>x</a>") for i in range(25)]
+    df = spark.createDataFrame([*pages, (99, "http://bad.net/es/", None), (100, "http://apart.org/", None)], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in judge_urls(df, URL_RULES).collect()}
+    assert all(got[i][0] == "block" and got[i][1] > 0 for i in range(25)) and got[100] == ("allow", 0)
+    strict = {r.page_id: r.verdict for r in judge_urls(df, URL_RULES, margin=-1.0).collect()}
+    assert strict[100] == "allow" and strict[3] == "block"
+
+
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string"
     a = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 3, "assistant", "fin"), (2, 0, "user", "q"), (3, 0, "user", "x"), (None, 0, "user", "lost"), (1, 0, "user", "hi")]

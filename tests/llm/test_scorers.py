@@ -1,6 +1,7 @@
 """Classifiers on planted data, held-out accuracy, and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -68,6 +69,41 @@ def test_odd_rows_and_labels(spark, make_docs, kind):
     assert (quality.quality_scores if kind is quality else toxicity.grade_documents)(docs.limit(0), model).count() == 0
 
 
+def test_one_model_whatever_the_partitioning(planted):
+    """Near copies count once by the same row of theirs, so weights and thresholds are equal to the last bit."""
+    docs, labels = planted
+    copies = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat("text", F.lit(" !"))))
+    more = labels.unionByName(labels.dropna().withColumn("doc_id", F.col("doc_id") + 1000))
+    one, other = toxicity.train(copies.repartition(1), more), toxicity.train(copies.repartition(9, "text"), more.repartition(4))
+    assert one.slots.tolist() == other.slots.tolist() and len(one.slots)
+    assert one.weights.tolist() == other.weights.tolist() and one.thresholds.tolist() == other.thresholds.tolist()
+
+
+def _plain_features(text):
+    """Words of letters (bytes of 128 and more count) and their beginnings, as (size or None, bytes)."""
+    words = re.findall(rb"[a-z\x80-\xFF]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text))
+    return {(size, w[:size] if size else w) for w in words for size in (None, *toxicity.PREFIXES) if size is None or len(w) >= size}
+
+
+def test_features_are_those_of_a_plain_loop():
+    texts = [b"Scum, scum! scumbag", b"", b"12 -- 3", "\u00c9t\u00e9 \u00e9t\u00e9s".encode(), b"a " * 5 + b"sevenseven"]
+    row, slot = toxicity.features(texts)
+    slot_of = {}
+    for i, text in enumerate(texts):
+        mine = slot[row == i].tolist()
+        assert len(mine) == len(set(mine)) == len(_plain_features(text))  # no two share a slot here
+        alone = toxicity.features([text])[1].tolist()
+        assert alone == mine
+        slot_of[i] = set(mine)
+    assert slot_of[0] & slot_of[4] == set() and len(slot_of[0]) == len(_plain_features(texts[0]))
+
+
+def test_long_texts_have_the_features_of_their_stretches():
+    text = (prose(3, 250_000, 3000)).encode()
+    whole = toxicity._feature_keys([text])
+    assert len(text) > 1 << 20 and toxicity.features([text])[1].tolist() == (whole & ((1 << toxicity.SLOT_BITS) - 1)).tolist()
+
+
 def test_labels_of_held_out_rows_are_not_learned_from(spark, make_docs):
     docs = make_docs([(i, f"text {i}") for i in range(200)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], LABELS)
