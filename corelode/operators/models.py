@@ -21,10 +21,12 @@ from corelode.functions.predicates import GRADE
 from corelode.functions.scalars import r2_level
 from corelode.operators import stats
 from corelode.operators.boosting import RegularisedBoosting
+from corelode.operators.extra_trees import ExtraTrees
 from corelode.operators.features import (
     CODED, LEAK_FREE_FEATURES, feature_columns, feature_matrix, features_prediction, features_training, fill_features,
     fit_location, hole_table,
 )
+from corelode.operators.fourier import RadialBasisRegression
 from corelode.operators.ordered import row_numbers
 from corelode.operators.prep import fit_impute, label_codes, split, with_row
 from corelode.operators.quantiles import quantiles
@@ -127,10 +129,11 @@ def base_learners(rows: int, trees: int = 100, depth: int = 6, seed: int = 42) -
     return {
         "random_forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed),
         "gradient_boosting": lambda: GBTRegressor(**(GBT | dict(maxIter=trees, maxDepth=depth, seed=seed))),
-        "whole_sample_forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=False, featureSubsetStrategy="onethird"),
+        "extra_trees": lambda: ExtraTrees(trees=trees, depth=depth, seed=seed),
         "linear": lambda: LinearRegression(),
         "ridge": lambda: LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False),
         "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False),
+        "radial_basis": lambda: RadialBasisRegression(seed=seed),
     }
 
 

@@ -16,6 +16,7 @@ from corelode.operators import stats as T
 from corelode.operators import validate as V
 from corelode.operators.ordered import join_on
 from corelode.operators.spatial import METRES_PER_DEGREE
+from corelode.operators.surrogate import Range
 from corelode.plans.features import _request_points
 from corelode.plans.learning import AT_POINTS, IDS, LINE, PARTED, SIMPLE, SMALL, _line, _line_scored, _matrix, _trained
 from corelode.plans.registry import identity_sql, register
@@ -334,14 +335,21 @@ def _tuned(t):
 register("save_tuning", _tuned)
 register("random_search", lambda t: M.random_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3, 4]}, 2, 2, base=SMALL).drop("parameters"))
 register("progressive_search", lambda t: M.progressive_search(
-    _matrix(t), SIMPLE, IDS, [("grid", {"grid": {"maxDepth": [2]}}), ("random", {"grid": {"maxDepth": [3, 4]}, "n": 1})], 2, SMALL).drop("parameters"))
+    _matrix(t), SIMPLE, IDS, [("grid", {"grid": {"maxDepth": [2]}}), ("random", {"grid": {"maxDepth": [3, 4]}, "n": 1}),
+                       ("model", {"space": {"maxDepth": Range(2, 4, whole=True), "stepSize": Range(0.05, 0.3, log=True)}, "n": 2})], 2, SMALL).drop("parameters"))
 _LIGHT = dict(trees=3, depth=3)
-register("voting_ensemble", lambda t: T.model_metrics(M.as_scored(
-    M.voting_ensemble(_matrix(t), SIMPLE, IDS, folds=2, best=3, **_LIGHT).transform(_matrix(t)))))
-register("ensemble_uncertainty", lambda t: M.voting_ensemble(_matrix(t), SIMPLE, IDS, folds=2, best=2, **_LIGHT).transform(_matrix(t)).select(
+
+
+def _held_out(t, fit):
+    """The test part scored by what ``fit`` makes of the train part."""
+    parted = keep(X.split(_matrix(t), IDS))
+    return fit(parted.filter("part = 'train'")).transform(parted.filter("part = 'test'"))
+
+
+register("voting_ensemble", lambda t: T.model_metrics(M.as_scored(_held_out(t, lambda train: M.voting_ensemble(train, SIMPLE, IDS, folds=2, best=5, **_LIGHT)))))
+register("ensemble_uncertainty", lambda t: _held_out(t, lambda train: M.voting_ensemble(train, SIMPLE, IDS, folds=2, best=2, **_LIGHT)).select(
     "SampleID", "predicted", "prediction_std"))
-register("stacking", lambda t: T.model_metrics(M.as_scored(
-    M.stacking(_matrix(t), SIMPLE, IDS, ("random_forest", "ridge"), 2, **_LIGHT).transform(_matrix(t)))))
+register("stacking", lambda t: T.model_metrics(M.as_scored(_held_out(t, lambda train: M.stacking(train, SIMPLE, IDS, folds=2, **_LIGHT)))))
 register("train_pipeline", lambda t: M.train_workflow(t.hole_samples, "Au", features=E.REFERENCE_FEATURES, **SMALL).metrics)
 
 
