@@ -96,9 +96,9 @@ register(
 
 
 def _error_history(t):
-    """Errors of the train and validation part before the first of 100 trees and after each."""
+    """Errors of the train and validation part before the first of 20 trees and after each."""
     parted = keep(X.split(_assembled(t, SIMPLE), IDS)).filter("part <> 'test'").withColumn("held", F.col("part") == "validation")
-    return G_B.fit(parted, held="held").history_table(t.spark)
+    return G_B.fit(parted, G_B.Boosting(maxIter=20), held="held").history_table(t.spark)
 
 
 register("boosting_history", _error_history)
