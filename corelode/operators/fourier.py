@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from corelode.operators.extra_trees import ArrayModel, ExtraTrees
 from corelode.session import keep
 
-# Random features that stand for the kernel, Newton steps, and the width over which the loss is rounded off.
+# Random features that stand for the kernel.
 SIZE = 200
-STEPS = 15
-ROUNDED = 1e-2
+# Widths over which the loss is rounded off, in deviations of the label, and Newton steps at each: a wide one is solved in a
+# few steps and starts the next. The last is the loss that is minimised.
+WIDTHS, STEPS = (1.0, 0.3, 0.1, 0.03, 0.01), 4
+ROUNDED = WIDTHS[-1]
 PASS_ROWS = 1 << 12
 
 
@@ -81,26 +83,24 @@ def fit_waves(df: DataFrame, c: float = 1.0, epsilon: float = 0.1, gamma: float
     numbers = np.array([v or 0.0 for v in ends])
     waves = Waves(numbers[:width], numbers[width : 2 * width], gamma or 1 / width, size, seed)
     penalty = np.append(np.ones(size), 1e-9)  # the constant is free
-    rounded = ROUNDED * max(numbers[-1], 1e-6)
     weights = np.append(np.zeros(size), numbers[-2])
-    gradient, curvature, loss = _sums(rows, waves, weights, epsilon, rounded)
     total = lambda w, loss: 0.5 * (penalty * w * w).sum() + c * loss
-    for _ in range(STEPS):
-        damped = c * curvature + np.diag(penalty) + np.eye(size + 1) * 1e-6
-        step = np.linalg.solve(damped, c * gradient + penalty * weights)
-        length = 1.0
-        while length > 1e-4:
-            tried = weights - length * step
-            found = _sums(rows, waves, tried, epsilon, rounded)
-            if total(tried, found[2]) < total(weights, loss):
+    for rounded in (width * max(numbers[-1], 1e-6) for width in WIDTHS):
+        gradient, curvature, loss = _sums(rows, waves, weights, epsilon, rounded)
+        for _ in range(STEPS):
+            damped = c * curvature + np.diag(penalty) + np.eye(size + 1) * 1e-6
+            step = np.linalg.solve(damped, c * gradient + penalty * weights)
+            length, before = 1.0, total(weights, loss)
+            while length > 1e-4:
+                found = _sums(rows, waves, weights - length * step, epsilon, rounded)
+                if total(weights - length * step, found[2]) < before:
+                    break
+                length /= 4
+            else:
+                break
+            weights, (gradient, curvature, loss) = weights - length * step, found
+            if before - total(weights, loss) < 1e-4 * before:
                 break
-            length /= 4
-        else:
-            break
-        settled = total(weights, loss) - total(tried, found[2]) < 1e-7 * total(tried, found[2])
-        weights, (gradient, curvature, loss) = tried, found
-        if settled:
-            break
     return waves, weights
 
 

@@ -32,7 +32,7 @@ from corelode.operators.prep import fit_impute, label_codes, split, with_row
 from corelode.operators.quantiles import quantiles
 from corelode.operators.rows import training_rows
 from corelode.operators.surrogate import Range, propose
-from corelode.schema import Z_95
+from corelode.schema import CUTOFFS, Z_95
 from corelode.session import keep
 
 # The boosted-tree parameters of the default model.
@@ -268,11 +268,22 @@ def expanding_cv(matrix: DataFrame, features: Sequence[str], make: Callable, tim
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
-    """Mean, deviation, least and greatest of the metrics over the folds."""
+    """Mean, deviation, least and greatest of the metrics over the folds, and the mean accuracy at every cutoff."""
     spread = []
     for name, c in (("rmse", "rmse"), ("mae", "mae"), ("r2", "r2_score")):
         spread += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
-    return folds.groupBy("part").agg(F.count("*").alias("folds"), *spread)
+    cutoffs = [F.avg(f"cutoff_{c}ppm_accuracy").alias(f"cutoff_{c}ppm_accuracy_mean") for c in CUTOFFS]
+    return folds.groupBy("part").agg(F.count("*").alias("folds"), *spread, *cutoffs)
+
+
+def compare_cv(matrix: DataFrame, features: Sequence[str], make: Callable, ids: Sequence[str], time_column: str, k: int = 5) -> DataFrame:
+    """:func:`cv_summary` of the test rows by each way of folding: by hash, by label range, by time."""
+    matrix = keep(matrix)
+    ways = {
+        "kfold": kfold_cv(matrix, features, make, ids, k), "stratified": stratified_cv(matrix, features, make, ids, k),
+        "expanding": expanding_cv(matrix, features, make, time_column, k)}
+    tables = [cv_summary(folds).filter("part = 'test'").withColumn("method", F.lit(name)) for name, folds in ways.items()]
+    return reduce(DataFrame.unionByName, tables).drop("part").orderBy(F.desc("r2_mean"))
 
 
 # parameter search

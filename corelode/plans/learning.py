@@ -160,17 +160,19 @@ register(
 register("interval_predictions", lambda t: _intervals(t).select("SampleID", "label", "predicted", "lower", "upper"))
 register("feature_importance", lambda t: M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark))
 register("top_features", lambda t: M.top_features(M.feature_importance(M.train_gbt(_matrix(t), SIMPLE, **SMALL), SIMPLE, t.spark), 3))
-register("kfold_cv", lambda t: M.kfold_cv(_matrix(t), SIMPLE, _small, IDS, 3))
-register("stratified_cv", lambda t: M.stratified_cv(_matrix(t), SIMPLE, _small, IDS, 3))
+register("kfold_cv", lambda t: M.kfold_cv(_matrix(t), SIMPLE, _small, IDS, 5))
+register("stratified_cv", lambda t: M.stratified_cv(_matrix(t), SIMPLE, _small, IDS, 5))
 
 
-def _expanding(t):
+def _dated(t):
     rows = R.training_rows(t.hole_samples, ["Cu"], carry=["sampled_at"])
     dated = rows.withColumn("day", F.date_diff(F.to_date("sampled_at"), F.lit("1970-01-01").cast("date")).cast("double"))
-    return M.expanding_cv(keep(E.feature_columns(dated, SIMPLE, ["SampleID", "day"])), SIMPLE, _small, "day", 2)
+    return keep(E.feature_columns(dated, SIMPLE, ["SampleID", "Depth_From", "day"]))
 
 
-register("expanding_cv", _expanding)
+register("expanding_cv", lambda t: M.expanding_cv(_dated(t), SIMPLE, _small, "day", 5))
+# The ways of folding compared, with a model that fits in one pass.
+register("compare_cv", lambda t: M.compare_cv(_dated(t), SIMPLE, lambda: LinearRegression(), IDS, "day", 5))
 register("grid_search", lambda t: M.grid_search(_matrix(t), SIMPLE, IDS, {"maxDepth": [2, 3]}, 2, SMALL))
 
 

@@ -352,7 +352,7 @@ def _isolated(t):
     from corelode.operators.isolation import isolation_forest
 
     rows = R.training_rows(t.hole_samples).select(*_ROW_ID, "Depth_From")
-    return isolation_forest(rows, [GRADE, "Depth_From"], _ROW_ID, trees=50)
+    return isolation_forest(rows, [GRADE, "Depth_From"], _ROW_ID)
 
 
 register("outliers_isolation_forest", _isolated)

@@ -79,7 +79,7 @@ class PlainTrees:
         return self.base + sum(self.of(t, x) for t in self.trees)
 
 
-WHOLE = dict(maxIter=3, maxDepth=3, subsamplingRate=1.0, columnSampling=1.0, maxBins=12)
+WHOLE = dict(maxIter=2, maxDepth=3, subsamplingRate=1.0, columnSampling=1.0, maxBins=12)
 
 
 @pytest.mark.parametrize("terms", [{}, dict(regAlpha=8.0, regLambda=5.0), dict(minSplitGain=20.0), dict(minChildWeight=30.0, regLambda=0.0)])
@@ -99,20 +99,20 @@ def test_trees_are_those_of_a_plain_loop(spark, terms):
 def test_partitioning_changes_nothing_and_errors_fall(spark):
     x, y = sample(600, 2)
     held = np.arange(600) % 5 == 0
-    settings = B.Boosting(maxIter=12, maxDepth=3, maxBins=20)
+    settings = B.Boosting(maxIter=6, maxDepth=2, maxBins=20, stepSize=0.4)
     one = B.fit(table(spark, x, y, held).repartition(1), settings, held="held")
     other = B.fit(table(spark, x, y, held).repartition(7), settings, held="held")
     assert [t.value.tolist() for t in one.trees] == [t.value.tolist() for t in other.trees]
-    assert [h[0] for h in one.history] == list(range(13))
-    assert one.history[12][1] < 0.5 * one.history[0][1] and one.history[12][2] < 0.5 * one.history[0][2]
+    assert [h[0] for h in one.history] == list(range(7))
+    assert one.history[6][1] < 0.5 * one.history[0][1] and one.history[6][2] < 0.5 * one.history[0][2]
     rmse = math.sqrt(np.square(one.values(x[~held]) - y[~held]).mean())
-    assert one.history[12][1] == pytest.approx(rmse)
+    assert one.history[6][1] == pytest.approx(rmse)
     assert one.importances().sum() == pytest.approx(1.0) and one.importances()[3] == 0.0
 
 
 def test_columns_and_rows_are_drawn_per_tree(spark):
     x, y = sample(300, 3)
-    model = B.fit(table(spark, x, y), B.Boosting(maxIter=8, maxDepth=2, columnSampling=0.25, subsamplingRate=0.5, maxBins=16))
+    model = B.fit(table(spark, x, y), B.Boosting(maxIter=4, maxDepth=2, columnSampling=0.25, subsamplingRate=0.5, maxBins=16))
     used = [set(t.feature[t.feature >= 0].tolist()) for t in model.trees]
     assert all(len(u) <= 1 for u in used) and len(set(map(str, used))) > 1
 

@@ -85,7 +85,9 @@ def test_searches(planted):
 
 def test_ensembles(spark, planted):
     ensemble = M.voting_ensemble(planted, X, ["id"], folds=2, best=3, trees=5, depth=3)
-    assert len(ensemble.members) == 3 and len(ensemble.scores) == 6
+    assert len(ensemble.members) == 3
+    assert set(ensemble.scores) == {"random_forest", "gradient_boosting", "extra_trees", "linear", "ridge", "lasso", "radial_basis"}
+    assert all(r2 > 0.7 for r2 in ensemble.scores.values())
     scored = ensemble.transform(planted)
     assert T.model_metrics(M.as_scored(scored)).first()["r2_score"] > 0.8 and scored.filter("prediction_std < 0").count() == 0
     assert ensemble.importance(spark).agg(F.sum("importance")).first()[0] == pytest.approx(1)
