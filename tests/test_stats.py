@@ -145,6 +145,24 @@ def test_metrics_of_nothing(spark):
     assert T.model_metrics(empty).first()["rmse"] is None
 
 
+def test_bootstrap_weights_are_those_of_the_column_expression(spark):
+    df = spark.range(300).select(F.xxhash64("id").alias("h"))
+    chance = F.pmod(F.xxhash64("h", "b"), F.lit(10**12)) / 1e12
+    slow = df.select("h", F.explode(F.sequence(F.lit(1), F.lit(90))).alias("b")).withColumn("w", T._replicate_weight(chance)).orderBy("h", "b")
+    expected = np.array([r["w"] for r in slow.collect()]).reshape(300, 90)
+    hashes = np.array([r[0] for r in df.orderBy("h").select(F.xxhash64("h")).collect()])
+    steps, table = T._weight_table()
+    assert (T._replicate_weights(hashes, 90, steps, table) == expected).all()
+    assert (T._replicate_weights(hashes, 90, steps, np.full_like(table, T.BETWEEN)) == expected).all()  # next to a step
+    assert [u / 1e12 <= c < (u + 1) / 1e12 for u, c in zip(steps.tolist(), T.POISSON_ONE)] == [True] * len(steps)
+
+
+def test_bootstrap_weights_are_not_made_row_by_row(spark):
+    """Weights in interpreted lambdas took half an hour at 36 million rows."""
+    plan = T.bootstrap_ci(spark.range(9).withColumn("v", F.lit(1.0)), "v", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform(sequence" not in plan
+
+
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("v"))
     row = T.bootstrap_ci(df, "v", ["id"], "mean", 200).first()
