@@ -228,3 +228,18 @@ def test_dbscan_equals_the_definition(spark, monkeypatch, eps, least, levels):
     for i in set(near) - core:
         allowed = {got[j] for j in near[i] if j in core} or {-1}
         assert got[i] in allowed
+
+
+def test_cells_are_cut_along_both_sides_without_losing_pairs(spark, clouds):
+    _, references = clouds
+    a, b = points(spark, references, "a"), points(spark, references, "b")
+    whole = {(r["a_id"], r["b_id"]) for r in N.distance_pairs(a, b, 0.5).collect()}
+    globe = {(r["a_id"], r["b_id"]) for r in N.pairs_within_km(a, b, 40.0).collect()}
+    spark.conf.set("corelode.pairsPerPiece", "25")
+    try:
+        cut, far = N.distance_pairs(a, b, 0.5), N.pairs_within_km(a, b, 40.0)
+        assert cut.rdd.getNumPartitions() > 8  # not merged again by bytes
+        got, on_globe = ([(r["a_id"], r["b_id"]) for r in df.collect()] for df in (cut, far))
+    finally:
+        spark.conf.unset("corelode.pairsPerPiece")
+    assert sorted(got) == sorted(whole) and sorted(on_globe) == sorted(globe)
