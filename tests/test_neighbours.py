@@ -243,3 +243,35 @@ def test_cells_are_cut_along_both_sides_without_losing_pairs(spark, clouds):
     finally:
         spark.conf.unset("corelode.pairsPerPiece")
     assert sorted(got) == sorted(whole) and sorted(on_globe) == sorted(globe)
+
+
+@pytest.mark.parametrize("per_block", [3, 1000])
+def test_blocks_hold_each_near_pair_once(spark, per_block):
+    r = random.Random(5)
+    places = [(-15 + r.uniform(0, 0.02), -71 + r.uniform(0, 0.02), r.choice("AB")) for _ in range(60)] + [(89.9999, 10.0, "A"), (89.9999, -170.0, "A")]
+    df = spark.createDataFrame([(*p, i) for i, p in enumerate(places)], "latitude double, longitude double, e string, i int")
+    met = N.block_pairs(df, 0.5, ["i"], per_block, 2, ["e"])
+    pairs = sorted((x["i"], y["i"]) for row in met.collect() for x in row["a_rows"] for y in row["b_rows"])
+    assert len(pairs) == len(set(pairs))
+    at = np.array([p[:2] for p in places])
+    (near,) = N.within_km(at, at, [0.5])
+    want = {(i, j) for i, j in zip(*map(list, np.nonzero(near))) if places[i][2] == places[j][2]}
+    assert want <= set(pairs) and (60, 61) in want
+    b = df.select(*[F.col(c).alias(f"{t}") for c, t in (("i", "b_id"), ("latitude", "b_lat"), ("longitude", "b_lon"))])
+    a = b.withColumnsRenamed({f"b_{c}": f"a_{c}" for c in ("id", "lat", "lon")})
+    assert {(x["a_id"], x["b_id"]) for x in N.pairs_within_km(a, b, 0.5).collect()} == set(zip(*map(list, np.nonzero(near))))
+
+
+def test_morans_i_and_continuity_make_no_row_per_pair(spark):
+    """At 36 million rows the neighbourhoods of grade_continuity filled the disk."""
+    df = spark.createDataFrame([("A", 0.0, 0.001 * i, 5.0 + i) for i in range(30)], f"Element string, latitude double, longitude double, {GRADE} double")
+    whole = G.morans_i(df, [500]).first()["morans_i"], G.grade_continuity(df, 400.0).first()
+    spark.conf.set("corelode.sitesPerBlock", "4")
+    try:
+        cut = G.morans_i(df, [500])
+        assert cut.first()["morans_i"] == pytest.approx(whole[0])
+    finally:
+        spark.conf.unset("corelode.sitesPerBlock")
+    for found in (cut, G.grade_continuity(df, 400.0, 4)):
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert G.grade_continuity(df, 400.0, 4).first()["mean_grade_difference"] == pytest.approx(whole[1]["mean_grade_difference"])
