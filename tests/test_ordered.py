@@ -44,6 +44,37 @@ def test_moving_blocks(skewed, keys):
     assert rows(split, "id", "m", "l", "nx") == rows(plain, "id", "m", "l", "nx")
 
 
+def _shuffles(df):
+    """Exchanges in the plan of the rows as they are now (tables kept before are scans)."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_row_numbers_split_without_a_further_shuffle(skewed):
+    order = ["v", "id"]
+    numbered = O.row_numbers(skewed, ["k"], order, "n", limit=40)
+    expected = skewed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert rows(numbered, "id", "n") == rows(expected, "id", "n")
+    assert _shuffles(numbered) == 0
+
+
+def test_moving_carries_only_what_is_named(skewed):
+    def columns(w):
+        return {"l": F.lag("id", 2).over(w)}
+
+    wide = skewed.withColumn("text", F.col("id").cast("string"))
+    plain = O.moving(wide, ["k"], ["v", "text", "id"], 2, 0, columns, limit=10_000, carry=["id"])
+    split = O.moving(wide, ["k"], ["v", "text", "id"], 2, 0, columns, limit=25, carry=["id"])
+    assert plain.columns == ["id", "k", "l"] and sorted(split.columns) == sorted(plain.columns)
+    assert rows(split, "k", "id", "l") == rows(plain, "k", "id", "l")
+    assert _shuffles(split) == 1
+
+
+def test_lag_products_split(skewed):
+    for keys in ([], ["k"]):
+        got = [rows(D.lag_products(skewed, keys, ["id"], "v", 6, limit), *keys, "lag", "n", "product", "power") for limit in (25, 100_000)]
+        assert got[0] and got[0] == got[1]
+
+
 def test_quantiles_by_rank(skewed):
     wanted = {"a": (F.col("v"), 0.25), "b": (F.col("v"), 0.5), "c": (F.col("id"), 0.9)}
     for keys in ([], ["k"]):
