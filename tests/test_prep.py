@@ -176,3 +176,31 @@ def test_all_features(samples):
     assert {"lat_norm", "grade_rolling_q75", "grade_category_encoded", "avg_neighbor_grade"} <= set(E.feature_names(wide))
     assert wide.count() == samples.filter(P.valid_sample()).count()
     assert "avg_neighbor_grade" not in E.features_all(samples, neighbors=False).columns
+
+
+def _shuffled(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_codes_are_small_tables_of_their_own(samples):
+    rows_of = R.prediction_rows(samples, ["Cu"])
+    wide = E.features_prediction(rows_of)
+    assert _shuffled(wide) == 0  # no row is dealt by its element, dataset or laboratory
+    codes = {r["LabCode"]: r["labcode_encoded"] for r in wide.select("LabCode", "labcode_encoded").distinct().collect()}
+    known = sorted(c for c in codes if c is not None)
+    assert [codes[c] for c in known] == [*range(len(known))] and codes[None] == -1
+
+
+def test_group_statistics_are_small_tables_of_their_own(samples):
+    wide = E.features_training(R.training_rows(samples))
+    assert _shuffled(wide) <= 3  # the statistics of the samples, and the rows that meet them
+    assert wide.count() == R.training_rows(samples).count()
+
+
+def test_a_file_of_several_splits_is_not_dealt_again(spark, folder, monkeypatch):
+    from corelode.sources import fixture
+
+    dealt = lambda: "Repartition" in fixture.relation(spark, folder, "lineitem")._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt()
+    monkeypatch.setattr(fixture, "SPLIT", 1)
+    assert not dealt()
