@@ -70,3 +70,12 @@ def test_registry_follows_new_documents(spark, tmp_path):
         (folder / f"model_metadata_{stamp}.json").write_text(json.dumps({"element": element, "model_path": stamp}, indent=1))
     J.stream_registry(spark, str(folder), str(tmp_path / "newest"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert rows(J.newest_registry(spark, str(tmp_path / "newest")), "element", "trained") == [("AU", "20250103_000000"), ("CU", "20250105_000000")]
+
+
+def test_a_batch_makes_its_report_once(spark, samples, tmp_path, monkeypatch):
+    kept, keep = [], J.keep
+    monkeypatch.setattr(J, "keep", lambda df: kept.append(df.columns) or keep(df))
+    source, history = str(tmp_path / "in"), str(tmp_path / "history")
+    samples.limit(50).coalesce(1).write.parquet(source)
+    J.stream_quality(J.file_stream(spark, source, samples.schema), history, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert len(kept) == 1 and J.read_history(spark, history).first()["rows"] == 50
