@@ -153,3 +153,21 @@ def test_rows_without_label_and_no_rows(spark):
         B.fit(df.limit(0), settings)
     same = B.fit(table(spark, x, np.full(50, 2.5)), settings)
     assert same.values(x).tolist() == [2.5] * 50
+
+
+def test_few_rows_are_summed_in_one_task_without_a_shuffle(spark):
+    x, y = sample()
+    df = table(spark, x, y).repartition(8)
+    settings = B.Boosting(maxDepth=2)
+    rows, cuts, _, scale = B._prepared(df, settings, "features", "label", None)
+    tree, _ = B._grow(rows, cuts, settings, 0, scale)
+    rows.pending.append(tree)
+    after = rows.given()
+    for r in (rows, after):
+        assert r.table.rdd.getNumPartitions() == 1
+        assert "Exchange" not in r.table.groupBy("hash").count()._jdf.queryExecution().executedPlan().toString()
+    batch = rows.table.toArrow().combine_chunks().to_batches()[0]
+    whole, part = rows.read(batch), rows.read(batch.slice(50, 30))
+    assert (part[0] == whole[0][50:80]).all() and (part[-1] == whole[-1][50:80]).all() and rows.read(batch.slice(0, 0))[0].shape == (0, 4)
+    again = after.table.toArrow()["predicted"].to_numpy()
+    assert sorted(again) == sorted(whole[-1])
