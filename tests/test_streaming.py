@@ -1,6 +1,7 @@
 """Streams over a finished folder give what a batch gives."""
 
 import json
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -79,3 +80,24 @@ def test_a_batch_makes_its_report_once(spark, samples, tmp_path, monkeypatch):
     samples.limit(50).coalesce(1).write.parquet(source)
     J.stream_quality(J.file_stream(spark, source, samples.schema), history, str(tmp_path / "cp"), once=True).awaitTermination()
     assert len(kept) == 1 and J.read_history(spark, history).first()["rows"] == 50
+
+
+def test_keys_share_a_state_and_keep_apart(spark, tmp_path):
+    """A hundred keys in one bucket, over two batches, with rows that lack a key or a time, against a plain loop."""
+    start = datetime(2024, 1, 1)
+    batches = [[(b * 1000 + i, None if i % 101 == 7 else f"k{i % 100}", start + timedelta(minutes=200 * b + i // 10)) for i in range(800)] for b in range(2)]
+    batches[0] += [(5000, "late", None), (5001, "late", start), (5002, "only", None), (5003, "only", None)]
+    source = str(tmp_path / "in")
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, "event_id long, request_key string, ts timestamp").coalesce(1).write.parquet(f"{source}/b={number}")
+    stream = J.file_stream(spark, f"{source}/*", spark.read.parquet(f"{source}/b=0").schema, files_per_batch=1)
+    query = J._run(J.serve_once(stream, buckets=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "cp"), True)
+    query.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]][-1:] == [1]
+    last, want = {}, {}
+    for e, key, ts in sorted((r for batch in batches for r in batch), key=lambda r: (r[2] is None, r[2], r[0])):
+        want[e] = key not in last or (ts is not None and (ts - last[key]).total_seconds() >= J.TIME_TO_LIVE)
+        if want[e]:
+            last[key] = ts
+    got = {r["event_id"]: r["served"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
