@@ -204,3 +204,21 @@ def test_a_file_of_several_splits_is_not_dealt_again(spark, folder, monkeypatch)
     assert dealt()
     monkeypatch.setattr(fixture, "SPLIT", 1)
     assert not dealt()
+
+
+def test_preprocess_fits_each_step_once(spark, monkeypatch):
+    kept, keep = [], X.session.keep
+    monkeypatch.setattr(X.session, "keep", lambda df: kept.append(df.columns) or keep(df))
+    df = spark.range(200).select(F.when(F.col("id") % 9 > 0, F.col("id").cast("double")).alias("a"), (F.col("id") * 37 % 11).cast("double").alias("c"))
+    done = X.preprocess(df, ["a", "c"])
+    assert kept == [["_fitted_rows", "a", "c"], ["a_lower", "a_upper", "c_lower", "c_upper"], ["a_shift", "a_width", "c_shift", "c_width"]]
+    assert "ercentile" not in done._jdf.queryExecution().optimizedPlan().toString()
+    ends = done.agg(*[F.round(f(c), 9) for c in ("a", "c") for f in (F.avg, F.stddev_pop)]).first()
+    assert [v + 0.0 for v in ends] == [0.0, 1.0, 0.0, 1.0]
+
+
+def test_quartiles_of_a_column_share_their_values(spark):
+    df = spark.range(10).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    got = X.quantiles(df, ["k"], {"q1": (F.col("v"), 0.25), "q3": (F.col("v"), 0.75), "same": (F.col("v"), 0.25)})
+    assert rows(got) == [(0, 2.0, 6.0, 2.0), (1, 3.0, 7.0, 3.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
