@@ -222,3 +222,24 @@ def test_quartiles_of_a_column_share_their_values(spark):
     got = X.quantiles(df, ["k"], {"q1": (F.col("v"), 0.25), "q3": (F.col("v"), 0.75), "same": (F.col("v"), 0.25)})
     assert rows(got) == [(0, 2.0, 6.0, 2.0), (1, 3.0, 7.0, 3.0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
+
+
+@pytest.mark.parametrize("labs", [3, 150])  # bits of one word, of several
+def test_summary_counts_without_copies_of_rows(spark, labs):
+    samples = spark.range(400).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("S"), F.col("id") % 90)).alias("SampleID"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("H"), F.col("id") % 13)).alias("Hole_ID"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("E"), F.col("id") % 3)).alias("Element"), F.concat(F.lit("D"), F.col("id") % 2).alias("DataSet"),
+        F.when(F.col("id") % 6 > 0, F.concat(F.lit("L"), F.col("id") % labs)).alias("LabCode"), F.when(F.col("id") % 11 > 0, F.col("id").cast("double")).alias(GRADE))
+    present = samples.filter(F.col(GRADE).isNotNull())
+    got = A.data_summary(samples)
+    assert rows(got) == rows(A._data_summary_expanded(present))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Expand" in line and ("SampleID" in line or "Hole_ID" in line)]
+    assert A.data_summary(samples.limit(0)).isEmpty()
+
+
+def test_summary_beyond_the_bits(spark, monkeypatch):
+    samples = spark.createDataFrame(EDGE, "SampleID string, Hole_ID string, DataSet string, Element string, standardized_grade_ppm double, a double, b double, c double, d double, e double, f double, LabCode string")
+    small = rows(A.data_summary(samples))
+    monkeypatch.setattr(A, "BITS", 2)
+    assert rows(A.data_summary(samples)) == small
