@@ -12,13 +12,16 @@ from corelode.session import keep
 LEAST_WORDS = 4
 # From this many words on, one word may be changed, added or left out; shorter lines must be equal.
 EDIT_WORDS = 8
-KEY = ["v1", "v2", "m"]
+# Variants are made within rows of up to this many words, at a cost of their square; a longer line is cut into such rows.
+ROW_WORDS = 256
+KEY = ["v", "m"]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line, words, n) of the lines that have enough words."""
+    """(doc_id, th, line_no, line, n) of the lines that have enough words."""
     lines = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("words", F.split("line", " ")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_WORDS)
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.withColumn("n", spaces + 1).filter(F.col("n") >= LEAST_WORDS)
 
 
 def _line_key() -> Column:
@@ -40,7 +43,8 @@ def _halves() -> Column:
 
 def _distinct_lines(rows: DataFrame) -> DataFrame:
     """(key, pos, n, halves, copies): each different line, with its first position."""
-    lines = _lines(rows).select(_line_key(), F.struct("doc_id", "th", "line_no").alias("pos"), "n", _halves().alias("halves"))
+    words = F.when(F.col("n") >= EDIT_WORDS, F.split("line", " "))
+    lines = _lines(rows).withColumn("words", words).select(_line_key(), F.struct("doc_id", "th", "line_no").alias("pos"), "n", _halves().alias("halves"))
     return lines.groupBy("key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
 
 
@@ -51,37 +55,59 @@ def _with_partner(lines: DataFrame, rows: DataFrame) -> DataFrame:
     hopeful = halves.join(shared, "half", "left_semi").select("pos").distinct()
     doc = F.struct("doc_id", "th").alias("doc")  # as a struct, null ids are equal
     by_row = hopeful.groupBy(F.struct("pos.doc_id", "pos.th").alias("doc")).agg(F.collect_list("pos.line_no").alias("nos"))  # of one document
-    # Rows equal in id and text are one document. The join has brought them together, so nothing is dealt out again.
-    own = rows.select(doc, "text").join(by_row, "doc").dropDuplicates(["doc"]).select("doc.*", "text", "nos")
+    # Rows equal in id and text are one document. The join has brought them together by the key of its right side, so nothing is dealt out again.
+    texts = rows.select(doc.alias("own"), "text")
+    own = texts.join(by_row, texts["own"] == by_row["doc"]).drop("own").dropDuplicates(["doc"]).select("doc.*", "text", "nos")
     picked = own.select("doc_id", "th", F.split("text", "\n").alias("lines"), F.explode("nos").alias("line_no"))
     words = F.split(F.element_at("lines", F.col("line_no") + 1), " ")
     return picked.select(F.struct("doc_id", "th", "line_no").alias("pos"), F.size(words).alias("n"), words.alias("words"))
 
 
+def _place_hashes(word: Column, i: Column) -> list[Column]:
+    """Hashes of a word at its place (a) and one place before (b)."""
+    return [F.xxhash64(word, i).alias("a"), F.xxhash64(word, i - 1).alias("b")]
+
+
+def _xor_of(hashes: str, field: str) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x[field]))
+
+
+def _stretches(lines: DataFrame) -> DataFrame:
+    """(pos, n, at, h, rest): stretches of up to ROW_WORDS words of each line, from word ``at`` on.
+
+    ``h`` has the hashes of its words, ``rest`` the exclusive or of ``a`` over all words before the stretch and of ``b`` over all others.
+    """
+    few = F.col("n") <= ROW_WORDS
+    short = lines.filter(few).select("pos", "n", F.lit(0).alias("at"), F.transform("words", lambda w, i: F.struct(*_place_hashes(w, i))).alias("h"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(ROW_WORDS)), lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, ROW_WORDS).alias("words")))
+    long = lines.filter(~few).select("pos", "n", F.explode(cut).alias("c")).select("pos", "n", "c.at", "c.words").select(
+        "pos", "n", "at", F.transform("words", lambda w, i: F.struct(*_place_hashes(w, i + F.col("at")))).alias("h"))
+    line = Window.partitionBy("pos").orderBy("at")
+    before = F.bit_xor("xor_a").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    others = F.bit_xor("xor_b").over(line.rowsBetween(0, Window.unboundedFollowing))
+    long = long.withColumns({"xor_a": _xor_of("h", "a"), "xor_b": _xor_of("h", "b")}).withColumn("rest", F.coalesce(before, F.lit(0)).bitwiseXOR(others))
+    return short.withColumn("rest", _xor_of("h", "b")).unionByName(long.drop("xor_a", "xor_b"))
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """(v1, v2, m, i, pos): a line (i = 0) and all its variants without the i-th word, as hashed keys of m words.
+    """(v, m, i, pos): a line (i = 0) and all its variants without the i-th word, as hashed keys of m words.
 
-    The key of a word sequence is the sum of hashes of (word, place). Leaving a
-    word out moves the later ones up a place, so all variants of a line come
-    from running sums over its words, also of a very long line.
+    The key of a word sequence is the exclusive or of hashes of (word, place).
+    Leaving a word out moves the later ones up a place, so all variants of a
+    line come from one running hash over its words; words are no rows.
     """
-    at = lines.select("pos", "n", F.posexplode("words").alias("i", "word"))
+    # rest: all words but the next, the later ones a place before; in the end, all words at their places.
+    start = F.struct("rest", F.array().cast("array<long>").alias("made"))
 
-    def two(h: Column) -> list[Column]:
-        return [h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)]
+    def with_next(s: Column, x: Column) -> Column:
+        v = s["rest"].bitwiseXOR(x["b"])
+        return F.struct(v.bitwiseXOR(x["a"]).alias("rest"), F.array_append(s["made"], v).alias("made"))
 
-    there, before = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    hashed = at.select("pos", "n", "i", *(c.alias(f"a{k}") for k, c in enumerate(two(there), 1)), *(c.alias(f"b{k}") for k, c in enumerate(two(before), 1)))
-    line = Window.partitionBy("pos")
-    so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    summed = hashed.select(
-        "pos", "n", "i",
-        *((F.sum(f"a{k}").over(so_far) - F.col(f"a{k}") + F.sum(f"b{k}").over(line) - F.sum(f"b{k}").over(so_far)).alias(f"v{k}") for k in (1, 2)),
-        *(F.sum(f"a{k}").over(line).alias(f"t{k}") for k in (1, 2)))
-    left_out = F.struct("v1", "v2", (F.col("n") - 1).alias("m"), (F.col("i") + 1).alias("i"))
-    whole = F.struct(F.col("t1").alias("v1"), F.col("t2").alias("v2"), F.col("n").alias("m"), F.lit(0).alias("i"))
-    each = F.explode(F.when(F.col("i") == 0, F.array(left_out, whole)).otherwise(F.array(left_out)))
-    return summed.select("pos", each.alias("v")).select("v.*", "pos")
+    last = F.col("at") + F.size("h") == F.col("n")
+    keys = F.aggregate("h", start, with_next, lambda s: F.when(last, F.array_append(s["made"], s["rest"])).otherwise(s["made"]))
+    each = _stretches(lines).select("pos", "n", "at", F.posexplode(keys).alias("k", "v")).withColumn("k", F.col("at") + F.col("k"))
+    whole = F.col("k") == F.col("n")
+    return each.select("v", F.when(whole, F.col("n")).otherwise(F.col("n") - 1).alias("m"), F.when(whole, 0).otherwise(F.col("k") + 1).alias("i"), "pos")
 
 
 def _earlier(variants: DataFrame) -> DataFrame:
@@ -147,9 +173,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document given twice and lose the same lines. Empty tables give no rows.
     Columns of ``docs`` named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    held = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = held.select("doc_id", "th", "text")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"))
+    full = F.coalesce(F.col("row")[text_col], F.lit(""))  # made after the last join: a text moves once
+    rows = held.select("doc_id", "th", full.alias("text"))
     lines = keep(_distinct_lines(rows))
     near = near_lines(lines, rows).select("pos", F.lit(True).alias("near"))
     guilty = lines.select("key", "pos", "copies").join(near, "pos", "left").filter("copies > 1 OR near").select("key", F.col("pos").alias("first"), "near")
@@ -157,7 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped = spots.join(guilty, "key").filter(F.col("near").isNotNull() | (F.struct("doc_id", "th", "line_no") > F.col("first")))
     by_row = dropped.groupBy(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th")).agg(F.sort_array(F.collect_set("line_no")).alias("nos"))  # of one document
     joined = held.join(by_row, held["doc_id"].eqNullSafe(by_row["d_id"]) & (held["th"] == by_row["d_th"]), "left").select(
-        "row", F.split("text", "\n").alias("lines"), "nos")
+        "row", F.split(full, "\n").alias("lines"), "nos")
     # The stretches between dropped lines.
     stay = F.expr("""flatten(transform(sequence(0, size(nos)), k -> slice(lines,
      if(k = 0, 1, nos[k - 1] + 2), if(k = size(nos), size(lines), nos[k]) - if(k = 0, 0, nos[k - 1] + 1))))""")

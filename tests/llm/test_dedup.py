@@ -1,12 +1,13 @@
 """Exact, near and line deduplication against brute force, with odd rows."""
 
 import itertools
+import re
 from collections import defaultdict
 
 from helpers import edited, prose
 from pyspark.sql import functions as F
 
-from corelode.llm import near_dedup
+from corelode.llm import line_dedup, near_dedup
 from corelode.llm.components import components
 from corelode.llm.exact_dedup import exact_dedup, exact_groups
 from corelode.llm.line_dedup import dedup_lines
@@ -188,3 +189,48 @@ def test_lines_near_those_of_repeated_rows(make_docs):
             got = sorted(((r.doc_id, r.text) for r in dedup_lines(make_docs(rows)).collect()), key=str)
             stays = {once: line, twice: ""} if once < twice else {once: "", twice: text}
             assert got == sorted([(once, stays[once]), (twice, stays[twice]), (twice, stays[twice]), *rows[3:]], key=str), (kind, once)
+
+
+def test_line_variants_are_keys_of_what_is_left(spark, monkeypatch):
+    """However long its stretches are, each variant of a line has the key of the line that is left; short lines are not dealt out by words."""
+    lines = [prose(k, n, 9) for k, n in enumerate([8, 9, 9, 40])] + ["", "same same same same same same same same"]
+    parts = [t.split(" ") for t in lines]
+    left = {(k, i + 1): [*w[:i], *w[i + 1 :]] for k, w in enumerate(parts) for i in range(len(w))} | {(k, 0): w for k, w in enumerate(parts)}
+    rows = spark.createDataFrame([(k, len(w), w) for k, w in enumerate(parts)], "id long, n int, words array<string>").select(F.struct("id").alias("pos"), "n", "words")
+    short = line_dedup._variants(rows)
+    assert short.columns == ["v", "m", "i", "pos"]
+    assert short._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2  # of keys, and of stretches of long lines
+    by_size = []
+    for size in (256, 7, 1):
+        monkeypatch.setattr(line_dedup, "ROW_WORDS", size)
+        made = {(r.pos.id, r.i): (r.v, r.m) for r in line_dedup._variants(rows).collect()}
+        assert made.keys() == left.keys() and all(m == len(left[x]) for x, (_, m) in made.items())
+        by_size.append(made)
+    assert by_size[0] == by_size[1] == by_size[2]
+    same = defaultdict(set)
+    for x, key in by_size[0].items():
+        same[key].add(tuple(left[x]))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({tuple(w) for w in left.values()})
+
+
+def test_lines_on_both_sides_of_the_row_limit(make_docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROW_WORDS", 10)
+    words = prose(5, 12).split(" ")
+    texts = [" ".join(words[:n]) for n in (10, 11, 12)] + [" ".join([*words[:3], "x", *words[4:n]]) for n in (9, 10, 11)]
+    rows = [(k, t) for k, t in enumerate([*texts, *(edited(prose(60 + k // 3, 8 + k % 6), k, 0.1) for k in range(60))])]
+    assert {r.doc_id: r.text for r in dedup_lines(make_docs(rows)).collect()} == _lines(rows)
+
+
+def test_a_text_moves_once_in_each_join_of_lines(spark, make_docs):
+    """Before, the last join carried the text beside the row, and the texts of hopeful lines were dealt out twice."""
+    docs = make_docs([(1, "a line that is long enough to be compared"), (2, None)], clashing=False)
+    plan = dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS row#" in plan and not re.search(r"AS row#.*coalesce\(", plan)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    lines, limit = line_dedup.keep(line_dedup._distinct_lines(rows)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        above, join, _ = line_dedup._with_partner(lines, rows)._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert join and "Exchange" not in above
