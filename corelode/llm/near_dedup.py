@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corelode.llm.common import id_and_text, shingle_sets, texts_of
 from corelode.llm.components import components
@@ -22,6 +23,8 @@ SIMILARITY = 75
 # average. Six standard deviations less has a probability of about 1e-9.
 RETAINED, SHARED = 48, 18
 FINE_RETAINED, FINE_SHARED = 512, 325
+# Parts of a whole set that are compared by one hash each before two documents become a pair.
+PARTS = 256
 
 
 def _sets_in(batches: Iterator[pa.RecordBatch], retained: int | None) -> Iterator[pa.RecordBatch]:
@@ -125,14 +128,16 @@ def _room(n: Column, shared: Column) -> Column:
 
 
 def _apart(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(value, doc, n_shingles, alone, position, room): the rows of lists in several components that may still be linked.
+    """(value, doc, n_shingles, alone, position, n_common, parts, room, before): the rows of lists in several components that may still be linked.
 
     A document left here is compared with others left here only, so the values
     of its whole set that none of them has cannot be shared: what remains gives
     the largest set it can be linked to (:func:`_room`). Rows that no other size
     in their list suits go. Copies that many edits have moved just out of reach
     of each other have values of their own, and drop out here before they meet
-    in pairs. A second pass counts again without those that went.
+    in pairs. A second pass counts again without those that went. ``before``
+    holds the values of a document whose lists come before this one; it is
+    empty, and ``parts`` null, where rows of one id have several sets.
     """
     rooted = _with_roots(lists, labels)
     for _ in range(2):
@@ -140,12 +145,36 @@ def _apart(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         live = keep(rooted.join(split.select("value", "least"), "value"))
         values = keep(sets.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("x")).distinct())
         common = values.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
-        shared = values.join(common, "x").groupBy("doc_id").agg(F.count("*").alias("n_common"))
+        shared = _parts_of(values.join(common, "x"))
         room = _room(F.col("n_shingles"), F.least("n_shingles", F.coalesce("n_common", F.lit(0))))
-        suited = live.drop("room").join(shared, live["doc"] == shared["doc_id"], "left").withColumn("room", room)
-        rooted = keep(suited.filter("room >= least").drop("least", "doc_id", "n_common"))
+        suited = live.drop("room", "n_common", "parts").join(shared, live["doc"] == shared["doc_id"], "left").withColumn("room", room)
+        rooted = keep(suited.filter("room >= least").drop("least", "doc_id"))
     split = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
-    return rooted.drop("root").join(split, "value", "left_semi")
+    left = rooted.drop("root").join(split, "value", "left_semi")
+    before = F.collect_list("value").over(Window.partitionBy("doc").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    several = sets.groupBy("doc_id").agg(F.count("*").alias("n_sets")).filter("n_sets > 1")  # one id, several texts
+    told = left.withColumn("before", before).join(several, left["doc"] == several["doc_id"], "left")
+    one = F.col("n_sets").isNull()
+    return told.withColumns({"before": F.when(one, F.col("before")).otherwise(F.array().cast("array<long>")), "parts": F.when(one, F.col("parts"))}).drop("doc_id", "n_sets")
+
+
+def _parts_of(values: DataFrame) -> DataFrame:
+    """(doc_id, n_common, parts): how many values ``x`` a document has, and by parts of the values 15 bits of their exclusive or."""
+    by_part = values.groupBy("doc_id", F.pmod("x", F.lit(PARTS)).cast("int").alias("p")).agg(F.count("*").alias("k"), F.bit_xor("x").alias("h")).withColumn("h", F.shiftrightunsigned("h", 49).cast("short"))
+    of_doc = by_part.groupBy("doc_id").agg(F.sum("k").alias("n_common"), F.map_from_entries(F.collect_list(F.struct("p", "h"))).alias("m"))
+    return of_doc.select("doc_id", "n_common", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0).cast("short"))).alias("parts"))
+
+
+def _parts_fit() -> Column:
+    """Whether a member and a hub differ in no more parts than linked sets can.
+
+    Both sets share common values only, 3/7 of their sizes at least; the other
+    common values of either are different values, and each lies in one part.
+    A document of several sets has no parts and fits.
+    """
+    apart = F.col("n_common") + F.col("hub_common") - (F.col("n_shingles") + F.col("hub_n")) * (2.0 * SIMILARITY / (100 + SIMILARITY))
+    differ = F.aggregate(F.zip_with("parts", "hub_parts", lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, d: t + d)
+    return F.coalesce(differ <= apart + 1e-6, F.lit(True))
 
 
 def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,7 +184,9 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     the likeliest centre: a star, in which a copy makes one pair. What this
     leaves in several components (:func:`_apart`) goes through rounds: documents
     at places 1-4, 5-20, 21-84, ... are paired with later ones of other
-    components, until no place is left. Of two linked documents one at least
+    components, until no place is left. Two documents meet once, in the list of
+    their first shared value, and only if their sets may be alike
+    (:func:`_parts_fit`). Of two linked documents one at least
     could be linked to a set of its own size (if each had less room than that,
     neither would fit into the other's), so only such documents start pairs;
     they come first in a list.
@@ -171,9 +202,11 @@ def _links(lists: DataFrame, sets: DataFrame) -> DataFrame:
         members = _with_roots(live.filter(F.col("place") > first), labels)
         hubs = _with_roots(live.filter(F.col("starts") & (F.col("place") >= first) & (F.col("place") < first + size)), labels).select(
             F.col("value").alias("hub_value"), F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("position").alias("hub_position"),
-            F.col("place").alias("hub_place"), F.col("root").alias("hub_root"), F.col("room").alias("hub_room"))
+            F.col("place").alias("hub_place"), F.col("root").alias("hub_root"), F.col("room").alias("hub_room"),
+            F.col("n_common").alias("hub_common"), F.col("parts").alias("hub_parts"), F.col("before").alias("hub_before"))
         fits = F.expr("value = hub_value AND place > hub_place AND root <> hub_root AND n_shingles <= hub_room AND hub_n <= room")
-        found = keep(verified(_paired(members.join(hubs, fits & _position_fits())), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        once = ~F.arrays_overlap("before", "hub_before")
+        found = keep(verified(_paired(members.join(hubs, fits & _position_fits() & once & _parts_fit())), sets).select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not found.isEmpty():
             labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         first, size = first + size, size * 4

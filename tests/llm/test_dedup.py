@@ -1,6 +1,7 @@
 """Exact, near and line deduplication against brute force, with odd rows."""
 
 import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -99,6 +100,55 @@ def test_texts_that_quote_one_long_passage_meet_in_few_pairs(spark, make_docs, m
     assert sum(met[1:]) < 100 < 60 * 59 / 2
 
 
+def test_copies_just_out_of_reach_meet_once_if_at_all(make_docs, monkeypatch):
+    """Copies of a text that is not there itself: unlinked ones that have many edits make no pairs, and no pair is made twice."""
+    words = prose(21, 400, 10**6).split(" ")
+
+    def copy(seed, edits):
+        draw, own = random.Random(seed), list(words)
+        for i in draw.sample(range(0, 400, 8), edits):
+            own[i] = f"e{seed}x{i}"
+        return " ".join(own)
+
+    rows = [(k, copy(k, 8 + k % 3)) for k in range(48)]
+    rows += [(100 + k, rows[5 * k][1] + f" end {k}") for k in range(4)]  # linked to one each
+    rows += [(200 + k, copy(300 + k, 7)) for k in range(3)]
+    met, real = [], near_dedup._paired
+
+    def counted(joined):
+        pairs = real(joined)
+        fits = joined.filter(near_dedup._position_fits() & (F.col("doc") != F.col("hub")))
+        met.append((fits.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_paired", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(rows)).collect()}
+    want = _components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 30
+    assert all(joined == pairs for joined, pairs in met[1:])
+    assert sum(pairs for _, pairs in met[1:]) < 200 < 48 * 47 / 2
+
+
+def test_links_of_ids_with_several_texts_are_not_lost(make_docs):
+    """Each of these ids has two texts of one family; only one of both is linked to another id."""
+    words, draw = prose(23, 400, 10**6).split(" "), random.Random(4)
+
+    def copy(seed, spots):
+        return " ".join(f"e{seed}x{i}" if i in spots else w for i, w in enumerate(words))
+
+    rows = []
+    for k in range(12):
+        spots = [set(draw.sample(range(0, 400, 8), 9)) for _ in range(2)]
+        rows += [(k, copy(k, spots[0])), (k, copy(50 + k, spots[1])), (100 + k, copy(k, {*list(spots[0])[:8], *list(spots[1])[:2]}))]
+    root = {i: i for i, _ in rows}
+    for (i, a), (j, b) in itertools.combinations([(i, _sets(t)) for i, t in rows], 2):
+        if 100 * len(a & b) >= 75 * len(a | b):
+            low, high = sorted((root[i], root[j]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    assert len(set(root.values())) >= 6
+    assert {r.doc_id: r.component_id for r in near_duplicates(make_docs(rows)).collect()} == root
+
+
 def test_near_duplicates_without_ids(make_docs):
     text = prose(3, 50)
     rows = [(None, text), (9, text), (9, text), (8, text + " end"), (None, prose(4, 50)), (None, None)]
