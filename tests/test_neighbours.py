@@ -74,6 +74,31 @@ def test_distance_pairs_equal_brute_force(spark, clouds, per_cell):
     assert got == want
 
 
+@pytest.mark.parametrize("per_piece", [None, 40])
+def test_distance_pairs_without_a_maximum_are_the_whole_matrix(spark, per_piece):
+    r = random.Random(8)
+    here, there = ([(r.uniform(-60, 60), r.uniform(-170, 170)) for _ in range(n)] for n in (25, 30))
+    if per_piece:
+        spark.conf.set("corelode.pairsPerPiece", str(per_piece))
+    try:
+        got = N.distance_pairs(points(spark, here, "a"), points(spark, there, "b"), metric="manhattan")
+        assert not per_piece or got.rdd.getNumPartitions() > 8
+        found = rows(got, "a_id", "b_id", "distance")
+    finally:
+        spark.conf.unset("corelode.pairsPerPiece")
+    assert found == sorted(((f"a{i}", f"b{j}", round(abs(p[0] - q[0]) + abs(p[1] - q[1]), 6)) for i, p in enumerate(here) for j, q in enumerate(there)), key=str)
+    assert N.distance_pairs(points(spark, [], "a"), points(spark, there, "b")).count() == 0
+
+
+def test_the_query_has_every_pair_of_collars(spark, tmp_path):
+    from corelode.plans import catalog
+
+    spark.createDataFrame([(i, -1.0 if i == 4 else 1.0) for i in range(1, 13)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = rows(catalog.spark_query("distance_pairs")(spark, str(tmp_path)), "a_id", "b_id", "manhattan")
+    holes = [f"H{i}" for i in range(1, 13) if i not in (4, 7)]  # one in the red, one without coordinates
+    assert [g[:2] for g in got] == sorted((a, b) for a in holes for b in holes) and max(g[2] for g in got) > 0.015
+
+
 def test_pairs_within_km_at_high_latitude(spark):
     r = random.Random(3)
     places = [(r.uniform(69.5, 70.0), r.uniform(10, 11)) for _ in range(80)]
