@@ -171,3 +171,22 @@ def test_few_rows_are_summed_in_one_task_without_a_shuffle(spark):
     assert (part[0] == whole[0][50:80]).all() and (part[-1] == whole[-1][50:80]).all() and rows.read(batch.slice(0, 0))[0].shape == (0, 4)
     again = after.table.toArrow()["predicted"].to_numpy()
     assert sorted(again) == sorted(whole[-1])
+
+
+def test_rows_that_a_task_may_hold_stay_in_it_and_grow_the_same_trees(spark, monkeypatch):
+    """600 passes, each a job of its own, took longer than their work."""
+    x, y = sample(400, 7)
+    held = np.arange(400) % 4 == 0
+    df = table(spark, x, y, held).repartition(3)
+    settings = B.Boosting(maxIter=12, maxDepth=4, maxBins=20, regAlpha=0.5)
+    spark.conf.set("corelode.rowsPerTask", "100")
+    try:
+        passes = B.fit(df, settings, held="held")
+    finally:
+        spark.conf.unset("corelode.rowsPerTask")
+    monkeypatch.setattr(B, "_sums", None)  # no pass is a job
+    one = B.fit(df, settings, held="held")
+    for field in ("feature", "cut", "missing_left", "value", "gain"):
+        assert [getattr(t, field).tolist() for t in one.trees] == [getattr(t, field).tolist() for t in passes.trees]
+    assert [h[0] for h in one.history] == list(range(13)) and all((t.feature >= 0).any() for t in one.trees)
+    assert [h[1:] for h in one.history] == [pytest.approx(h[1:]) for h in passes.history]
