@@ -9,6 +9,7 @@ from support import rows
 from pyspark.sql import functions as F
 
 from corelode.functions.predicates import GRADE
+from corelode.operators import continuity as C
 from corelode.operators import features as E
 from corelode.operators import neighbours as N
 from corelode.operators import spatial as G
@@ -300,3 +301,37 @@ def test_morans_i_and_continuity_make_no_row_per_pair(spark):
     for found in (cut, G.grade_continuity(df, 400.0, 4)):
         assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert G.grade_continuity(df, 400.0, 4).first()["mean_grade_difference"] == pytest.approx(whole[1]["mean_grade_difference"])
+
+
+def test_blocks_of_continuity_hold_sums_of_sites(spark, monkeypatch):
+    """Samples copied to every block near them filled the disk."""
+    seen, pairs = [], G.block_pairs
+    monkeypatch.setattr(G, "block_pairs", lambda df, *a, **k: seen.append(df.count()) or pairs(df, *a, **k))
+    data = [("A", 0.0, 0.001 * (i % 5), 7.0 if i < 40 else 5.0 + i) for i in range(200)]
+    df = spark.createDataFrame(data + data[:30], f"Element string, latitude double, longitude double, {GRADE} double")
+    got = G.grade_continuity(df, 250.0, 60).first()
+    assert seen == [5]
+    diffs = [abs(p[3] - q[3]) for p in data + data[:30] for q in data + data[:30] if abs(p[2] - q[2]) < 0.00225]
+    assert got["pairs_within_threshold"] == len(diffs) and got["max_grade_difference"] == max(diffs)
+    assert got["mean_grade_difference"] == pytest.approx(sum(diffs) / len(diffs), rel=1e-12)
+
+
+@pytest.mark.parametrize("sites,extent,km", [(40, 0.02, 0.4), (700, 0.004, 0.7), (300, 2.0, 30.0), (1, 0.1, 1.0), (60, 0.03, 0.0)])
+def test_differences_by_parts_equal_all_pairs(sites, extent, km):
+    draw = np.random.default_rng(sites)
+    places = np.c_[-15 + draw.random(sites) * extent, -71 + draw.random(sites) * extent]
+    site, g, n = draw.integers(0, sites, 1500), np.sort(np.round(draw.random(1500) * 1000) / 4), draw.integers(1, 4, 1500).astype(float)
+    (near,) = N.within_km(places[site], places[site], [km])
+    want = (near * np.abs(g[:, None] - g) * n[:, None] * n).sum()
+    for direct in (10, 200, 5000):
+        assert C.differences(site, g, n, places, km, direct) == pytest.approx(want, rel=1e-11)
+
+
+def test_a_sample_that_repeats_is_held_once():
+    import pyarrow as pa
+
+    many = [pa.RecordBatch.from_pydict({"Element": ["A"] * 50, "latitude": [0.0] * 50, "longitude": [0.0] * 50, "g": [3.0] * 50}) for _ in range(40)]
+    other = pa.RecordBatch.from_pydict({"Element": ["B", "A"], "latitude": [0.0, 0.0], "longitude": [0.0, 0.0], "g": [1.0, 5.0]})
+    found = {r["Element"]: r for batch in C.site_sums([*many, other], 2, 1.0, 30) for r in batch.to_pylist()}
+    assert found["A"] == {"Element": "A", "latitude": 0.0, "longitude": 0.0, "part": 2, "n": 2001.0, "sum": 6005.0, "lo": 3.0, "hi": 5.0, "difference": 8000.0}
+    assert found["B"]["n"] == 1.0 and list(C.site_sums([], 0, 1.0, 30)) == []
